@@ -55,13 +55,13 @@ class Words:
     hashes, ``first`` index of each text's first word (length texts + 1).
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = True, hashes: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, hashes: bool = True, space: np.ndarray = _SPACE):
         joined = b"\n".join(texts) + b"\n"
         if lower:
             joined = joined.lower()
         self.buf = np.frombuffer(joined, np.uint8)
-        space = _SPACE[self.buf]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
+        gap = space[self.buf]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
         self.text_at = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.start, self.text_at)
