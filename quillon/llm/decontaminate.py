@@ -7,7 +7,8 @@ has four blocks of 16 bits: fingerprints within radius 4 q + 3 agree on some blo
 bits, so a table of all block values within q of an item's finds every fingerprint in the
 radius.  Survivors of the full Hamming test are verified on the exact windows of the item's
 own length around them: weighted Jaccard of shingle multisets, a shingle's weight being one
-over the number of items that hold it.
+over the number of items that hold it.  A window that holds no shingle of any item has
+similarity 0, so a bitmap of the items' shingles passes over it; that screen loses nothing.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from .textkit import Words, blocks, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: bits by which one block may differ; fingerprints within 4 * BLOCK_RADIUS + 3 are found
-BLOCK_RADIUS = 2
+BLOCK_RADIUS = 3
 RADIUS = 4 * BLOCK_RADIUS + 3
 #: lengths within this ratio share a class of windows
 CLASS_RATIO = 1.12
 #: items that one pass over the documents compares; more items take more passes
 ITEMS_PER_PASS = 2000
-CHUNK = 4096
+CHUNK = 1024
 
 
 def _shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -116,17 +117,19 @@ class WindowIndex:
         out = []
         for lo in range(0, len(h), CHUNK):
             hi = min(len(h), lo + CHUNK + most - 1)
+            if known[hi] == known[lo]:
+                continue
             c = np.zeros((hi - lo + 1, 64), kind)
             np.cumsum(_bits(h[lo:hi]), axis=0, dtype=kind, out=c[1:])
             for s, _, some, tables in self.classes:
                 n = min(CHUNK, hi - lo - s + 1)
                 if n <= 0:
                     continue
-                prints = _pack((c[s : s + n] - c[:n]) > s // 2)
+                a = np.arange(lo, lo + n)
+                a = a[(known[a + s] > known[a]) & (text[a] == text[a + s - 1])]
+                prints = _pack((c[a - lo + s] - c[a - lo]) > s // 2)
                 at, item = self._hits(prints, some, tables)
-                a = at + lo
-                ok = (text[a] == text[a + s - 1]) & (known[a + s] > known[a])
-                out.append((a[ok], a[ok] + s, item[ok]))
+                out.append((a[at], a[at] + s, item))
         # texts shorter than a class's window are windows themselves
         size = np.diff(first)
         for s, low, some, tables in self.classes:
