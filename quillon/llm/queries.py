@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import decontaminate, language_id, ngram_join, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL: dict[str, str] = {}
