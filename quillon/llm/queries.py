@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, ngram_join, quality, toxicity
+from . import decontaminate, language_id, lm_score, ngram_join, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op8_ngram_join": ngram_join.op8_ngram_join,
