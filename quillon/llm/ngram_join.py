@@ -26,7 +26,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +38,8 @@ GROUPS_PER_BLOCK = 1 << 16
 #: members of a cell that one task compares at once
 CHUNK = 512
 NODE = 32
+#: a member carries at most so many groups of its point, and so many of its cells
+POINT_GROUPS, CARRIED = 256, 24
 #: bits of the broadcast bitmap of candidate documents (8 MB whatever the input)
 BITMAP_BITS = 1 << 26
 
@@ -87,8 +88,8 @@ def cell_keys(u: np.ndarray, table: list[tuple[int, int]], starts: np.ndarray, n
 
 
 def point(u: np.ndarray) -> np.ndarray:
-    """Group counts; groups are about an eighth of the size and a power of two, so that points fold."""
-    size = max(64, 1 << max(0, math.ceil(math.log2(max(1, len(u)) / 8))))
+    """Group counts; the groups are about a quarter of the size and a power of two, so that points fold."""
+    size = min(POINT_GROUPS, max(64, 1 << max(0, math.ceil(math.log2(max(1, len(u)) / 4)))))
     return np.bincount((mix(u, 5) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32)
 
 
@@ -165,27 +166,55 @@ def tree_pairs(points: list[np.ndarray], n: np.ndarray, comp: np.ndarray, side:
     corner, least = np.maximum.reduceat(v, first, 0), np.minimum.reduceat(n, first)
     cross = side.any()
     for i in range(len(n) - 1):
-        node = np.minimum(corner, v[i]).sum(1) * (num + den) >= num * (least + n[i])
-        node &= first + NODE > i + 1
-        for f in first[node]:
-            lo, hi = max(f, i + 1), min(f + NODE, len(n))
-            over = np.minimum(v[lo:hi], v[i]).sum(1)
-            ok = (over * (num + den) >= num * (n[lo:hi] + n[i])) & (comp[lo:hi] != comp[i])
-            if cross:
-                ok &= side[lo:hi] != side[i]
-            for j in np.flatnonzero(ok):
-                yield int(order[i]), int(order[lo + j])
+        apart = comp[i + 1 :] != comp[i]
+        if cross:
+            apart &= side[i + 1 :] != side[i]
+        if len(first) > 1:
+            node = np.minimum(corner, v[i]).sum(1) * (num + den) >= num * (least + n[i])
+            apart &= np.repeat(node, NODE)[i + 1 : len(n)]
+        at = np.flatnonzero(apart) + i + 1
+        if len(at):
+            over = np.minimum(v[at], v[i]).sum(1)
+            for j in at[over * (num + den) >= num * (n[at] + n[i])]:
+                yield int(order[i]), int(order[j])
+
+
+def _cells(batches):
+    """The rows of each (key, i, j), as arrays; a cell may go over batches and has 2 * CHUNK rows or so."""
+    names, kept = ("key", "i", "j", "cls", "comp", "chunk", "n", "point", "keys"), None
+    for batch in batches:
+        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        if kept:
+            new = {c: np.concatenate((kept[c], new[c])) for c in names}
+        same = (new["key"][1:] == new["key"][:-1]) & (new["i"][1:] == new["i"][:-1]) & (new["j"][1:] == new["j"][:-1])
+        cut = np.concatenate(([0], np.flatnonzero(~same) + 1)) if len(new["key"]) else np.zeros(1, int)
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            yield {c: x[lo:hi] for c, x in new.items()}
+        kept = {c: x[cut[-1] :] for c, x in new.items()}
+    if kept and len(kept["key"]):
+        yield kept
 
 
 def _cell_joiner(num: int, den: int):
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf.iloc[0][["i", "j"]]
-        cls, side = pdf["cls"].to_numpy(), (pdf["chunk"].to_numpy() == j).astype(int) if i != j else np.zeros(len(pdf), int)
-        points = [np.frombuffer(x, np.int32) for x in pdf["point"]]
-        got = list(tree_pairs(points, pdf["n"].to_numpy(), pdf["comp"].to_numpy(), side, num, den))
-        a = np.array([cls[x] for x, _ in got], np.int64)
-        b = np.array([cls[y] for _, y in got], np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def join(batches):
+        a, b = [], []
+        for c in _cells(batches):
+            if len(c["key"]) < 2 or (c["comp"] == c["comp"][0]).all():
+                continue
+            side = (c["chunk"] == c["j"][0]).astype(int) if c["i"][0] != c["j"][0] else np.zeros(len(c["key"]), int)
+            points = [np.frombuffer(x, np.int32) for x in c["point"]]
+            early = None
+            for x, y in tree_pairs(points, c["n"], c["comp"], side, num, den):
+                if early is None:
+                    early = [{k for k in keys if k < c["key"][0]} for keys in c["keys"]]
+                if early[x].isdisjoint(early[y]):  # else that cell has the pair
+                    p, q = sorted((int(c["cls"][x]), int(c["cls"][y])))
+                    a.append(p)
+                    b.append(q)
+            if len(a) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return join
 
@@ -249,13 +278,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a pair of members is the smallest of the cell and another only where it has been verified
     apart = apart.where("m > 2")
     rest = placed.join(apart.select("key", "m"), "key").withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
+    # a pair that shares several cells is compared in the first of them: members carry their first cells
+    carried = rest.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED).alias("keys"))
     rest = rest.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
     rest = rest.withColumn("o", other).select(
         "key", "cls", "comp", "chunk", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j")
     )
-    rest = rest.join(sets.select("cls", "n", "point"), "cls")
-    more = rest.groupBy("key", "i", "j").applyInPandas(_cell_joiner(num, den), "a long, b long").distinct()
+    rest = rest.join(sets.select("cls", "n", "point").join(carried, "cls"), "cls")
+    cell = ("key", "i", "j")
+    rest = rest.repartition(*cell).sortWithinPartitions(*cell).select(*cell, "cls", "comp", "chunk", "n", "point", "keys")
+    more = rest.mapInArrow(_cell_joiner(num, den), "a long, b long").distinct()
     more = more.join(stars, ["a", "b"], "left_anti")
     linked2 = sc.keep(_verified(more, sets, num, den))
     label = components(sc, linked.union(linked2))
