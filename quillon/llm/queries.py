@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, lm_score, mixing, ngram_join, quality, toxicity
+from . import decontaminate, embedding_dedup, language_id, lm_score, mixing, ngram_join, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_mixing": mixing.op2_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_pii": pii.op5_pii,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_ngram_join": ngram_join.op8_ngram_join,
