@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, lm_score, mixing, ngram_join, pii, quality, toxicity
+from . import decontaminate, embedding_dedup, language_id, licenses, lm_score, mixing, ngram_join, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_mixing": mixing.op2_mixing,
+    "op3_licenses": licenses.op3_licenses,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,
     "op6_decontamination": decontaminate.op6_decontamination,
@@ -22,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_licenses": licenses.OP3_SQL,
 }
