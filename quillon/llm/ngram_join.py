@@ -300,6 +300,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of their component.
+
+    Repeated rows leave one; rows that share an id but not their contents stay or go
+    together.  A null id names no document: such rows stay.  Texts without a word stay.
+    """
+    found = Scratch(docs.sparkSession, "ngram-groups").keep(jaccard_components(docs, id_col, text_col, k, num, den).where("id is not null"))
+    gone = found.where("id <> component_id").select("id").distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("id"), "left_anti")
+    twice = found.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id")
+    if twice.isEmpty():
+        return kept
+    same = F.col(id_col).cast("long") == F.col("id")
+    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").distinct())
+
+
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Components of ``documents`` under Jaccard 0.9 on three-word shingles."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, held_out
 from .textkit import Words, blocks, word_hash
@@ -157,29 +158,37 @@ def _lexicon():
     return keys, values, screen
 
 
-def _reader():
+def batch_events(texts: list[str | None], lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the set of event types as bits, and the number of matched clauses."""
+    keys, values, screen = lexicon
+    mask, clauses = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for at, group in blocks(texts):
+        w = Words(group, space=_GAP)
+        codes = np.zeros(len(w.hash), np.int8)
+        maybe = np.flatnonzero(screen[w.hash & np.uint64(0xFFFF)])
+        where = np.minimum(np.searchsorted(keys, w.hash[maybe]), len(keys) - 1)
+        codes[maybe] = np.where(keys[where] == w.hash[maybe], values[where], 0)
+        trigger = np.flatnonzero((codes == INSULT) | (codes == THREAT))
+        if not len(trigger):
+            continue
+        # a clause ends at a stop between two words; every text ends with one
+        clause = np.cumsum(_STOP[w.buf])[w.start]
+        text = np.searchsorted(w.first, trigger, "right") - 1
+        for c, t in dict(zip(clause[trigger].tolist(), text.tolist(), strict=True)).items():
+            lo, hi = np.searchsorted(clause, c), np.searchsorted(clause, c, "right")
+            mask[at + t] |= 1 << clause_event(codes[lo:hi].tolist())
+            clauses[at + t] += 1
+    return mask, clauses
+
+
+def _reader(column: int):
+    """Appends the events and the number of clauses of the texts in ``column``."""
+
     def read(batches):
-        keys, values, screen = _lexicon()
+        lexicon = _lexicon()
         for batch in batches:
-            n = batch.num_rows
-            mask, clauses = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for at, group in blocks(batch.column(1).to_pylist()):
-                w = Words(group, space=_GAP)
-                codes = np.zeros(len(w.hash), np.int8)
-                maybe = np.flatnonzero(screen[w.hash & np.uint64(0xFFFF)])
-                where = np.minimum(np.searchsorted(keys, w.hash[maybe]), len(keys) - 1)
-                codes[maybe] = np.where(keys[where] == w.hash[maybe], values[where], 0)
-                trigger = np.flatnonzero((codes == INSULT) | (codes == THREAT))
-                if not len(trigger):
-                    continue
-                # a clause ends at a stop between two words; every text ends with one
-                clause = np.cumsum(_STOP[w.buf])[w.start]
-                text = np.searchsorted(w.first, trigger, "right") - 1
-                for c, t in dict(zip(clause[trigger].tolist(), text.tolist(), strict=True)).items():
-                    lo, hi = np.searchsorted(clause, c), np.searchsorted(clause, c, "right")
-                    mask[at + t] |= 1 << clause_event(codes[lo:hi].tolist())
-                    clauses[at + t] += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mask), pa.array(clauses)], ["id", "events", "clauses"])
+            mask, clauses = batch_events(batch.column(column).to_pylist(), lexicon)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mask), pa.array(clauses)], [*batch.schema.names, "events", "clauses"])
 
     return read
 
@@ -187,7 +196,7 @@ def _reader():
 def clause_events(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, events, clauses): the set of event types as bits, and the number of matched clauses."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_reader(), "id long, events long, clauses long")
+    return texts.mapInArrow(_reader(1), "id long, text string, events long, clauses long").drop("text")
 
 
 def _features(events: np.ndarray, clauses: np.ndarray) -> np.ndarray:
@@ -215,6 +224,23 @@ def fit(patterns: DataFrame, prior_sd: float = 3.0) -> np.ndarray:
     return w
 
 
+def _learn(found: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Weights from (id, events, clauses, held_out) and the labels of the training fold."""
+    truth = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("y is not null and id is not null")
+    more = F.expr("cast(least(greatest(clauses - 1, 0), 2) as int)").alias("more")
+    return fit(
+        found.where("not held_out").join(truth, "id").groupBy("events", more)
+        .agg(F.count("*").alias("n"), F.sum("y").alias("positive"))
+    )
+
+
+def _score(w: np.ndarray, events: str, clauses: str):
+    z = F.lit(float(w[0])) + F.lit(float(w[-1])) * F.least(F.greatest(F.col(clauses) - 1, F.lit(0)), F.lit(2))
+    for i in range(len(EVENTS)):
+        z = z + F.when(F.col(events).bitwiseAND(1 << i) != 0, F.lit(float(w[1 + i]))).otherwise(0.0)
+    return 1 / (1 + F.exp(-z))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, held_out, score, predicted, events, clauses) for each row of ``docs``.
 
@@ -225,22 +251,24 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     sc = Scratch(docs.sparkSession, "toxicity")
     found = sc.keep(clause_events(docs, id_col, text_col).withColumn("held_out", held_out("id", 3, 1)))
-    truth = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("y is not null and id is not null")
-    more = F.expr("cast(least(greatest(clauses - 1, 0), 2) as int)").alias("more")
-    patterns = (
-        found.where("not held_out").join(truth, "id").groupBy("events", more)
-        .agg(F.count("*").alias("n"), F.sum("y").alias("positive"))
-    )
-    w = fit(patterns)
-    z = F.lit(float(w[0])) + F.lit(float(w[-1])) * F.expr("least(greatest(clauses - 1, 0), 2)")
-    for i in range(len(EVENTS)):
-        z = z + F.when(F.col("events").bitwiseAND(1 << i) != 0, F.lit(float(w[1 + i]))).otherwise(0.0)
-    score = 1 / (1 + F.exp(-z))
+    score = _score(_learn(found, labels), "events", "clauses")
     return found.withColumn("score", score).select(
         "id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "events", "clauses"
     )
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``; see ``toxicity_scores``."""
+    sc = Scratch(docs.sparkSession, "toxicity")
+    w = _learn(sc.keep(clause_events(docs, id_col, text_col).withColumn("held_out", held_out("id", 3, 1))), labels)
+    # positions, as the columns of docs may have any names
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    schema = T.StructType([*plain.schema.fields, T.StructField("events", T.LongType()), T.StructField("clauses", T.LongType())])
+    read = plain.mapInArrow(_reader(docs.columns.index(text_col)), schema)
+    return read.where(_score(w, "events", "clauses") < threshold).select(*names).toDF(*docs.columns)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from ``labels.toxic`` of the training fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
