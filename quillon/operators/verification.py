@@ -7,8 +7,9 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import claim_lines, query_lang, segments, sentences
+from ..functions.text import claim_lines, judge_label, query_lang, segments, sentences
 from .dense import cosine
 
 # fixed values: thresholds of the arms
@@ -73,7 +74,7 @@ def nli(claims: DataFrame, probabilities: DataFrame, entailed: float = ENTAILED_
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hash_unit(text: pd.Series) -> pd.Series:
     """A number in [0, 1) that depends on the text alone: the first eight bytes of BLAKE2b over 2^64."""
     return text.map(lambda t: None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") / 2**64)
@@ -100,3 +101,17 @@ def faithfulness(verdicts: DataFrame, answers: DataFrame) -> DataFrame:
 def best_first(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy(*_KEY).orderBy(F.round("score", 9).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def judged(claims: DataFrame, evidence: DataFrame, llm) -> DataFrame:
+    """Verdicts that a language model's replies name; it sees all evidence, so none is the best."""
+    from . import prompts
+
+    by = evidence.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("evidence_index", "evidence"))).alias("all"))
+    got = claims.join(by, "answer_id", "left")
+    reply = llm.generate(prompts.judge_prompt(F.col("claim"), F.transform("all", lambda e: e["evidence"])), 8)
+    label = F.when(F.col("all").isNull(), "unsupported").otherwise(judge_label(reply))
+    return got.withColumn("label", label).select(
+        *_KEY, "claim", "label", F.when(F.col("label") == "unsupported", 0.0).otherwise(1.0).alias("score"),
+        F.lit(None).cast("int").alias("best_evidence_index"), F.lit(f"llm-judge:{llm.name}").alias("method"),
+    )

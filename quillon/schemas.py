@@ -2,22 +2,42 @@
 
 from pyspark.sql import types as T
 
-DOCUMENT = T.StructType.fromDDL("parallel_id string, lang string, title string, url string, body string, commit_sha string")
-BLOCK = T.StructType.fromDDL("section_path array<string>, text string")
-CHUNK = T.StructType.fromDDL(
-    "chunk_id string, doc_id string, parallel_id string, lang string, title string, section_path array<string>, text string, "
-    "token_count int, char_count int, ordinal int, url string, strategy string, commit_sha string, meta map<string,string>"
-)
-HIT = T.StructType.fromDDL("query_id string, rank int, chunk_id string, score double")
-GOLD = T.StructType.fromDDL(
-    "id string, query string, lang string, topic string, relevant_parallel_ids array<string>, reference_answer string, answerable boolean, notes string"
+_STRING, _INT, _DOUBLE, _BOOL = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+_STRINGS = T.ArrayType(_STRING)
+
+
+def _row(strings: str = "", **fields: T.DataType) -> T.StructType:
+    """String columns by name, then others."""
+    return T.StructType([T.StructField(n, _STRING) for n in strings.split()] + [T.StructField(n, t) for n, t in fields.items()])
+
+
+def _ordered(schema: T.StructType, names: str) -> T.StructType:
+    return T.StructType([schema[n] for n in names.split()])
+
+
+DOCUMENT = _row("parallel_id lang title url body commit_sha")
+BLOCK = _row(section_path=_STRINGS, text=_STRING)
+CHUNK = _ordered(
+    _row("chunk_id doc_id parallel_id lang title text url strategy commit_sha", section_path=_STRINGS, token_count=_INT, char_count=_INT, ordinal=_INT, meta=T.MapType(_STRING, _STRING)),
+    "chunk_id doc_id parallel_id lang title section_path text token_count char_count ordinal url strategy commit_sha meta",
 )
-FAITHFULNESS = T.StructType.fromDDL("id string, lang string, topic string, evidence array<string>, claim string, true_label string, notes string")
-VERDICT = T.StructType.fromDDL("claim string, label string, score double, best_evidence_index int, method string")
-TRACE = T.StructType.fromDDL(
-    "trace_id string, timestamp double, question string, lang_filter string, "
-    "retrieved array<struct<chunk_id:string,parallel_id:string,title:string,lang:string,score:double>>, "
-    "answer_text string, llm_name string, embedder_name string, verifier_name string, "
-    "claims array<struct<text:string,label:string,action:string,method:string>>, "
-    "final_text string, refused boolean, refusal_reason string, latency_ms map<string,double>"
+HIT = _row("query_id", rank=_INT, chunk_id=_STRING, score=_DOUBLE)
+GOLD = _row("id query lang topic", relevant_parallel_ids=_STRINGS, reference_answer=_STRING, answerable=_BOOL, notes=_STRING)
+FAITHFULNESS = _row("id lang topic", evidence=_STRINGS, claim=_STRING, true_label=_STRING, notes=_STRING)
+VERDICT = _row("claim label", score=_DOUBLE, best_evidence_index=_INT, method=_STRING)
+TRACE = _row(
+    "trace_id",
+    timestamp=_DOUBLE,
+    question=_STRING,
+    lang_filter=_STRING,
+    retrieved=T.ArrayType(_row("chunk_id parallel_id title lang", score=_DOUBLE)),
+    answer_text=_STRING,
+    llm_name=_STRING,
+    embedder_name=_STRING,
+    verifier_name=_STRING,
+    claims=T.ArrayType(_row("text label action method")),
+    final_text=_STRING,
+    refused=_BOOL,
+    refusal_reason=_STRING,
+    latency_ms=T.MapType(_STRING, _DOUBLE),
 )
