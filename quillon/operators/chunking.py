@@ -45,7 +45,8 @@ def _window_column(target: int, overlap: int):
     def cut(sizes: pd.Series) -> pd.Series:
         return sizes.map(lambda rows: [[{"i": i, "j": j} for i, j in windows(s, target, overlap)] for s in rows])
 
-    return cut
+    # else the optimiser would put it into the lambdas that read its result, where Python cannot run
+    return cut.asNondeterministic()
 
 
 def grouped_sections(blocks: Column) -> Column:

@@ -214,9 +214,9 @@ SQL = {
         count(*) FILTER (answer_id % 4 <> 0) AS n_answerable, count(*) FILTER (answer_id % 4 = 0) AS n_unanswerable FROM cor""",
     "grounded_prompts": f"""WITH {_index()}, {_search('h', ASKED, 3)}, b AS (SELECT h.query_id, string_agg('[' || rank || '] (' || source || ' › ' || d.lang || ')' || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank) AS sources
         FROM h JOIN documents d ON d.doc_id = h.id GROUP BY h.query_id),
-        p AS (SELECT item_id AS query_id, '{prompts.SYSTEM_PREAMBLE}' || chr(10) || chr(10) || CASE WHEN sources IS NULL THEN '{prompts.NO_SOURCES.replace("'", "''")}' ELSE 'Sources:' || chr(10) || sources END
+        pr AS (SELECT item_id AS query_id, '{prompts.SYSTEM_PREAMBLE}' || chr(10) || chr(10) || CASE WHEN sources IS NULL THEN '{prompts.NO_SOURCES.replace("'", "''")}' ELSE 'Sources:' || chr(10) || sources END
         || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM benchmark LEFT JOIN b ON query_id = item_id)
-        SELECT query_id, length(prompt)::INT AS n_chars, md5(prompt) AS prompt_md5, '[ECHO — no model called. Prompt was ' || length(prompt) || ' chars.]' AS answer FROM p""",
+        SELECT query_id, length(prompt)::INT AS n_chars, md5(prompt) AS prompt_md5, '[ECHO — no model called. Prompt was ' || length(prompt) || ' chars.]' AS answer FROM pr""",
     "trace_roundtrip": """SELECT conv_id || '-' || turn AS trace_id, text AS question, length(text) % 3 = 0 AS refused, conv_id * 60 + turn + 0.25::DOUBLE AS timestamp, 1 AS n_claims,
         round(length(text) * 1.5::DOUBLE, 3) AS total_ms FROM conversations WHERE role = 'assistant'""",
 }
