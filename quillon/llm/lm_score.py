@@ -4,7 +4,9 @@ Counts of words and word pairs of the training texts are quantised (exact up to
 ``EXACT``, then in steps of ``RATIO``) and held in a Bloom filter: an n-gram of level q is
 inserted with each of 1..q, so its level is found by probing 1, 2, ... until a probe fails.
 The filter is built in segments, each sized for its own insertions by the task that holds
-its n-grams, and broadcast to the workers.  Probabilities interpolate pairs with words,
+its n-grams, and broadcast to the workers.  A segment is made of cache lines, eight levels of
+an n-gram lie in one, and lines follow the order of the keys, so sorted keys are probed in
+the order of memory.  Probabilities interpolate pairs with words,
 
     P(w|h) = (1 - l) c(hw) / c(h) + l (c(w) + 1) / (N' + V + 1),
 
@@ -27,14 +29,18 @@ from pyspark.sql import functions as F
 from .common import Scratch, held_out
 from .textkit import Words, blocks, mix
 
-EXACT, RATIO = 8, 1.15
+EXACT, RATIO = 6, 1.5
 SEGMENTS, HASHES, BITS = 4096, 4, 10
+LINE, TOGETHER, MOST_LEVELS = 512, 8, 96
 MAX_FILTER_BYTES = 256 << 20
 #: words with at least a 2^-20 share of the training tokens: at most 2^20 of them, broadcast exactly
 HEAVY = 1 << 20
 RATIO_BINS, BIN_STEP = 40, 0.25
-END, BEGIN = (int(x) for x in mix(np.array([1, 2], np.uint64), 991))
 _TOP = np.uint64(1)
+#: hashes of words, of the end and of the beginning are even, those of pairs odd
+END, BEGIN = (int(x) for x in mix(np.array([1, 2], np.uint64), 991) & ~_TOP)
+#: blocks of text whose counts a task adds up before it sends them
+BLOCKS_TOGETHER = 12
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -56,10 +62,6 @@ def level_ceiling(level: np.ndarray) -> np.ndarray:
     return np.where(q < EXACT, q, np.maximum(q, EXACT * RATIO ** np.maximum(0, q - EXACT + 1) - 1))
 
 
-def word_keys(h: np.ndarray) -> np.ndarray:
-    return mix(h, 21) & ~_TOP
-
-
 def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(h, 5) ^ w, 22) | _TOP
 
@@ -71,31 +73,40 @@ def sequence(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens = np.full(first[-1], END, np.uint64)
     words = np.ones(len(tokens), bool)
     words[first[1:] - 1] = False
-    tokens[words] = w.hash
+    tokens[words] = w.hash & ~_TOP
     context = np.concatenate(([BEGIN], tokens[:-1])).astype(np.uint64)
     context[first[:-1]] = BEGIN
     return tokens, context, first
 
 
-def _positions(keys: np.ndarray, level, size: np.ndarray):
-    """Bit positions of (key, level) in a segment of ``size`` bits, one array for each hash."""
-    with np.errstate(over="ignore"):
-        h = mix(keys + np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15), 31)
-        a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | _TOP
-        for _ in range(HASHES):
-            yield (a * size) >> np.uint64(32)
-            a = (a + b) & np.uint64(0xFFFFFFFF)
+def segment_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(52)).astype(np.int64)
+
+
+def _lines(keys: np.ndarray, group: int, count: np.ndarray):
+    """The cache line of a key for a group of levels, and the two numbers that place its bits."""
+    h = mix(keys, 31 + group)
+    place = (keys >> np.uint64(20)) if group == 0 else (h >> np.uint64(7))
+    line = ((place & np.uint64(0xFFFFFFFF)) * count) >> np.uint64(32)
+    return line, h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | _TOP
+
+
+def _bit(a: np.ndarray, b: np.ndarray, level: int, j: int) -> np.ndarray:
+    return ((a + np.uint64(level * HASHES + j) * b) & np.uint64(0xFFFFFFFF)) >> np.uint64(23)
 
 
 def build_segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The words of one segment's bits; every key is inserted with 1..level."""
-    total = int(levels.sum())
-    out = np.zeros(-(-total * BITS // 64), np.uint64)
-    size = np.uint64(len(out) * 64)
-    owner = np.repeat(np.arange(len(keys)), levels)
-    level = np.arange(total) - np.repeat(np.cumsum(levels) - levels, levels) + 1
-    for pos in _positions(keys[owner], level, size):
-        np.bitwise_or.at(out, (pos >> np.uint64(6)).astype(np.int64), _TOP << (pos & np.uint64(63)))
+    count = max(1, -(-int(levels.sum()) * BITS // LINE))
+    out = np.zeros(count * (LINE // 64), np.uint64)
+    for group in range(-(-int(levels.max(initial=0)) // TOGETHER)):
+        some = levels > group * TOGETHER
+        line, a, b = _lines(keys[some], group, np.uint64(count))
+        for level in range(group * TOGETHER + 1, (group + 1) * TOGETHER + 1):
+            ok = levels[some] >= level
+            for j in range(HASHES):
+                pos = _bit(a[ok], b[ok], level, j)
+                np.bitwise_or.at(out, (line[ok] * np.uint64(8) + (pos >> np.uint64(6))).astype(np.int64), _TOP << (pos & np.uint64(63)))
     return out
 
 
@@ -104,119 +115,125 @@ class LogFrequencyFilter:
         self.offsets, self.words = offsets, words
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key, by probing 1, 2, ... until one fails; never too low."""
+        """Level of each key, by probing 1, 2, ... until one fails; never too low.  Sorted keys are fastest."""
+        out = np.zeros(len(keys), np.int64)
+        for lo in range(0, len(keys), 1 << 14):
+            out[lo : lo + (1 << 14)] = self._levels(keys[lo : lo + (1 << 14)])
+        return out
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        seg = (keys >> np.uint64(40)).astype(np.int64) % SEGMENTS
+        seg = segment_of(keys)
         start = self.offsets[seg]
-        size = ((self.offsets[seg + 1] - start) * 64).astype(np.uint64)
-        alive = np.flatnonzero(size > 0)
+        count = (self.offsets[seg + 1] - start) // (LINE // 64)
+        alive = np.flatnonzero(count > 0)
+        start, count = start[alive], count[alive].astype(np.uint64)
         level = 0
         while len(alive):
+            if level % TOGETHER == 0:
+                line, a, b = _lines(keys[alive], level // TOGETHER, count)
+                base = start + line.astype(np.int64) * (LINE // 64)
             level += 1
-            ok = alive
-            k, s, z = keys[ok], size[ok], start[ok]
-            for j, pos in enumerate(_positions(k, level, s)):
-                sub = pos if j == 0 else pos[keep]
-                at, zz = (ok, z) if j == 0 else (ok[keep], z[keep])
-                hit = (self.words[zz + (sub >> np.uint64(6)).astype(np.int64)] >> (sub & np.uint64(63))) & _TOP
-                keep = np.flatnonzero(hit) if j == 0 else keep[np.flatnonzero(hit)]
-                if not len(keep):
-                    break
-            alive = ok[keep]
+            keep = None
+            for j in range(HASHES):
+                x, y, z = (a, b, base) if keep is None else (a[keep], b[keep], base[keep])
+                pos = _bit(x, y, level, j)
+                hit = ((self.words[z + (pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & _TOP).astype(bool)
+                keep = np.flatnonzero(hit) if keep is None else keep[hit]
+            alive, a, b, base, start, count = alive[keep], a[keep], b[keep], base[keep], start[keep], count[keep]
             out[alive] = level
         return out
 
 
 def _counter(batches):
-    """Counts of words and pairs of a batch of training texts: (seg, key, word, n)."""
+    """Counts of the words and pairs of training texts: (key, n), added up over a few blocks of text."""
+
+    def send(held):
+        u, n = np.unique(np.concatenate(held), return_counts=True)
+        for lo in range(0, len(u), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + (1 << 18)].view(np.int64)), pa.array(n[lo : lo + (1 << 18)])], ["key", "n"])
+
+    held = []
     for batch in batches:
-        words, pairs = [], []
         for _, group in blocks(batch.column(0).to_pylist()):
             tokens, context, _ = sequence(Words(group))
-            words.append(tokens)
-            pairs.append(pair_keys(context, tokens))
-        if not words:
-            continue
-        for raw, is_word in ((words, True), (pairs, False)):
-            u, n = np.unique(np.concatenate(raw), return_counts=True)
-            key = word_keys(u) if is_word else u
-            for lo in range(0, len(u), 1 << 18):
-                k = key[lo : lo + (1 << 18)]
-                word = u[lo : lo + (1 << 18)].view(np.int64) if is_word else np.zeros(len(k), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(((k >> np.uint64(40)).astype(np.int64) % SEGMENTS).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(word), pa.array(n[lo : lo + (1 << 18)])],
-                    ["seg", "key", "word", "n"],
-                )
+            held += [tokens, pair_keys(context, tokens)]
+            if len(held) >= 2 * BLOCKS_TOGETHER:
+                yield from send(held)
+                held = []
+    if held:
+        yield from send(held)
 
 
 def _builder(batches):
     """Rows by segment -> one row for each: its bits, its words and their exact counts."""
-    held: list[pa.RecordBatch] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush():
-        t = pa.Table.from_batches(held)
-        seg, key, n = t["seg"][0].as_py(), t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
         is_word = (key & _TOP) == 0
         bits = build_segment(key, level_of(n))
         q = level_floor(level_of(n[is_word]))
         return pa.RecordBatch.from_arrays(
-            [pa.array([seg], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([bits.nbytes]), pa.array([t["word"].to_numpy()[is_word]], pa.list_(pa.int64())),
-             pa.array([n[is_word]], pa.list_(pa.int64())), pa.array([float(q.sum())])],
+            [pa.array(segment_of(key[:1]).astype(np.int32)), pa.array([bits.tobytes()], pa.binary()), pa.array([bits.nbytes]),
+             pa.array([key[is_word].view(np.int64)], pa.list_(pa.int64())), pa.array([n[is_word]], pa.list_(pa.int64())), pa.array([float(q.sum())])],
             ["seg", "bits", "size", "words", "counts", "mass"],
         )
 
     for batch in batches:
-        seg = batch.column(0).to_numpy()
+        key, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        seg = segment_of(key)
         cut = [0, *(np.flatnonzero(seg[1:] != seg[:-1]) + 1), len(seg)]
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             if hi == lo:
                 continue
-            part = batch.slice(lo, hi - lo)
-            if held and held[0].column(0)[0] != part.column(0)[0]:
+            if held and segment_of(held[0][0][:1])[0] != seg[lo]:
                 yield flush()
                 held = []
-            held.append(part)
+            held.append((key[lo:hi].copy(), n[lo:hi].copy()))
     if held:
         yield flush()
 
 
 class Interpolated:
-    """The model's numbers: N', V and the weight of the word model for each level of the context."""
+    """The model's numbers: N', V and the weight of the word model for each level of the context, as tables by level."""
 
     def __init__(self, mass: float, types: int, weights: np.ndarray):
+        q = np.arange(MOST_LEVELS)
         self.mass, self.types, self.weights = mass, types, weights
-
-    def word_probability(self, q):
-        return (level_floor(q) + 1) / (self.mass + self.types + 1)
+        self.low, self.high = level_floor(q), np.maximum(1, level_ceiling(q))
+        self.word = (self.low + 1) / (mass + types + 1)
+        with np.errstate(divide="ignore"):
+            # leave-one-out: a token's own occurrence is taken from its pair and its context
+            self.log_pair = np.log10(np.maximum(0, self.low - 1))
+            self.log_context = np.log10(np.maximum(0, level_ceiling(q) - 1))
+        self.left_level = level_of(np.maximum(0, self.low - 1))
+        self.log_word = np.log10(np.maximum(self.low, 1) / (mass + types + 1))
 
     def log10(self, q_pair, q_context, q_word):
-        weight = self.weights[np.minimum(q_context, len(self.weights) - 1)]
-        pair = np.where(q_context > 0, np.minimum(1.0, level_floor(q_pair) / np.maximum(1, level_ceiling(q_context))), 0.0)
-        return np.log10((1 - weight) * pair + weight * self.word_probability(q_word))
+        weight = self.weights[q_context]
+        pair = np.where(q_context > 0, np.minimum(1.0, self.low[q_pair] / self.high[q_context]), 0.0)
+        return np.log10((1 - weight) * pair + weight * self.word[q_word])
+
+    def ratio_bins(self, q_pair, q_context, q_word) -> np.ndarray:
+        """Leave-one-out: bin of log10 of the pair's probability over the word's; bin 0 is a pair not seen elsewhere."""
+        with np.errstate(invalid="ignore"):
+            r = np.minimum(0, self.log_pair[q_pair] - self.log_context[q_context]) - self.log_word[q_word]
+            bins = np.clip(np.round(r / BIN_STEP) + RATIO_BINS // 4, 1, RATIO_BINS - 1)
+        return np.where(np.isfinite(r), bins, 0).astype(np.int64)
 
 
 def _levels(filt: LogFrequencyFilter, tokens: np.ndarray, context: np.ndarray):
-    """Levels of pairs, contexts and words; each distinct word is probed once.  BEGIN counts as END."""
+    """Levels of pairs, contexts and words; each distinct one is probed once.  BEGIN counts as END."""
     u, back = np.unique(tokens, return_inverse=True)
-    q = filt.levels(word_keys(u))
-    q_word = q[back]
-    start = context == np.uint64(BEGIN)
+    q_word = filt.levels(u)[back]
     q_context = np.concatenate(([0], q_word[:-1]))
-    ends = filt.levels(word_keys(np.array([END], np.uint64)))[0]
-    q_context[start] = ends
-    return filt.levels(pair_keys(context, tokens)), q_context, q_word
-
-
-def ratio_bins(model: Interpolated, q_pair, q_context, q_word) -> np.ndarray:
-    """Leave-one-out: bin of log10 of the pair's probability over the word's; bin 0 is a pair not seen elsewhere."""
-    c, h = level_floor(q_pair) - 1, level_ceiling(q_context) - 1
-    word = np.maximum(level_floor(q_word), 1) / (model.mass + model.types + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.log10(np.where((c > 0) & (h > 0), np.minimum(1, c / np.maximum(h, 1)), 0) / word)
-    return np.where(np.isfinite(r), np.clip(np.round(r / BIN_STEP) + RATIO_BINS // 4, 1, RATIO_BINS - 1), 0).astype(np.int64)
+    q_context[context == np.uint64(BEGIN)] = filt.levels(np.array([END], np.uint64))[0]
+    u, back = np.unique(pair_keys(context, tokens), return_inverse=True)
+    return filt.levels(u)[back], q_context, q_word
 
 
-def fit_weights(rows: list, levels: int = 256, rounds: int = 60) -> np.ndarray:
+def fit_weights(rows: list, levels: int = MOST_LEVELS, rounds: int = 60) -> np.ndarray:
     """EM on rows (level, bin, n), each level for itself, drawn to the weight of all."""
     n = np.zeros((levels, RATIO_BINS))
     for r in rows:
@@ -242,14 +259,14 @@ def _open(parts) -> LogFrequencyFilter:
 
 def _gatherer(parts, model: Interpolated):
     def gather(batches):
-        filt, total = _open(parts), np.zeros((256, RATIO_BINS), np.int64)
+        filt, total = _open(parts), np.zeros(MOST_LEVELS * RATIO_BINS, np.int64)
         for batch in batches:
             for _, group in blocks(batch.column(0).to_pylist()):
                 tokens, context, _ = sequence(Words(group))
                 q = _levels(filt, tokens, context)
-                np.add.at(total, (np.minimum(q[1], 255), ratio_bins(model, *q)), 1)
-        a, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], ["level", "bin", "n"])
+                total += np.bincount(model.left_level[q[1]] * RATIO_BINS + model.ratio_bins(*q), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // RATIO_BINS), pa.array(at % RATIO_BINS), pa.array(total[at])], ["level", "bin", "n"])
 
     return gather
 
@@ -260,21 +277,25 @@ def _scorer(parts, model: Interpolated | None, heavy):
     def score(batches):
         filt = _open(parts) if parts else None
         words, logs = heavy.value
+        if not len(words):
+            words, logs = np.zeros(1, np.uint64), np.zeros(1)
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, got = batch.column(0), []
             for _, group in blocks(batch.column(1).to_pylist()):
                 tokens, context, first = sequence(Words(group))
                 lp = model.log10(*_levels(filt, tokens, context)) if parts else np.zeros(len(tokens))
-                lp = np.concatenate(([0], np.cumsum(lp)))
-                at = np.minimum(np.searchsorted(words, tokens), max(0, len(words) - 1))
-                known = words[at] == tokens if len(words) else np.zeros(len(tokens), bool)
-                base = np.concatenate(([0], np.cumsum(np.where(known, logs[at], 0) if len(words) else np.zeros(len(tokens)))))
+                lp = np.add.reduceat(lp, first[:-1])
+                u, back = np.unique(tokens, return_inverse=True)
+                at = np.minimum(np.searchsorted(words, u), len(words) - 1)
+                known = words[at] == u
+                value, known = np.where(known, logs[at], 0.0)[back], known[back]
+                base = np.add.reduceat(value, first[:-1])
                 for i in range(len(group)):
                     lo, hi = first[i], first[i + 1]
                     rest = ~known[lo:hi]
                     u, n = np.unique(tokens[lo:hi][rest], return_counts=True)
-                    got.append((hi - lo, hi - lo - rest.sum(), base[hi] - base[lo], lp[hi] - lp[lo], u.view(np.int64), n))
+                    got.append((hi - lo, hi - lo - rest.sum(), base[i], lp[i], u.view(np.int64), n))
             cols = list(zip(*got, strict=True)) if got else [()] * 6
             uid = (part << 40) + row + np.arange(len(got))
             row += len(got)
@@ -325,7 +346,7 @@ def _joined_math(model: Interpolated, bins: bool):
             q = [level_of(b.column(i).to_numpy()) for i in (2, 3, 4)]
             m = b.column(1).to_numpy()
             if bins:
-                yield pa.RecordBatch.from_arrays([pa.array(q[1]), pa.array(ratio_bins(model, *q)), pa.array(m)], ["level", "bin", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(model.left_level[q[1]]), pa.array(model.ratio_bins(*q)), pa.array(m)], ["level", "bin", "n"])
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m * model.log10(*q))], ["uid", "s"])
 
@@ -342,15 +363,14 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
     spark, sc = docs.sparkSession, Scratch(docs.sparkSession, "lm-score")
     learn = train.select(F.col(text_col).cast("string").alias("text"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = learn.mapInArrow(_counter, "seg int, key long, word long, n long").repartition("seg")
-    counts = counts.groupBy("seg", "key").agg(F.max("word").alias("word"), F.sum("n").alias("n"))
-    grouped = counts.sortWithinPartitions("seg").select("seg", "key", "word", "n")
-    built = sc.keep(grouped.mapInArrow(_builder, "seg int, bits binary, size long, words array<long>, counts array<long>, mass double"))
+    seg = F.shiftrightunsigned("key", 52).alias("seg")
+    counts = learn.mapInArrow(_counter, "key long, n long").repartition(seg).groupBy(seg, "key").agg(F.sum("n").alias("n"))
+    built = sc.keep(counts.sortWithinPartitions("seg").select("key", "n").mapInArrow(_builder, "seg int, bits binary, size long, words array<long>, counts array<long>, mass double"))
     words = built.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     size = built.agg(F.sum("size").alias("size"), F.sum("mass").alias("mass"), F.sum(F.size("words").cast("long")).alias("types"),
                      F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).first()
     tokens, types = size["tokens"] or 0, size["types"] or 0
-    model = Interpolated(size["mass"] or 0.0, types, np.ones(256))
+    model = Interpolated(size["mass"] or 0.0, types, np.ones(MOST_LEVELS))
     small = (size["size"] or 0) <= max_filter_bytes
 
     top = words.where(F.col("c") * HEAVY >= tokens).toArrow()
