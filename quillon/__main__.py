@@ -31,8 +31,11 @@ def build_sparse_index(spark, a):
     print(tables.build_or_load(spark, a.chunks, a.out).count())
 
 
-def _engine(spark, a, **more) -> Engine:
+def _engine(spark, a, offline: bool = False, **more) -> Engine:
+    """An engine by the environment and the arguments; ``offline``: with components that need no model."""
     config = EngineConfig.from_env()
+    if offline:
+        config.llm_provider = config.embedder_model = None
     for k, v in {"chunks_path": a.chunks, "retriever": getattr(a, "retriever", None), "verifier_method": getattr(a, "verifier", None), **more}.items():
         if v is not None:
             setattr(config, k, v)
@@ -62,7 +65,7 @@ def ablate(spark, a):
 def compare_sparse(spark, a):
     gold = tables.read_gold(spark, a.gold).select(F.col("id").alias("query_id"), "query")
     pages = tables.read_chunks(spark, a.chunks).select("chunk_id", F.col("parallel_id").alias("page_id"))
-    found = [evaluation.page_ranking(_engine(spark, a, retriever="sparse", sparse_backend=b).retriever.search(gold, a.top_k).join(pages, "chunk_id")) for b in ("memory", "fts5")]
+    found = [evaluation.page_ranking(_engine(spark, a, True, retriever="sparse", sparse_backend=b).retriever.search(gold, a.top_k).join(pages, "chunk_id")) for b in ("memory", "fts5")]
     evaluation.parity(*found).show()
 
 
@@ -80,7 +83,7 @@ def eval_refusal(spark, a):
 
 
 def eval_gate(spark, a):
-    engine = _engine(spark, a, retriever="sparse", verifier_method="lexical")
+    engine = _engine(spark, a, True, retriever="sparse", verifier_method="lexical")
     recall = engine.evaluate(tables.read_gold(spark, a.gold)).where("lang is null").select(F.lit("bm25_recall_at_5").alias("metric"), F.col("recall_at_5").alias("value"))
     accuracy = evaluation.label_metrics(engine.evaluate_verifier(tables.read_faithfulness(spark, a.items))).limit(1)
     got = evaluation.gate(recall.union(accuracy.select(F.lit("lexical_faithfulness_accuracy"), "accuracy")))

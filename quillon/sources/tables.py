@@ -69,14 +69,14 @@ PARTS = ("postings", "doc_stats", "term_idf", "corpus_stats")
 
 
 def is_current(spark: SparkSession, path: str, state: dict) -> bool:
-    fs, p = _fs(spark, f"{path}/_state.json")
-    return fs.exists(p) and json.loads(spark.read.text(f"{path}/_state.json", wholetext=True).first().value) == state
+    fs, p = _fs(spark, f"{path}/state.json")
+    return fs.exists(p) and json.loads(spark.read.text(f"{path}/state.json", wholetext=True).first().value) == state
 
 
 def save_index(index: bm25.Bm25Index, path: str, state: dict) -> None:
     """Four Parquet tables; postings are clustered by term, so that a search skips row groups; the state comes last."""
     spark = index.postings.sparkSession
-    fs, marker = _fs(spark, f"{path}/_state.json")
+    fs, marker = _fs(spark, f"{path}/state.json")
     fs.delete(marker, False)
     index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     for part in PARTS[1:]:
@@ -106,7 +106,7 @@ def upsert_vectors(chunks: DataFrame, embedder, path: str) -> DataFrame:
     from ..functions.text import for_embedding, point_id
 
     spark = chunks.sparkSession
-    fs, marker = _fs(spark, f"{path}/_state.json")
+    fs, marker = _fs(spark, f"{path}/state.json")
     have = collection_state(spark, path)
     new = chunks.dropDuplicates(["chunk_id"]).withColumn("point_id", point_id(F.col("chunk_id")))
     new = new.withColumn("embedding", embedder.embed_passages(for_embedding(F.col("title"), F.col("section_path"), F.col("text"))))
@@ -128,8 +128,8 @@ def upsert_vectors(chunks: DataFrame, embedder, path: str) -> DataFrame:
 
 
 def collection_state(spark: SparkSession, path: str) -> dict | None:
-    fs, marker = _fs(spark, f"{path}/_state.json")
-    return json.loads(spark.read.text(f"{path}/_state.json", wholetext=True).first().value) if fs.exists(marker) else None
+    fs, marker = _fs(spark, f"{path}/state.json")
+    return json.loads(spark.read.text(f"{path}/state.json", wholetext=True).first().value) if fs.exists(marker) else None
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
