@@ -36,7 +36,7 @@ LEXICON = {
         imbécil estúpido estúpida gilipollas cabrón escoria basura asqueroso asquerosa
     """,
     THREAT: """
-        kill murder hurt destroy stab shoot strangle beat burn hang lynch exterminate eliminate crush
+        kill murder hurt destroy stab shoot strangle lynch exterminate
         töten umbringen tuer tuerai matar mataré
     """,
     TARGET: """
@@ -56,13 +56,13 @@ LEXICON = {
 #: how many words a negation or a target reaches
 NEGATION_REACH, TARGET_REACH = 3, 4
 EVENTS = list(product(("insult", "threat"), (0, 1), ("plain", "negated", "reported")))
-PRIOR = {"insult": 3.0, "threat": 0.0}
+PRIOR = {"insult": 4.0, "threat": 1.0}
 PRIOR_BIAS = -3.0
 
 
 def prior_weight(event) -> float:
     kind, targeted, how = event
-    w = PRIOR[kind] + (2.5 if targeted and kind == "threat" else 1.0 if targeted else 0.0)
+    w = PRIOR[kind] + (3.5 if targeted and kind == "threat" else 1.0 if targeted else 0.0)
     return w if how == "plain" else 0.2 * w
 
 
