@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, mixing, ngram_join, pii, toxicity
-from quillon.llm.common import Scratch
+from quillon.llm.common import Scratch, free_name
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the changed texts; nulls stay null."""
-    out = pii.redacted(docs.withColumn("_text", F.col("text")), pii.train(docs))
-    changed = ~F.col("text").eqNullSafe(F.col("_text"))
+    before = free_name(docs, "_text")
+    out = pii.redacted(docs.withColumn(before, F.col("text")), pii.train(docs))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     return out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -25,6 +25,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, or it with underscores in front, whichever is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
@@ -50,9 +58,15 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Deletes all tables kept so far; nothing may read them any more."""
+        self._delete(self.at)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

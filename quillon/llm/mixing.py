@@ -105,6 +105,10 @@ def mix_sources(
     """
     sc = Scratch(docs.sparkSession, "mixing")
     docs = docs.drop("n_tokens", "weight", "epoch", "block", "block_rank", "doc_key")
+    # positions, as the columns of docs may have any names
+    columns, place = docs.columns, {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    docs, id_col, source_col, text_col = docs.toDF(*place.values()), place[id_col], place[source_col], place[text_col]
+    own = [F.col(place[c]).alias(c) for c in columns]
     slim = sc.keep(_keyed(docs, id_col, source_col, text_col).select("_source", "_id", "_tokens"))
     totals = sc.keep(slim.groupBy("_source").agg(F.sum("_tokens").alias("tokens")).where("tokens > 0"))
     a = exponent(totals, target_entropy, max_repeats)
@@ -141,12 +145,12 @@ def mix_sources(
 
     plan = blocks.drop("left").join(cut, "_source", "left").join(sources.select("_source", "weight"), "_source")
     told = _keyed(docs, id_col, source_col, text_col)
-    names = [*docs.columns, F.col("_tokens").alias("n_tokens"), "weight", "epoch", "block", "block_rank", "doc_key"]
+    names = [*own, F.col("_tokens").alias("n_tokens"), "weight", "epoch", "block", "block_rank", "doc_key"]
     read = told.where("_tokens > 0").join(sources.select("_source", "blocks"), "_source").withColumn("block", _block(F.col("blocks")))
     read = read.join(plan, ["_source", "block"]).withColumn("doc_key", doc_key)
     read = read.where("state = 'all' or doc_key <= cut").select(*names)
     empty = told.where("_tokens = 0").select(
-        *docs.columns, F.col("_tokens").alias("n_tokens"), F.lit(0.0).alias("weight"), F.lit(0).alias("epoch"), F.lit(0).alias("block"),
+        *own, F.col("_tokens").alias("n_tokens"), F.lit(0.0).alias("weight"), F.lit(0).alias("epoch"), F.lit(0).alias("block"),
         F.lit(0).alias("block_rank"), F.md5(F.concat(F.lit("doc|"), "_id", F.lit("|0")).cast("binary")).alias("doc_key"),
     )
     return read.union(empty)

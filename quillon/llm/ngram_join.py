@@ -14,6 +14,10 @@ one leaf cell and one shuffle key.  Inside the cells that hold several sets, poi
 packed into nodes with upper corners, overlap is bounded by the sum over coordinates of the
 minima (node first, point next), and survivors are verified on the exact sets.
 
+Spare blocks make linked points agree on several cells, ``least`` of them at least.  So a
+class that shares fewer cells goes, and every class may leave its hottest ``least - 1`` cells,
+hottest by one order for all: linked classes still meet in the coolest one they share.
+
 No link is lost: cells are complete, the bound never underestimates, verification is
 exact on 64-bit shingle hashes.  Sets that are equal are one class (64-bit digest of the
 set) from the first pass on, so copies never meet as pairs.  Cells are first linked to
@@ -34,14 +38,16 @@ from .common import Scratch, components
 from .textkit import Words, blocks, mix, shingle_hashes
 
 BAND_RATIO = 1.5
+#: one spare block for so many that may differ
+SPARE = 5
 GROUPS_PER_BLOCK = 1 << 16
 #: members of a cell that one task compares at once
 CHUNK = 512
 NODE = 32
 #: a member carries at most so many groups of its point, and so many of its cells
-POINT_GROUPS, CARRIED = 256, 24
-#: bits of the broadcast bitmap of candidate documents (8 MB whatever the input)
-BITMAP_BITS = 1 << 26
+POINT_GROUPS, CARRIED = 128, 4
+#: bits of the broadcast bitmaps of candidate documents and of shared cells (8 and 16 MB whatever the input)
+BITMAP_BITS, CELL_BITS = 1 << 26, 1 << 27
 
 
 def tau(n: int, num: int, den: int) -> int:
@@ -57,20 +63,20 @@ def bands(limit: int, num: int, den: int) -> list[tuple[int, int]]:
         while tau(high, num, den) == tau(low, num, den):
             high += 1
         t = tau(high - 1, num, den)
-        out.append((low, t + 1 + t // 12))
+        out.append((low, t + 1 + t // SPARE))
         low = high
     return out
 
 
-def cell_keys(u: np.ndarray, table: list[tuple[int, int]], starts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Leaf cells of the set ``u``: for its own band and for each with larger partners."""
-    n, out = len(u), []
+def cell_keys(u: np.ndarray, table: list[tuple[int, int]], starts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Leaf cells of the set ``u``, for its own band and for each with larger partners, and how many of them
+    a linked set shares at least."""
+    n, out, least = len(u), [], None
     first = int(np.searchsorted(starts, n, "right")) - 1
     last = int(np.searchsorted(starts, n * den // num, "right")) - 1
     for band in range(first, last + 1):
         low, count = table[band]
-        high = starts[band + 1] - 1 if band + 1 < len(starts) else n * den // num
-        spare = count - 1 - tau(max(low, int(high)), num, den)
+        spare = count - 1 - tau(max(low, int(starts[band + 1]) - 1), num, den)
         a = mix(u, 101 + band)
         block = (a % np.uint64(count)).astype(np.int64)
         with np.errstate(over="ignore"):
@@ -80,17 +86,26 @@ def cell_keys(u: np.ndarray, table: list[tuple[int, int]], starts: np.ndarray, n
             b = block[order]
             cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
             sums, which = np.add.reduceat(code[order], cut), b[cut]
-            if count - len(which) > spare:  # linked sets agree on more blocks than the spare ones
+            # empty blocks count among those that agree; they are no cells while other ones remain
+            here = spare + 1 - (count - len(which))
+            if here < 1:
                 missing = np.setdiff1d(np.arange(count), which)
                 sums, which = np.concatenate((sums, np.zeros(len(missing), np.uint64))), np.concatenate((which, missing))
+                here = 1
+            least = here if least is None else min(least, here)
             out.append(mix(sums + mix(which.astype(np.uint64), 7 + band), 3))
-    return np.concatenate(out)
+    return np.concatenate(out), least
+
 
+def point(u: np.ndarray) -> bytes:
+    """Group counts, a byte each where they fit; the groups are about half of the size and a power of two, so that points fold."""
+    size = min(POINT_GROUPS, max(64, 1 << max(0, math.ceil(math.log2(max(1, len(u)) / 2)))))
+    c = np.bincount((mix(u, 5) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return b"1" + c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b"4" + c.astype(np.int32).tobytes()
 
-def point(u: np.ndarray) -> np.ndarray:
-    """Group counts; the groups are about a quarter of the size and a power of two, so that points fold."""
-    size = min(POINT_GROUPS, max(64, 1 << max(0, math.ceil(math.log2(max(1, len(u)) / 4)))))
-    return np.bincount((mix(u, 5) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32)
+
+def _opened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if raw[:1] == b"1" else np.int32, offset=1).astype(np.int32)
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -111,7 +126,7 @@ def _sketcher(k: int, num: int, den: int):
         table = bands(1 << 12, num, den)
         starts = np.array([x[0] for x in table])
         for batch in batches:
-            n, cls, keys, seen = [], [], [], set()
+            n, cls, keys, least, seen = [], [], [], [], set()
             for _, u in _sets(batch, k):
                 if len(u) * den // num >= starts[-1]:
                     table = bands(4 * len(u), num, den)
@@ -120,11 +135,13 @@ def _sketcher(k: int, num: int, den: int):
                 n.append(len(u))
                 cls.append(c)
                 # a copy within the batch has sent its cells already
-                keys.append([] if c is None or c in seen else cell_keys(u, table, starts, num, den).view(np.int64))
+                k_least = (np.zeros(0, np.uint64), None) if c is None or c in seen else cell_keys(u, table, starts, num, den)
+                keys.append(k_least[0].view(np.int64))
+                least.append(k_least[1])
                 seen.add(c)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n", "cls", "keys"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.int32())],
+                ["id", "n", "cls", "keys", "least"],
             )
 
     return sketch
@@ -135,10 +152,8 @@ def _expander(k: int, bitmap):
         bits = np.frombuffer(bitmap.value, np.uint64)
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = ids & (BITMAP_BITS - 1)
-            hit = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            some = batch.filter(pa.array(hit.astype(bool)))
-            rows = [(_digest(u), len(u), u.view(np.int64), point(u).tobytes()) for _, u in _sets(some, k) if len(u)]
+            some = batch.filter(pa.array(_hit(bits, ids)))
+            rows = [(_digest(u), len(u), u.view(np.int64), point(u)) for _, u in _sets(some, k) if len(u)]
             for i in range(0, len(rows), 1000):
                 c, n, s, v = zip(*rows[i : i + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -202,7 +217,7 @@ def _cell_joiner(num: int, den: int):
             if len(c["key"]) < 2 or (c["comp"] == c["comp"][0]).all():
                 continue
             side = (c["chunk"] == c["j"][0]).astype(int) if c["i"][0] != c["j"][0] else np.zeros(len(c["key"]), int)
-            points = [np.frombuffer(x, np.int32) for x in c["point"]]
+            points = [_opened(x) for x in c["point"]]
             early = None
             for x, y in tree_pairs(points, c["n"], c["comp"], side, num, den):
                 if early is None:
@@ -219,18 +234,39 @@ def _cell_joiner(num: int, den: int):
     return join
 
 
-def _bitmap(spark, ids: DataFrame):
-    """A broadcast bitmap of id modulo BITMAP_BITS: 8 MB at most, whatever the number of ids."""
-    h = F.coalesce(F.col("id"), F.lit(0)).bitwiseAND(BITMAP_BITS - 1)
+def _bitmap(spark, ids: DataFrame, size: int):
+    """A broadcast bitmap of id modulo ``size``, of a fixed size whatever the number of ids."""
+    h = F.coalesce(F.col("id"), F.lit(0)).bitwiseAND(size - 1)
     words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
     )
     got = words.toArrow()
-    out = np.zeros(BITMAP_BITS >> 6, np.int64)
+    out = np.zeros(size >> 6, np.int64)
     out[got["w"].to_numpy()] = got["bits"].to_numpy()
     return spark.sparkContext.broadcast(out.tobytes())
 
 
+def _hit(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = ids & (len(bits) * 64 - 1)
+    return ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _shared_cells(bitmap):
+    """(cls, key) of the cells that the bitmap may hold, of rows (cls, keys)."""
+
+    def pick(batches):
+        bits = np.frombuffer(bitmap.value, np.uint64)
+        for batch in batches:
+            keys = batch.column(1)
+            size = np.diff(keys.offsets.to_numpy())
+            flat = keys.flatten().to_numpy()
+            hit = _hit(bits, flat)
+            owner = np.repeat(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), pa.array(flat[hit])], ["cls", "key"])
+
+    return pick
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose exact sets link."""
     x, y = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("items").alias(f"s_{c}")) for c in "ab")
@@ -244,7 +280,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     )
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_shingles, component_id) for each row of ``docs``.
 
     component_id is the smallest id among the rows reachable by links, the row itself
@@ -255,40 +291,57 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be above 0 and at most 1")
-    spark, sc = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
+    spark, sc = docs.sparkSession, scratch or Scratch(docs.sparkSession, "ngram-join")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = sc.keep(texts.mapInArrow(_sketcher(k, num, den), "id long, n long, cls long, keys array<long>"))
+    sketched = sc.keep(texts.mapInArrow(_sketcher(k, num, den), "id long, n long, cls long, keys array<long>, least int"))
     cells = sketched.select(F.explode("keys").alias("key"), "cls")
 
-    # cells with several classes; their members, and their links to the smallest
+    # cells with several classes, and their members that are in enough of them
     many = cells.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").drop("hi")
-    members = sc.keep(cells.join(many, "key").distinct())
-    stars = members.where("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct()
-
-    owner = sketched.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
-    bits = _bitmap(spark, owner.join(members.select("cls").distinct(), "cls", "left_semi"))
+    many = sc.keep(many)
+    # only cells that may be among them are shuffled; what the bitmap lets through besides, the join drops
+    shared = _bitmap(spark, many.select(F.col("key").alias("id")), CELL_BITS)
+    cells = sketched.select("cls", "keys").mapInArrow(_shared_cells(shared), "cls long, key long")
+    owner = sketched.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("least").alias("least"))
+    met = cells.join(many, "key").groupBy("cls").agg(F.collect_set(F.struct("key", "lo")).alias("cells"))
+    met = met.join(owner, "cls").where(F.size("cells") >= F.col("least"))
+    # a class with itself as the smallest of a cell needs others there: they are in the other rows
+    members = sc.keep(met.select("cls", "id", "least", "cells"))
+    # the cells of all sets are not read again
+    whole, sketched = sketched, sc.keep(sketched.select("id", "n", "cls"))
+    sc.drop(whole)
+    sc.drop(many)
+    flat = members.select("cls", "least", F.explode("cells").alias("c")).select("cls", "least", "c.key", "c.lo")
+    # links to the smallest class of several cells: these need not be all, they only join what is plainly near
+    stars = flat.where("cls <> lo").groupBy(F.col("lo").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("c"), F.max("least").alias("least"))
+    stars = stars.where("2 * c >= least").select("a", "b").join(members.select(F.col("cls").alias("a")), "a", "left_semi")
+
+    bits = _bitmap(spark, members.select("id"), BITMAP_BITS)
     sets = texts.mapInArrow(_expander(k, bits), "cls long, n long, items array<long>, point binary")
     sets = sc.keep(sets.dropDuplicates(["cls"]))
     linked = sc.keep(_verified(stars, sets, num, den))
     label = sc.keep(components(sc, linked))
 
-    # members of one cell that are still apart
-    placed = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    # members of one cell that are still apart: any that link share enough cells of this kind
+    placed = flat.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "least", F.coalesce("comp", "cls").alias("comp"))
     apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y")
-    # a pair of members is the smallest of the cell and another only where it has been verified
-    apart = apart.where("m > 2")
-    rest = placed.join(apart.select("key", "m"), "key").withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
+    rest = placed.join(apart.select("key", "m"), "key").groupBy("cls", "comp", "least").agg(F.collect_list(F.struct("m", "key")).alias("cells"))
+    rest = rest.where(F.size("cells") >= F.col("least")).withColumn("cells", F.sort_array("cells", asc=False))
+    rest = rest.withColumn("cells", F.slice("cells", F.col("least"), F.size("cells")))
     # a pair that shares several cells is compared in the first of them: members carry their first cells
-    carried = rest.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED).alias("keys"))
-    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    rest = rest.withColumn("o", other).select(
-        "key", "cls", "comp", "chunk", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j")
-    )
-    rest = rest.join(sets.select("cls", "n", "point").join(carried, "cls"), "cls")
+    rest = sc.keep(rest.withColumn("keys", F.slice(F.sort_array(F.transform("cells", lambda x: x["key"])), 1, CARRIED)))
+    spread = rest.select("cls", "comp", F.explode("cells.key").alias("key"))
+    size = spread.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    spread = spread.join(size.select("key", "m"), "key").withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
+    spread = spread.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int"))
+    spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    # points join a class once and go to its cells in one shuffle
+    place = F.struct("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk")
+    spread = spread.groupBy("cls").agg(F.collect_list(place).alias("places")).join(rest.select("cls", "comp", "keys"), "cls").join(sets.select("cls", "n", "point"), "cls")
     cell = ("key", "i", "j")
-    rest = rest.repartition(*cell).sortWithinPartitions(*cell).select(*cell, "cls", "comp", "chunk", "n", "point", "keys")
-    more = rest.mapInArrow(_cell_joiner(num, den), "a long, b long").distinct()
+    spread = spread.select("cls", "comp", "n", "point", "keys", F.explode("places").alias("p")).select("p.key", "p.i", "p.j", "p.chunk", "cls", "comp", "n", "point", "keys")
+    spread = spread.repartition(*cell).sortWithinPartitions(*cell).select(*cell, "cls", "comp", "chunk", "n", "point", "keys")
+    more = spread.mapInArrow(_cell_joiner(num, den), "a long, b long").distinct()
     more = more.join(stars, ["a", "b"], "left_anti")
     linked2 = sc.keep(_verified(more, sets, num, den))
     label = components(sc, linked.union(linked2))
@@ -306,14 +359,19 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Repeated rows leave one; rows that share an id but not their contents stay or go
     together.  A null id names no document: such rows stay.  Texts without a word stay.
     """
-    found = Scratch(docs.sparkSession, "ngram-groups").keep(jaccard_components(docs, id_col, text_col, k, num, den).where("id is not null"))
+    inner = Scratch(docs.sparkSession, "ngram-join")
+    found = jaccard_components(docs, id_col, text_col, k, num, den, inner).where("id is not null")
+    found = Scratch(docs.sparkSession, "ngram-groups").keep(found)
+    inner.clear()
+    # positions, as the columns of docs may have any names
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain, same = docs.toDF(*names), F.col(names[docs.columns.index(id_col)]).cast("long") == F.col("id")
     gone = found.where("id <> component_id").select("id").distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("id"), "left_anti")
+    kept = plain.join(gone, same, "left_anti")
     twice = found.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id")
-    if twice.isEmpty():
-        return kept
-    same = F.col(id_col).cast("long") == F.col("id")
-    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").distinct())
+    if not twice.isEmpty():
+        kept = kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").distinct())
+    return kept.toDF(*docs.columns)
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
 #: leftmost matches as of the plain patterns; starts inside a run that failed as a whole are
@@ -274,8 +276,9 @@ def redacted(docs: DataFrame, model: Boosted, text_col: str = "text") -> DataFra
 
     A null text stays null; texts without accepted spans are unchanged.
     """
-    got = with_spans(docs, model, text_col, "_spans")
-    by_place = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = free_name(docs, "_spans")
+    got = with_spans(docs, model, text_col, spans)
+    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     tag = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -288,8 +291,8 @@ def redacted(docs: DataFrame, model: Boosted, text_col: str = "text") -> DataFra
     def finish(acc):
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col)))
 
-    new = F.when(F.size("_spans") == 0, F.col(text_col)).otherwise(F.aggregate(by_place, start, put, finish))
-    return got.withColumn(text_col, new).drop("_spans")
+    new = F.when(F.size(spans) == 0, F.col(text_col)).otherwise(F.aggregate(by_place, start, put, finish))
+    return got.withColumn(text_col, new).drop(spans)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
