@@ -1,22 +1,29 @@
 """Licence scans: normalised passages against licence templates by the Dice coefficient.
 
-A text's passages are its lines, its sentences, its paragraphs and the whole.  A passage and
-a template are compared as sets of word bigrams, 2 |A & B| / (|A| + |B|).  For a least value
-d the sizes of a passage and a template that can reach it differ by a factor of at most
-(2 - d) / d, so passages outside the bounds of every template go before their bigrams are
-listed, and the rest meet only templates in bounds.  The bigrams of the templates are a
-fixed table of some hundreds of rows, which is broadcast.
+A text's passages are its lines, the sentences of a line, its paragraphs and the whole.  A
+passage and a template are compared as multisets of word bigrams, 2 |A & B| / (|A| + |B|).
+For a least value d their sizes differ by a factor of at most (2 - d) / d, so passages go by
+their number of words before their bigrams are listed, and the rest meet only templates in
+bounds.  A passage that reaches d holds at least ``share`` of a template's bigrams, so it
+holds a word of any set of words that touches more than the rest of them: texts without one
+of those words are passed over, which loses nothing.  The templates' bigrams are a fixed
+table of some hundreds of rows, which is broadcast.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
 
+#: fixed values: words too common to search for while others serve
+COMMON = frozenset("a an and any are as at be by can for from has if in is it its may not of on one or so such that the this to under use was which with you your".split())
+
 #: fixed values: licence notices as their publishers word them
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -50,25 +57,54 @@ TEMPLATES = (
 )
 
 
-def template_bigrams(templates=TEMPLATES) -> list[tuple[int, str, int, str]]:
-    """(template, licence, distinct bigrams, bigram) of each template."""
+def _words(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+
+
+def template_bigrams(templates=TEMPLATES) -> list[tuple[int, str, int, str, int]]:
+    """(template, licence, bigrams, bigram, times) of each template."""
     out = []
     for i, (name, text) in enumerate(templates):
-        words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
-        pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
-        out += [(i, name, len(pairs), p) for p in pairs]
+        words = _words(text)
+        pairs = Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+        out += [(i, name, len(words) - 1, p, n) for p, n in sorted(pairs.items())]
     return out
 
 
-def passages(text: Column) -> Column:
-    """Distinct normalised passages."""
-    text = F.regexp_replace(text, r"\r\n?", "\n")
-    lines = F.split(text, "\n")
-    sentences = F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
-    paragraphs = F.split(text, r"\n[ \t]*\n")
-    units = F.concat(lines, sentences, paragraphs, F.array(text))
-    plain = F.transform(units, lambda u: F.trim(F.regexp_replace(F.lower(u), r"[^\p{L}\p{N}]+", " ")))
-    return F.array_distinct(plain)
+def needed_words(least: float = LEAST, templates=TEMPLATES) -> list[str]:
+    """Words of which every passage that reaches ``least`` holds one: long words first, as they are rarer, common ones last."""
+    share = least * (1 + least / (2 - least)) / 2
+    out: set[str] = set()
+    for _, text in templates:
+        words = _words(text)
+        pairs = list(zip(words, words[1:], strict=False))
+        spare, chosen = len(pairs) - math.ceil(share * len(pairs) - 1e-9), set()
+        for w in sorted(set(words), key=lambda w: (w in COMMON, -len(w), w)):
+            if sum(a in chosen or b in chosen for a, b in pairs) > spare:
+                break
+            chosen.add(w)
+        out |= chosen
+    return sorted(out)
+
+
+def normalised(text: Column) -> Column:
+    """Lower-case words with one space between, line breaks kept, sentence ends within a line as \\x01."""
+    text = F.regexp_replace(F.regexp_replace(F.lower(text), r"\r\n?", "\n"), r"([.!?])[ \t]+", "$1\x01")
+    return F.regexp_replace(text, r"[^\p{L}\p{N}\n\x01]+", " ")
+
+
+def _plain(unit: Column) -> Column:
+    return F.trim(F.regexp_replace(unit, r"[\n\x01 ]+", " "))
+
+
+def passages(plain: Column, low: float, high: float) -> Column:
+    """Distinct passages of a normalised text whose numbers of bigrams are in bounds."""
+    lines = F.split(plain, "\n")
+    sentences = F.flatten(F.transform(F.filter(lines, lambda x: F.contains(x, F.lit("\x01"))), lambda x: F.split(x, "\x01")))
+    wide = F.when(plain.rlike(r"\n *\n"), F.split(plain, r"\n *\n")).otherwise(F.array().cast("array<string>"))
+    units = F.transform(F.concat(lines, sentences, wide, F.array(plain)), _plain)
+    bigrams = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
+    return F.array_distinct(F.filter(units, lambda u: bigrams(u).between(low, high)))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, templates=TEMPLATES) -> DataFrame:
@@ -76,25 +112,27 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     dice is the best of its passages' values, ``passages`` the number of distinct ones that
     reach ``least``, ``passage`` the first of the best in alphabetical order.  Null and empty
-    texts and texts of one word have none; repeated rows with one id are one text set, rows
+    texts and texts of one word have none; rows with one id are one set of passages, rows
     with a null id another; other columns are not read.
     """
     spark = docs.sparkSession
     rows = template_bigrams(templates)
-    table = spark.createDataFrame(rows, "template int, license string, size int, bigram string")
+    table = spark.createDataFrame(rows, "template int, license string, size int, bigram string, times int")
     bound = (2 - least) / least
     low, high = min(r[2] for r in rows) / bound, max(r[2] for r in rows) * bound
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    units = text.select("id", F.explode(passages(F.col("text"))).alias("passage"))
-    units = units.withColumn("words", F.split("passage", " ")).where(F.size("words") - 1 >= low)
-    units = units.withColumn(
-        "pairs",
-        F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))),
-    )
-    units = units.withColumn("n", F.size("pairs")).where(F.col("n").between(low, high)).select("id", "passage", "n", F.explode("pairs").alias("bigram"))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col).cast("string")).alias("plain"))
+    needed = F.array(*[F.lit(w) for w in needed_words(least, templates)])
+    text = text.where(F.arrays_overlap(F.split("plain", r"[\n\x01 ]"), needed))
+    units = text.select("id", F.explode(passages(F.col("plain"), low, high)).alias("passage")).withColumn("words", F.split("passage", " "))
+    units = units.where(F.arrays_overlap("words", needed))
+    n = F.size("words") - 1
+    pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    units = units.select("id", "passage", n.alias("n"), F.explode(F.array_distinct(F.transform(pairs, lambda p: F.struct(p.alias("bigram"), F.size(F.filter(pairs, lambda q: q == p)).alias("here"))))).alias("x"))
+    units = units.select("id", "passage", "n", "x.bigram", "x.here")
     met = units.join(F.broadcast(table), "bigram").where(F.col("n").between(F.col("size") / bound, F.col("size") * bound))
-    # a repeated row's passages come several times: the bigrams are counted once
-    both = met.groupBy("id", "passage", "n", "template", "license", "size").agg(F.count_distinct("bigram").alias("o"))
+    # repeated rows bring their passages several times: a bigram of a passage counts once
+    met = met.groupBy("id", "passage", "n", "template", "license", "size", "bigram").agg(F.least(F.max("here"), F.max("times")).alias("o"))
+    both = met.groupBy("id", "passage", "n", "template", "license", "size").agg(F.sum("o").alias("o"))
     dice = both.withColumn("dice", 2.0 * F.col("o") / (F.col("n") + F.col("size"))).where(F.col("dice") >= least)
     return dice.groupBy("id", "license").agg(
         F.round(F.max("dice"), 9).alias("dice"),
@@ -110,21 +148,21 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = ",\n  ".join(f"({i}, '{name}', {n}, '{p}')" for i, name, n, p in template_bigrams())
+    rows = ",\n  ".join(f"({i}, '{name}', {n}, '{p}', {t})" for i, name, n, p, t in template_bigrams())
     bound = (2 - LEAST) / LEAST
     return f"""
-WITH t(template, license, size, bigram) AS (VALUES
+WITH t(template, license, size, bigram, times) AS (VALUES
   {rows}),
 d AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL),
 u AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(unnest(list_concat(string_split(text, chr(10)),
     string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)),
-    string_split_regex(text, '\\n[ \\t]*\\n'), [text]))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS passage FROM d),
+    string_split_regex(text, '\\n[^\\p{{L}}\\p{{N}}\\n]*\\n'), [text]))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS passage FROM d),
 w AS (SELECT *, string_split(passage, ' ') AS words FROM u),
-b AS (SELECT doc_id, passage, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs
-  FROM w WHERE len(words) BETWEEN 2 AND 100000),
-e AS (SELECT doc_id, passage, len(pairs) AS n, unnest(pairs) AS bigram FROM b),
-m AS (SELECT doc_id, passage, license, 2.0::DOUBLE * count(*) / (n + size) AS dice FROM e JOIN t USING (bigram)
-  GROUP BY doc_id, passage, n, template, license, size HAVING 2.0::DOUBLE * count(*) / (n + size) >= {LEAST} AND n BETWEEN size / CAST({bound} AS DOUBLE) AND size * CAST({bound} AS DOUBLE))
+e AS (SELECT doc_id, passage, len(words) - 1 AS n, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigram FROM w),
+c AS (SELECT doc_id, passage, n, bigram, count(*) AS here FROM e GROUP BY ALL),
+m AS (SELECT doc_id, passage, license, 2.0::DOUBLE * sum(least(here, times)) / (n + size) AS dice FROM c JOIN t USING (bigram)
+  WHERE n BETWEEN size / CAST({bound} AS DOUBLE) AND size * CAST({bound} AS DOUBLE)
+  GROUP BY doc_id, passage, n, template, license, size HAVING 2.0::DOUBLE * sum(least(here, times)) / (n + size) >= {LEAST})
 SELECT doc_id, license, round(max(dice), 9) AS dice, count(DISTINCT passage) AS passages, arg_min(passage, (-dice, passage)) AS passage
 FROM m GROUP BY doc_id, license
 """
