@@ -85,11 +85,9 @@ def search(index: Bm25Index, queries: DataFrame, k: int = 5, lang_of: DataFrame
     """
     scored = scores(index, query_terms(queries), lang_of)
     if fill_zero_scores:
-        # k chunks of no score suffice for any query: those of the smallest ids, by language
-        fill = index.doc_stats.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("chunk_id")))
-        room = scored.groupBy("query_id").agg(F.count("*").alias("m"))
-        most = (room.agg(F.coalesce(F.max("m"), F.lit(0)).alias("m")).first()["m"]) if k else 0
-        fill = fill.where(F.col("rn") <= k + min(most, k * 1000)).select("chunk_id", "lang")
+        # only queries with fewer than k hits need filling: of any 2 k chunks, k are no hits of theirs
+        order = Window.partitionBy("lang").orderBy("chunk_id")
+        fill = index.doc_stats.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 2 * k).select("chunk_id", "lang")
         rest = queries.select("query_id").crossJoin(F.broadcast(fill))
         if lang_of is not None:
             rest = rest.join(lang_of.select("query_id", F.col("lang").alias("wanted_lang")), "query_id", "left").where("wanted_lang is null or lang = wanted_lang")
