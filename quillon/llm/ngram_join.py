@@ -353,6 +353,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _picker(bitmap, column: int, hit: bool):
+    """The rows whose id the bitmap holds, or those whose id it doesn't; a null id counts as 0."""
+
+    def pick(batches):
+        bits = np.frombuffer(bitmap.value, np.uint64)
+        for batch in batches:
+            ids = batch.column(column).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.filter(pa.array(_hit(bits, ids) == hit))
+
+    return pick
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is the smallest of their component.
 
@@ -367,7 +379,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain, same = docs.toDF(*names), F.col(names[docs.columns.index(id_col)]).cast("long") == F.col("id")
     gone = found.where("id <> component_id").select("id").distinct()
-    kept = plain.join(gone, same, "left_anti")
+    # only rows that may go are shuffled, not all texts
+    at = docs.columns.index(id_col)
+    bits = _bitmap(docs.sparkSession, gone, BITMAP_BITS)
+    maybe, sure = (plain.mapInArrow(_picker(bits, at, hit), plain.schema) for hit in (True, False))
+    kept = sure.union(maybe.join(gone, same, "left_anti"))
     twice = found.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id")
     if not twice.isEmpty():
         kept = kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").distinct())
