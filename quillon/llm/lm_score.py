@@ -12,8 +12,9 @@ the order of memory.  Probabilities interpolate pairs with words,
 
 where the weight l depends on the level of c(h) and is fitted by EM on leave-one-out
 likelihoods of all training tokens, gathered as a histogram of fixed size.  Where the
-filter would exceed ``max_filter_bytes`` it is not broadcast; the same levels are then
-joined to the texts' n-grams by shuffles.
+filter would exceed ``max_filter_bytes`` it is not broadcast: the distinct n-grams of each
+block of text go to the tasks that hold their segments, are probed there in the same way,
+and their levels come back to the block.  Both ways give the same levels.
 """
 
 from __future__ import annotations
@@ -257,46 +258,169 @@ def _open(parts) -> LogFrequencyFilter:
     return LogFrequencyFilter(offsets, np.frombuffer(raw, np.uint64))
 
 
-def _gatherer(parts, model: Interpolated):
-    def gather(batches):
-        filt, total = _open(parts), np.zeros(MOST_LEVELS * RATIO_BINS, np.int64)
+class KnownLevels:
+    """Levels that were probed elsewhere, of sorted keys."""
+
+    def __init__(self, keys: np.ndarray, found: np.ndarray):
+        self.keys, self.found = keys, found
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
+def _probed(parts):
+    """Rows (id, text) -> (ids, encoded texts, filter) of each block of text."""
+
+    def source(batches):
+        filt = _open(parts)
         for batch in batches:
-            for _, group in blocks(batch.column(0).to_pylist()):
-                tokens, context, _ = sequence(Words(group))
-                q = _levels(filt, tokens, context)
-                total += np.bincount(model.left_level[q[1]] * RATIO_BINS + model.ratio_bins(*q), minlength=len(total))
+            for at, group in blocks(batch.column(1).to_pylist()):
+                yield batch.column(0).slice(at, len(group)), group, filt
+
+    return source
+
+
+def _encoded(texts) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts.to_pylist()]
+
+
+def _distinct(group: list[bytes]) -> np.ndarray:
+    """Sorted keys of all words and pairs of some texts."""
+    tokens, context, _ = sequence(Words(group))
+    return np.unique(np.concatenate((tokens, pair_keys(context, tokens))))
+
+
+def _runs(batches):
+    """Tables of consecutive rows that agree in the first column, also across batches."""
+    held = []
+    for batch in batches:
+        value = batch.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1), len(value)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if hi == lo:
+                continue
+            if held and held[0].column(0)[0].as_py() != value[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numberer(batches):
+    """Texts with the number of their block and their place in it."""
+    part, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for at, group in blocks(batch.column(1).to_pylist()):
+            block = np.full(len(group), (part << 40) + n, np.int64)
+            n += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block), pa.array(np.arange(len(group), dtype=np.int32)), *(c.slice(at, len(group)) for c in batch.columns)], ["block", "at", "id", "text"]
+            )
+
+
+def _lister(batches):
+    """Distinct keys of each block, a row for each segment.  A block that two tasks share is listed
+    in parts, each under the place of its first text."""
+    for run in _runs(batches):
+        keys = _distinct(_encoded(run["text"]))
+        seg = segment_of(keys)
+        cut = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1, [len(seg)]))
+        n = len(cut) - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seg[cut[:-1]].astype(np.int32)), pa.array(np.full(n, run["block"][0].as_py(), np.int64)), pa.array(np.full(n, run["at"][0].as_py(), np.int32)),
+             pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(keys.view(np.int64)))],
+            ["seg", "block", "at", "keys"],
+        )
+
+
+def _prober(batches):
+    """Rows by segment, its bits before the keys -> the levels of each row's keys, a byte for each."""
+    held, words = -1, np.zeros(0, np.uint64)
+    for batch in batches:
+        seg = batch.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(seg[1:] != seg[:-1]) + 1), len(seg)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if hi == lo:
+                continue
+            if seg[lo] != held:
+                held, words = int(seg[lo]), np.zeros(0, np.uint64)
+            bits = batch.column(4)[lo].as_py()
+            if bits is not None:
+                words, lo = np.frombuffer(bits, np.uint64), lo + 1
+            rows = batch.slice(lo, hi - lo)
+            keys = rows.column(3).flatten().to_numpy().view(np.uint64)
+            offsets = np.zeros(SEGMENTS + 1, np.int64)
+            offsets[held + 1 :] = len(words)
+            found = np.minimum(LogFrequencyFilter(offsets, words).levels(keys), 255).astype(np.uint8)
+            ends = np.concatenate(([0], np.cumsum(rows.column(3).value_lengths().to_numpy()))).astype(np.int32)
+            levels = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(found.tobytes())])
+            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(0), levels], ["block", "at", "seg", "levels"])
+
+
+def _routed(batches):
+    """Rows by block, texts before levels -> (ids, encoded texts, levels) of each block or part of one."""
+    for run in _runs(batches):
+        n = int((run["kind"].to_numpy() == 0).sum())
+        texts, rest = run.slice(0, n), run.slice(n)
+        at, part = texts["at"].to_numpy(), rest["at"].to_numpy()
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            first = np.searchsorted(at, part[lo])
+            some = texts.slice(first, (np.searchsorted(at, part[hi]) if hi < len(part) else n) - first)
+            group = _encoded(some["text"])
+            found = np.frombuffer(b"".join(rest["levels"].slice(lo, hi - lo).to_pylist()), np.uint8).astype(np.int64)
+            yield some["id"].combine_chunks(), group, KnownLevels(_distinct(group), found)
+
+
+def _with_levels(sc: Scratch, texts: DataFrame, built: DataFrame) -> DataFrame:
+    """Texts (id, text) by block, and after each block's the levels of its keys."""
+    rows = sc.keep(texts.mapInArrow(_numberer, "block long, at int, id long, text string"))
+    keys = rows.select("block", "at", "text").mapInArrow(_lister, "seg int, block long, at int, keys array<long>").withColumn("bits", F.lit(None).cast("binary"))
+    bits = built.select("seg", F.lit(-1).cast("long").alias("block"), F.lit(0).alias("at"), F.lit(None).cast("array<long>").alias("keys"), "bits")
+    levels = keys.union(bits).repartition("seg").sortWithinPartitions("seg", "block").mapInArrow(_prober, "block long, at int, seg int, levels binary")
+    none = F.lit(None)
+    rows = rows.select("block", F.lit(0).alias("kind"), "at", F.lit(0).alias("seg"), "id", "text", none.cast("binary").alias("levels"))
+    levels = levels.select("block", F.lit(1).alias("kind"), "at", "seg", none.cast("long").alias("id"), none.cast("string").alias("text"), "levels")
+    return rows.union(levels).repartition("block").sortWithinPartitions("block", "kind", "at", "seg")
+
+
+def _gatherer(source, model: Interpolated):
+    def gather(batches):
+        total = np.zeros(MOST_LEVELS * RATIO_BINS, np.int64)
+        for _, group, filt in source(batches):
+            tokens, context, _ = sequence(Words(group))
+            q = _levels(filt, tokens, context)
+            total += np.bincount(model.left_level[q[1]] * RATIO_BINS + model.ratio_bins(*q), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at // RATIO_BINS), pa.array(at % RATIO_BINS), pa.array(total[at])], ["level", "bin", "n"])
 
     return gather
 
 
-def _scorer(parts, model: Interpolated | None, heavy):
+def _scorer(source, model: Interpolated, heavy):
     """One row for each text; words that are not heavy come along with their numbers in the text."""
 
     def score(batches):
-        filt = _open(parts) if parts else None
         words, logs = heavy.value
         if not len(words):
             words, logs = np.zeros(1, np.uint64), np.zeros(1)
         part, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, got = batch.column(0), []
-            for _, group in blocks(batch.column(1).to_pylist()):
-                tokens, context, first = sequence(Words(group))
-                lp = model.log10(*_levels(filt, tokens, context)) if parts else np.zeros(len(tokens))
-                lp = np.add.reduceat(lp, first[:-1])
-                u, back = np.unique(tokens, return_inverse=True)
-                at = np.minimum(np.searchsorted(words, u), len(words) - 1)
-                known = words[at] == u
-                value, known = np.where(known, logs[at], 0.0)[back], known[back]
-                base = np.add.reduceat(value, first[:-1])
-                for i in range(len(group)):
-                    lo, hi = first[i], first[i + 1]
-                    rest = ~known[lo:hi]
-                    u, n = np.unique(tokens[lo:hi][rest], return_counts=True)
-                    got.append((hi - lo, hi - lo - rest.sum(), base[i], lp[i], u.view(np.int64), n))
-            cols = list(zip(*got, strict=True)) if got else [()] * 6
+        for ids, group, filt in source(batches):
+            got = []
+            tokens, context, first = sequence(Words(group))
+            lp = np.add.reduceat(model.log10(*_levels(filt, tokens, context)), first[:-1])
+            u, back = np.unique(tokens, return_inverse=True)
+            at = np.minimum(np.searchsorted(words, u), len(words) - 1)
+            known = words[at] == u
+            value, known = np.where(known, logs[at], 0.0)[back], known[back]
+            base = np.add.reduceat(value, first[:-1])
+            for i in range(len(group)):
+                lo, hi = first[i], first[i + 1]
+                rest = ~known[lo:hi]
+                u, n = np.unique(tokens[lo:hi][rest], return_counts=True)
+                got.append((hi - lo, hi - lo - rest.sum(), base[i], lp[i], u.view(np.int64), n))
+            cols = list(zip(*got, strict=True))
             uid = (part << 40) + row + np.arange(len(got))
             row += len(got)
             yield pa.RecordBatch.from_arrays(
@@ -311,48 +435,6 @@ def _scorer(parts, model: Interpolated | None, heavy):
 _SCORED = "uid long, id long, n_tokens long, heavy_tokens long, heavy_base double, score double, rare array<long>, times array<long>"
 
 
-def _pair_lister(batches):
-    """Texts as rows (uid, context, word, times), for joining levels instead of probing."""
-    part, row = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for _, group in blocks(batch.column(1).to_pylist()):
-            tokens, context, first = sequence(Words(group))
-            for i in range(len(group)):
-                lo, hi = first[i], first[i + 1]
-                both, n = np.unique(np.column_stack((context[lo:hi], tokens[lo:hi])), axis=0, return_counts=True)
-                uid = np.full(len(n), (part << 40) + row, np.int64)
-                row += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid), pa.array(np.ascontiguousarray(both[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64)),
-                     pa.array(pair_keys(both[:, 0], both[:, 1]).view(np.int64)), pa.array(n)],
-                    ["uid", "h", "w", "hw", "m"],
-                )
-
-
-def _joined_pairs(texts: DataFrame, counts: DataFrame, words: DataFrame) -> DataFrame:
-    """(uid, m, c_hw, c_h, c_w): the n-grams of each text with their counts, by shuffled joins."""
-    rows = texts.mapInArrow(_pair_lister, "uid long, h long, w long, hw long, m long")
-    rows = rows.withColumn("h", F.when(F.col("h") == np.uint64(BEGIN).astype(np.int64).item(), np.uint64(END).astype(np.int64).item()).otherwise(F.col("h")))
-    pairs = counts.where(F.col("key").bitwiseAND(1) == 1).select(F.col("key").alias("hw"), F.col("n").alias("c_hw"))
-    out = rows.join(pairs, "hw", "left").drop("hw")
-    out = out.join(words.select(F.col("word").alias("h"), F.col("c").alias("c_h")), "h", "left").drop("h")
-    out = out.join(words.select(F.col("word").alias("w"), F.col("c").alias("c_w")), "w", "left").drop("w")
-    return out.na.fill(0, ["c_hw", "c_h", "c_w"])
-
-
-def _joined_math(model: Interpolated, bins: bool):
-    def run(batches):
-        for b in batches:
-            q = [level_of(b.column(i).to_numpy()) for i in (2, 3, 4)]
-            m = b.column(1).to_numpy()
-            if bins:
-                yield pa.RecordBatch.from_arrays([pa.array(model.left_level[q[1]]), pa.array(model.ratio_bins(*q)), pa.array(m)], ["level", "bin", "n"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m * model.log10(*q))], ["uid", "s"])
-
-    return run
-
-
 def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
@@ -361,10 +443,10 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
     token has probability 1 / (V + 1) = 1.  Other columns are not read.
     """
     spark, sc = docs.sparkSession, Scratch(docs.sparkSession, "lm-score")
-    learn = train.select(F.col(text_col).cast("string").alias("text"))
+    learn = train.select(F.lit(0).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seg = F.shiftrightunsigned("key", 52).alias("seg")
-    counts = learn.mapInArrow(_counter, "key long, n long").repartition(seg).groupBy(seg, "key").agg(F.sum("n").alias("n"))
+    counts = learn.select("text").mapInArrow(_counter, "key long, n long").repartition(seg).groupBy(seg, "key").agg(F.sum("n").alias("n"))
     built = sc.keep(counts.sortWithinPartitions("seg").select("key", "n").mapInArrow(_builder, "seg int, bits binary, size long, words array<long>, counts array<long>, mass double"))
     words = built.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     size = built.agg(F.sum("size").alias("size"), F.sum("mass").alias("mass"), F.sum(F.size("words").cast("long")).alias("types"),
@@ -378,25 +460,19 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
     logs = np.log10((top["c"].to_numpy()[order] + 1) / (tokens + types + 1)) if tokens else np.zeros(0)
     heavy = spark.sparkContext.broadcast((top["word"].to_numpy().view(np.uint64)[order], logs))
 
-    parts = None
     if small:
         got = built.select("seg", "bits").toArrow().sort_by("seg")
         offsets = np.zeros(SEGMENTS + 1, np.int64)
         chunks = got["bits"].to_pylist()
         offsets[np.array(got["seg"].to_pylist(), np.int64) + 1] = [len(x) // 8 for x in chunks]
-        parts = spark.sparkContext.broadcast((np.cumsum(offsets), b"".join(chunks)))
+        source = _probed(spark.sparkContext.broadcast((np.cumsum(offsets), b"".join(chunks))))
         del got, chunks
-        found = learn.mapInArrow(_gatherer(parts, model), "level long, bin long, n long")
     else:
-        found = _joined_pairs(learn.select(F.lit(0).cast("long").alias("id"), "text"), counts, words).select("uid", "m", "c_hw", "c_h", "c_w").mapInArrow(_joined_math(model, True), "level long, bin long, n long")
+        source, learn, texts = _routed, _with_levels(sc, learn, built), _with_levels(sc, texts, built)
+    found = learn.mapInArrow(_gatherer(source, model), "level long, bin long, n long")
     model.weights = fit_weights(found.groupBy("level", "bin").agg(F.sum("n").alias("n")).collect())
 
-    scored = sc.keep(texts.mapInArrow(_scorer(parts, model, heavy), _SCORED))
-    if not small:
-        # the same scan in the same order numbers the texts alike
-        joined = _joined_pairs(texts, counts, words).select("uid", "m", "c_hw", "c_h", "c_w")
-        summed = joined.mapInArrow(_joined_math(model, False), "uid long, s double").groupBy("uid").agg(F.sum("s").alias("s"))
-        scored = scored.join(summed, "uid", "left").withColumn("score", F.coalesce("s", "score"))
+    scored = sc.keep(texts.mapInArrow(_scorer(source, model, heavy), _SCORED))
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     light = words.where(F.col("c") * HEAVY < tokens)
     total = float(tokens + types + 1)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import language_id, licenses, lm_score, mixing, pii, quality, queries, toxicity
@@ -61,6 +62,31 @@ def test_lm_base_and_scores(spark):
     assert all(abs(joined[r.id, r.n_tokens] - r.score / r.n_tokens) < 0.3 for r in got)
 
 
+def test_lm_scores_alike_at_every_size(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.choice([0, 3, 50, 400])))) for i in range(400)] + [(None, None), (7, "repeated id"), (8, "x " * 9000)]
+    d, train = docs(spark, rows), docs(spark, rows[:250])
+    want = [sorted((tuple(r) for r in lm_score.lm_scores(d, train).collect()), key=str)]
+    want += [sorted((tuple(r) for r in lm_score.lm_scores(d, train, max_filter_bytes=0).collect()), key=str)]
+    close = lambda a, b: a == b or (a is not None and abs(a - b) < 1e-6)
+    assert len(want[0]) == len(want[1]) == len(rows)
+    assert all(close(x, y) for a, b in zip(*want, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_blocks_in_parts_get_their_levels():
+    texts = [f"a{i} b{i % 7} c" for i in range(50)]
+    frame = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array([5] * (hi - lo)), pa.array(range(lo, hi), pa.int32()), pa.array(texts[lo:hi])], ["block", "at", "text"])
+    listed = [r for part in ([frame(0, 20), frame(20, 31)], [frame(31, 50)]) for b in lm_score._lister(part) for r in b.to_pylist()]
+    rows = [(5, 0, i, 0, i, t, None) for i, t in enumerate(texts)]
+    rows += [(5, 1, r["at"], r["seg"], None, None, bytes(k % 200 for k in r["keys"])) for r in listed]
+    names = ["block", "kind", "at", "seg", "id", "text", "levels"]
+    got = list(lm_score._routed([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])]))
+    assert [len(g) for _, g, _ in got] == [31, 19]
+    for _, group, filt in got:
+        keys = lm_score._distinct(group)
+        assert filt.levels(keys).tolist() == [int(k) % 200 for k in keys.view(np.int64)]
+
+
 def test_lm_without_training(spark):
     got = lm_score.lm_scores(docs(spark, [(1, "a b"), (2, None)]), docs(spark, [])).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in got)
