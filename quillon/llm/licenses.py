@@ -107,11 +107,47 @@ def passages(plain: Column, low: float, high: float) -> Column:
     return F.array_distinct(F.filter(units, lambda u: bigrams(u).between(low, high)))
 
 
+def runs(paragraph: Column, low: float, high: float, known: list[str], least: float = LEAST) -> Column:
+    """Runs of two or more pieces (lines, sentences of a line) of a normalised paragraph whose numbers of bigrams
+    are in bounds; those that can't reach ``least``, or only less than a run or piece inside them, may be left out."""
+    share, most = least * (1 + least / (2 - least)) / 2, int(high) + 2
+    none = F.array().cast("array<string>")
+
+    def described(piece, after):
+        """A piece, its words, and how many of the bigrams that begin in it are a template's."""
+        words = F.split(F.concat(piece, F.lit(" "), F.substring_index(after, " ", 1)), " ")
+        n = F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit(""))) + 1
+        pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.struct(piece.alias("t"), n.alias("n"), F.size(F.filter(pairs, lambda p: p.isin(known))).alias("c"))
+
+    def grow(acc, x):
+        n, c = acc["n"] + x["n"], acc["c"] + x["c"]
+        t = F.when(acc["n"] == 0, x["t"]).otherwise(F.concat(acc["t"], F.lit(" "), x["t"]))
+        on = acc["on"] & (n - 1 <= high) & (c >= n * (least / 2) - 1e-9)
+        good = (acc["n"] > 0) & (n - 1 >= low) & (c >= (n - 1) * share - 1e-9)
+        longer = F.struct(t.alias("t"), n.alias("n"), c.alias("c"), on.alias("on"), F.when(good, F.concat(acc["out"], F.array(t))).otherwise(acc["out"]).alias("out"))
+        ended = F.struct(acc["t"].alias("t"), acc["n"].alias("n"), acc["c"].alias("c"), F.lit(False).alias("on"), acc["out"].alias("out"))
+        return F.when(on, longer).otherwise(ended)
+
+    def from_each(rows):
+        start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(True).alias("on"), none.alias("out"))
+        begins = lambda x: x["c"] >= x["n"] * (least / 2) - 1e-9
+        return F.flatten(F.transform(rows, lambda x, i: F.when(begins(x), F.aggregate(F.slice(rows, i + 1, F.lit(most)), start, grow)["out"]).otherwise(none)))
+
+    def of(pieces):
+        after = F.concat(F.slice(pieces, F.lit(2), F.size(pieces)), F.array(F.lit("")))
+        return F.flatten(F.transform(F.array(F.zip_with(pieces, after, described)), from_each))
+
+    pieces = F.filter(F.transform(F.split(paragraph, r"[\n\x01]"), _plain), lambda x: x != "")
+    return F.flatten(F.transform(F.filter(F.array(pieces), lambda p: F.size(p) > 1), of))
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, templates=TEMPLATES) -> DataFrame:
     """(id, license, dice, passages, passage): each licence that a row's text names.
 
     dice is the best of its passages' values, ``passages`` the number of distinct ones that
-    reach ``least``, ``passage`` the first of the best in alphabetical order.  Null and empty
+    reach ``least``, ``passage`` the first of the best in alphabetical order; they are runs only
+where no other passage names the licence.  Null and empty
     texts and texts of one word have none; rows with one id are one set of passages, rows
     with a null id another; other columns are not read.
     """
@@ -123,22 +159,29 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col).cast("string")).alias("plain"))
     needed = F.array(*[F.lit(w) for w in needed_words(least, templates)])
     text = text.where(F.arrays_overlap(F.split("plain", r"[\n\x01 ]"), needed))
-    units = text.select("id", F.explode(passages(F.col("plain"), low, high)).alias("passage")).withColumn("words", F.split("passage", " "))
+    known = sorted({r[3] for r in rows})
+    wide = F.filter(F.split("plain", r"\n *\n"), lambda x: F.arrays_overlap(F.split(x, r"[\n\x01 ]"), needed))
+    wide = F.array_distinct(F.flatten(F.transform(wide, lambda x: runs(x, low, high, known, least))))
+    tagged = lambda units, run: F.transform(units, lambda u: F.struct(F.lit(run).alias("run"), u.alias("passage")))
+    units = text.select("id", F.explode(F.concat(tagged(passages(F.col("plain"), low, high), 0), tagged(wide, 1))).alias("x"))
+    units = units.select("id", "x.run", "x.passage").withColumn("words", F.split("passage", " "))
     units = units.where(F.arrays_overlap("words", needed))
     n = F.size("words") - 1
     pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    units = units.select("id", "passage", n.alias("n"), F.explode(F.array_distinct(F.transform(pairs, lambda p: F.struct(p.alias("bigram"), F.size(F.filter(pairs, lambda q: q == p)).alias("here"))))).alias("x"))
-    units = units.select("id", "passage", "n", "x.bigram", "x.here")
+    units = units.select("id", "run", "passage", n.alias("n"), F.explode(F.array_distinct(F.transform(pairs, lambda p: F.struct(p.alias("bigram"), F.size(F.filter(pairs, lambda q: q == p)).alias("here"))))).alias("x"))
+    units = units.select("id", "run", "passage", "n", "x.bigram", "x.here")
     met = units.join(F.broadcast(table), "bigram").where(F.col("n").between(F.col("size") / bound, F.col("size") * bound))
     # repeated rows bring their passages several times: a bigram of a passage counts once
-    met = met.groupBy("id", "passage", "n", "template", "license", "size", "bigram").agg(F.least(F.max("here"), F.max("times")).alias("o"))
-    both = met.groupBy("id", "passage", "n", "template", "license", "size").agg(F.sum("o").alias("o"))
+    met = met.groupBy("id", "run", "passage", "n", "template", "license", "size", "bigram").agg(F.least(F.max("here"), F.max("times")).alias("o"))
+    both = met.groupBy("id", "run", "passage", "n", "template", "license", "size").agg(F.sum("o").alias("o"))
     dice = both.withColumn("dice", 2.0 * F.col("o") / (F.col("n") + F.col("size"))).where(F.col("dice") >= least)
-    return dice.groupBy("id", "license").agg(
+    found = dice.groupBy("id", "license", "run").agg(
         F.round(F.max("dice"), 9).alias("dice"),
         F.count_distinct("passage").alias("passages"),
         F.min(F.struct((-F.col("dice")).alias("d"), "passage"))["passage"].alias("passage"),
     )
+    first = F.min(F.struct("run", "dice", "passages", "passage")).alias("x")
+    return found.groupBy("id", "license").agg(first).select("id", "license", "x.dice", "x.passages", "x.passage")
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:

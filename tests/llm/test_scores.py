@@ -236,6 +236,19 @@ def test_pii(spark, tmp_path):
     assert pii.personal_data(docs(spark, [])).count() == 0 and pii.personal_data(docs(spark, [(1, None)])).first().spans == []
 
 
+def test_licenses_over_lines_and_sentences(spark):
+    prose = "The harvest came late that year and the river stood high."
+    wrapped = f"{prose}\n{prose} Some more of it. This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n{prose} {prose}\n{prose}"
+    apache = " ".join(licenses.TEMPLATES[1][1].split())
+    mit = " ".join(licenses.TEMPLATES[4][1].split())
+    rows = [(1, wrapped), (2, f"{prose} " * 9 + f"{apache} {prose}\n{prose}"), (3, f"{prose} {prose}\n{prose} and so on"), (4, "a b.\n" * 3000 + wrapped), (4, None),
+            (5, f"{prose}\n" + "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70)) + f"\n{prose}\n" * 30), (6, f"{prose}\nReleased under the MIT License.\n{prose}")]
+    got = {(r.id, r.license): r for r in licenses.license_scan(docs(spark, rows)).collect()}
+    assert {k[0] for k in got} == {1, 2, 4, 5, 6} and got[1, "CC-BY-4.0"].dice == got[2, "Apache-2.0"].dice == 1.0 and got[5, "MIT"].dice > 0.8
+    assert got[1, "CC-BY-4.0"].passage == "this work is licensed under a creative commons attribution 4 0 international license"
+    assert (got[6, "MIT"].passages, got[6, "MIT"].passage) == (1, "released under the mit license")
+
+
 def test_licenses(spark):
     rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, "licensed UNDER cc by-nc 4.0!"), (3, "This is released under the MIT license today. And more."), (4, licenses.TEMPLATES[1][1]), (5, "nothing here"), *ODD]
     got = {(r.id, r.license): r for r in licenses.license_scan(docs(spark, rows)).collect()}
