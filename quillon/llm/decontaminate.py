@@ -7,12 +7,13 @@ has four blocks of 16 bits: fingerprints within radius 4 q + 3 agree on some blo
 bits, so a table of all block values within q of an item's finds every fingerprint in the
 radius.  Survivors of the full Hamming test are verified on the exact windows of the item's
 own length around them: weighted Jaccard of shingle multisets, a shingle's weight being one
-over the number of items that hold it.  A window that holds no shingle of any item has
+over the number of different item texts of the whole benchmark that hold it.  A window that holds no shingle of any item has
 similarity 0, so a bitmap of the items' shingles passes over it; that screen loses nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -70,15 +71,22 @@ def _near(value: int, radius: int) -> list[int]:
 
 
 class WindowIndex:
-    """The items of one pass, their fingerprints by length class, and the multi-index tables."""
+    """The items of one pass, their fingerprints by length class, and the multi-index tables.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``shared`` has the shingles of more than one text of the benchmark, sorted, and their numbers of
+    texts; without it the items are the whole benchmark.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray] | None = None):
         w = Words([(t or "").encode("utf-8", "surrogatepass") for _, t in items])
         h, first = _shingles(w)
         self.ids = [i for i, _ in items]
         self.sets = [h[first[i] : first[i + 1]] for i in range(len(items))]
-        held = Counter(x for s in self.sets for x in set(s.tolist()))
-        self.weight = {x: 1.0 / c for x, c in held.items()}
+        held = Counter(x for s in {s.tobytes(): s for s in self.sets}.values() for x in set(s.tolist()))
+        if shared is None:
+            some = np.array(sorted(x for x, c in held.items() if c > 1), np.uint64)
+            shared = some, np.array([held[x] for x in some.tolist()], np.int64)
+        self.shared, self.texts = shared
         self.counts = [Counter(s.tolist()) for s in self.sets]
         self.prints = np.array([simhash(s) if len(s) else 0 for s in self.sets], np.uint64)
         self.known = np.array(sorted(held), np.uint64)
@@ -140,11 +148,20 @@ class WindowIndex:
                 out.append((first[short[at]], first[short[at] + 1], item))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
+    def _weights(self, shingles) -> dict[int, float]:
+        """Weight of each shingle: one over its number of texts, 1 for one text or none."""
+        x = np.fromiter(shingles, np.uint64)
+        if not len(self.shared):
+            return dict.fromkeys(x.tolist(), 1.0)
+        at = np.minimum(np.searchsorted(self.shared, x), len(self.shared) - 1)
+        return dict(zip(x.tolist(), np.where(self.shared[at] == x, 1.0 / self.texts[at], 1.0).tolist(), strict=True))
+
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard of two shingle multisets."""
         a, b = Counter(window.tolist()), self.counts[item]
-        both = sum(min(n, b[x]) * self.weight.get(x, 1.0) for x, n in a.items() if x in b)
-        either = sum(n * self.weight.get(x, 1.0) for x, n in a.items()) + sum(n * self.weight[x] for x, n in b.items()) - both
+        weight = self._weights(a.keys() | b.keys())
+        both = sum(min(n, b[x]) * weight[x] for x, n in a.items() if x in b)
+        either = sum(n * weight[x] for x, n in a.items()) + sum(n * weight[x] for x, n in b.items()) - both
         return both / either
 
     def matches(self, group: list[bytes]) -> dict[tuple[int, int], tuple[float, int]]:
@@ -169,17 +186,38 @@ class WindowIndex:
         return best
 
 
+def _shingle_rows(batches):
+    """Item texts -> (shingle, text): the different shingles of each text, and a digest of all of them in order."""
+    for batch in batches:
+        for _, group in blocks(batch.column(0).to_pylist()):
+            h, first = _shingles(Words(group))
+            for lo, hi in zip(first[:-1], first[1:], strict=True):
+                if hi > lo:
+                    u = np.unique(h[lo:hi])
+                    digest = int.from_bytes(hashlib.blake2b(h[lo:hi].tobytes(), digest_size=8).digest(), "little", signed=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), digest, np.int64))], ["shingle", "text"])
+
+
+def _shared(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of more than one text of the whole benchmark, sorted, and their numbers of texts; equal texts count once."""
+    rows = texts.mapInArrow(_shingle_rows, "shingle long, text long").distinct().groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    shingle, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
 def _passes(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items, ``ITEMS_PER_PASS`` at a time, by id; the driver holds one pass's items."""
+    """The items, ``ITEMS_PER_PASS`` at a time, by id; the driver holds one pass's items and the shingles that texts share."""
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    n, last = items.count(), None
+    n, last, shared = items.count(), None, None
     for _ in range(-(-n // ITEMS_PER_PASS)):
         rest = items if last is None else items.where((F.col("i") > last[0]) | ((F.col("i") == last[0]) & (F.col("t") > last[1])))
         got = rest.distinct().orderBy("i", "t").limit(ITEMS_PER_PASS).collect()
         if not got:
             return
         last = got[-1]
-        yield WindowIndex([(r.i, r.t) for r in got])
+        shared = shared or _shared(items.select("t"))
+        yield WindowIndex([(r.i, r.t) for r in got], shared)
 
 
 def _finder(index: WindowIndex):

@@ -213,6 +213,36 @@ def test_passes_over_many_items(spark, monkeypatch):
     assert some == {(r.id, r.item_id) for r in decontaminate.contamination(d, b).collect()}
 
 
+def test_weights_are_counted_over_the_whole_benchmark(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: f"u{rng.randrange(5000)}"
+    common = [word() for _ in range(22)]
+    # items that share a passage, and windows with some of it changed
+    items = [(i, " ".join(common + [word() for _ in range(22)])) for i in range(9)]
+    rows = []
+    for i, t in items:
+        for cut in range(12):
+            w = t.split()
+            w[:cut] = [word() for _ in range(cut)]
+            rows.append((len(rows), " ".join(w)))
+            w = t.split()
+            w[len(w) - cut :] = [word() for _ in range(cut)]
+            rows.append((len(rows), " ".join(w)))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    find = lambda: sorted((r.id, r.item_id, round(r.similarity, 9)) for r in decontaminate.contamination(d, b).collect())
+    whole = find()
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 2)
+    assert find() == whole and 20 < len(whole) < len(rows)
+
+
+def test_equal_items_count_once(spark):
+    words_ = [f"z{i}" for i in range(44)]
+    items = [(i, " ".join(words_) if i % 2 else "  ".join(words_).upper()) for i in range(5)]
+    d = spark.createDataFrame([(1, " ".join(["before"] * 9 + words_[:42] + ["other", "end"] + ["after"] * 9))], "doc_id long, text string")
+    got = decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(r.item_id for r in got) == [0, 1, 2, 3, 4] and all(abs(r.similarity - 38 / 42) < 1e-9 for r in got)
+
+
 def test_multi_index_finds_the_whole_radius():
     rng = random.Random(8)
     index = decontaminate.WindowIndex([(i, " ".join(f"t{rng.randrange(9999)}" for _ in range(30))) for i in range(20)])
