@@ -39,7 +39,7 @@ WIDE = {
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
 }
 #: a text without this cannot hold a match
-NEEDS = {"email": r"@|[\[(] ?at ?[\])]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]{2}"}
+NEEDS = {"email": r"@|[\[(] ?at ?[\])]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]|[0-9]{3}"}
 CUES = r"(?i)(?:mail|contact|write|phone|call|tel|fax|mobile|card|visa|credit|payment|ip|host|server|address)\W*$"
 CONTEXT = 24
 FEATURES = ("kind", "digits", "plus", "separators", "at", "brackets", "checksum", "ranges", "before", "after", "cue", "variety")

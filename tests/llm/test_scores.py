@@ -236,6 +236,12 @@ def test_pii(spark, tmp_path):
     assert pii.personal_data(docs(spark, [])).count() == 0 and pii.personal_data(docs(spark, [(1, None)])).first().spans == []
 
 
+def test_phones_of_single_digits(spark):
+    rows = [(1, "call +1 2 3 4 5 6 7 8 9 now"), (2, "+4-9-3-0-1-2-3-4-5-6"), (3, "+1 2 3"), (4, "(555) 123-4567")]
+    got = {r.id: [(s.kind, s.start, s.end) for s in r.spans if s.base] for r in pii.personal_data(docs(spark, rows)).collect()}
+    assert got == {1: [(3, 5, 23)], 2: [(3, 0, 20)], 3: [], 4: []}
+
+
 def test_licenses_over_lines_and_sentences(spark):
     prose = "The harvest came late that year and the river stood high."
     wrapped = f"{prose}\n{prose} Some more of it. This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n{prose} {prose}\n{prose}"
