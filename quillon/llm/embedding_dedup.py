@@ -29,10 +29,10 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _parse(column, dim: int):
-    """(row, vector) of usable vectors: right size, finite, not zero; in double precision."""
+def _parse(column, sizes):
+    """(row, vector) of usable vectors: of one of the sizes, finite, not zero; in double precision."""
     for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim and None not in v:
+        if v is not None and len(v) in sizes and None not in v:
             a = np.array(v, float)
             scale = np.abs(a).max(initial=0)
             if np.isfinite(a).all() and scale > 0:
@@ -44,16 +44,18 @@ def _lists(order: np.ndarray) -> np.ndarray:
     return np.array([int(min(a, b)) * PIVOTS + int(max(a, b)) for a, b in combinations(order, SHARED)], np.int64)
 
 
-def _indexer(pivots: np.ndarray, dim: int):
+def _indexer(pivots: dict[int, np.ndarray]):
     def index(batches):
         for batch in batches:
             vec, lists = [None] * batch.num_rows, [None] * batch.num_rows
-            some = list(_parse(batch.column(1), dim))
-            if some:
+            usable = list(_parse(batch.column(1), pivots))
+            for dim in {len(v) for _, v in usable}:
+                some = [(i, v) for i, v in usable if len(v) == dim]
                 x = normalised(np.stack([v for _, v in some]))
-                order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :PREFIX]
+                order = np.argsort(-(x @ pivots[dim].T), axis=1, kind="stable")[:, :PREFIX]
                 for (i, _), v, o in zip(some, x, order, strict=True):
-                    vec[i], lists[i] = v.tobytes(), np.sort(_lists(o))
+                    # lists of different sizes are different ones
+                    vec[i], lists[i] = v.tobytes(), np.sort(_lists(o)) + dim * PIVOTS**2
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(vec, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "vec", "lists"]
             )
@@ -125,7 +127,7 @@ def _matcher(threshold: float):
 def choose_pivots(vectors: DataFrame, dim: int, pivots: int = PIVOTS, sample: int = 16 * PIVOTS) -> np.ndarray:
     """Pivots spread over a bounded sample: each next one is the vector farthest from those chosen."""
     got = vectors.orderBy(F.xxhash64("id", "v"), "id").limit(sample).select("id", "v").toArrow()
-    some = [v for _, v in _parse(got["v"], dim)]
+    some = [v for _, v in _parse(got["v"], (dim,))]
     if not some:
         return np.zeros((1, dim))
     x = np.unique(normalised(np.stack(some)), axis=0)
@@ -140,17 +142,16 @@ def choose_pivots(vectors: DataFrame, dim: int, pivots: int = PIVOTS, sample: in
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of ``vectors``.
 
-    Rows link when their vectors' cosine is at least ``threshold``.  Null, empty and zero
-    vectors, those with null or infinite components and those whose size is not the
-    commonest one link with nothing: n_links 0, their own component.  Repeated rows link with
+    Rows link when their vectors are of one size and their cosine is at least ``threshold``.
+    Null, empty and zero vectors and those with null or infinite components link with
+    nothing: n_links 0, their own component.  Repeated rows link with
     each other and are counted; other columns are not read.
     """
     spark, sc = vectors.sparkSession, Scratch(vectors.sparkSession, "embedding-dedup")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    size = rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = size["d"] if size else 1
-    pivots = choose_pivots(rows.where(F.size("v") == dim), dim)
-    listed = sc.keep(rows.mapInArrow(_indexer(pivots, dim), "id long, vec binary, lists array<long>"))
+    sizes = [r.d for r in rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().where("count > 1").select("d").collect()]
+    pivots = {d: choose_pivots(rows.where(F.size("v") == d), d) for d in sorted(sizes)}
+    listed = sc.keep(rows.mapInArrow(_indexer(pivots), "id long, vec binary, lists array<long>"))
     # equal vectors are one class with a number of copies
     cls = F.when(F.col("vec").isNotNull(), F.xxhash64("vec")).alias("cls")
     classes = sc.keep(listed.where("vec is not null").groupBy(cls, "vec", "lists").agg(F.count("*").alias("copies")))

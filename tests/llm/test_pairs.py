@@ -165,6 +165,20 @@ def test_near_vectors(spark, monkeypatch, chunk):
     assert embedding_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_every_size_are_compared(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim, groups in ((8, 12), (5, 4), (3, 1)):
+        for _ in range(groups):
+            base = rng.normal(size=dim)
+            rows += [(len(rows) + k, (base + rng.normal(size=dim) * 1e-4).tolist()) for k in range(3)]
+    rows += [(len(rows), rows[36][1]), (len(rows) + 1, [1.0] * 4)]
+    got = {r.id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, v in rows:
+        near = [j for j, w in rows if len(w) == len(v) and np.dot(v, w) >= 0.95 * np.linalg.norm(v) * np.linalg.norm(w)]
+        assert got[i].n_links == len(near) - 1 and got[i].component_id <= min(near)
+
+
 def passages():
     rng = random.Random(4)
     vocab = [f"v{i}" for i in range(2000)]
