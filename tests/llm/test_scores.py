@@ -110,13 +110,40 @@ def test_filter_levels():
     assert lm_score.level_of(np.arange(7)).tolist() == list(range(7))
 
 
-def test_clause_events():
-    t = lambda *c: toxicity.EVENTS[toxicity.clause_event(list(c))]
+def test_clause_paths():
+    t = lambda *c: toxicity.EVENTS[toxicity.clause_path(list(c))[0]]
     o, i, th, you, no, said = range(6)
-    assert t(o, i, o) == ("insult", 0, "plain") and t(you, o, i) == ("insult", 1, "plain") and t(i, you) == ("insult", 1, "plain")
-    assert t(you, no, o, i) == ("insult", 1, "negated") and t(no, o, o, o, i) == ("insult", 0, "plain")
-    assert t(said, o, i, you) == ("insult", 1, "reported") and t(th, you) == ("threat", 1, "plain")
-    assert t(no, i, o, o, o, o, you, i) == ("insult", 1, "plain")  # the stronger one counts
+    assert t(o, i, o) == ("insult3", 0, "plain") and t(you, o, i) == ("insult3", 1, "plain") and t(i, you) == ("insult3", 1, "plain")
+    assert t(you, no, o, i) == ("insult3", 1, "negated") and t(no, o, o, o, i) == ("insult3", 0, "plain")
+    assert t(said, o, i, you) == ("insult3", 1, "reported") and t(th, you) == ("threat", 1, "plain")
+    # the strongest trigger names the event, and all add to the path
+    assert t(no, i, o, o, o, o, you, i) == ("insult3", 1, "plain") and t(i, o, i) == ("insult4", 0, "plain")
+    assert toxicity.clause_path([o, i, i], [0.0, 1.0, 0.5]) == (toxicity.EVENTS.index(("insult1", 0, "plain")), 1.5)
+    assert toxicity.clause_path([no, i], [0.0, 5.0]) == (toxicity.EVENTS.index(("insult3", 0, "negated")), 1.0)
+
+
+def test_learnt_arcs(spark):
+    """Stems that no list holds, in two made-up languages, are caught in the held-out fold."""
+    rng = random.Random(12)
+    sound = {"a": ["ko", "mi", "ra", "tu", "ve", "so"], "b": ["schö", "brü", "lin", "gar", "tzé", "ñon"]}
+    bad = {"a": ["xoruk", "pelim"], "b": ["ößquar", "évrumt"]}
+    rows, truth, lang = [], [], {}
+    for n in range(1200):
+        lang[n] = "ab"[n % 2]
+        parts = sound[lang[n]]
+        words = ["".join(rng.choices(parts, k=rng.randint(2, 4))) for _ in range(rng.randint(20, 60))]
+        toxic = n % 7 == 0
+        # toxic texts hold several words of a bad stem; some others hold one
+        for _ in range(4 if toxic else n % 9 == 0):
+            words[rng.randrange(len(words))] = rng.choice(bad[lang[n]]) + "".join(rng.choices(parts, k=2))
+        rows.append((n, " ".join(w + "." * (rng.random() < 0.1) for w in words)))
+        truth.append((n, int(toxic)))
+    assert not {s for x in bad.values() for s in x} & set(" ".join(toxicity.LEXICON.values()).split())
+    got = {r.id: r for r in toxicity.toxicity_scores(docs(spark, rows), labels(spark, truth, "toxic")).collect()}
+    for x in "ab":
+        held = [i for i in got if got[i].held_out and lang[i] == x]
+        assert np.mean([got[i].predicted for i in held if i % 7 == 0]) > 0.9
+        assert np.mean([got[i].predicted for i in held if i % 7]) < 0.03
 
 
 def test_toxicity(spark):
@@ -139,6 +166,10 @@ def test_toxicity(spark):
     assert kept.columns == docs(spark, rows).columns and kept.count() == len(rows) - 80
     assert toxicity.toxicity_scores(docs(spark, rows[:3]), labels(spark, [], "toxic")).count() == 3
     assert toxicity.toxicity_scores(docs(spark, []), labels(spark, truth, "toxic")).count() == 0
+    # the base rate; labels that say nothing; a sample smaller than the labels
+    assert len({r.score for r in got if r.id in (900, 901, 902, 904)}) == 1
+    few = toxicity.train(docs(spark, rows), labels(spark, truth, "toxic"), rows=100)
+    assert toxicity.Model.read(few, ["", None, "you worthless idiot"])[0][2] > 0.7
 
 
 def test_quality(spark):
