@@ -24,7 +24,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, held_out
@@ -42,6 +42,8 @@ _TOP = np.uint64(1)
 END, BEGIN = (int(x) for x in mix(np.array([1, 2], np.uint64), 991) & ~_TOP)
 #: blocks of text whose counts a task adds up before it sends them
 BLOCKS_TOGETHER = 12
+#: texts whose levels are opened together
+ROWS_TOGETHER = 256
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -225,13 +227,11 @@ class Interpolated:
 
 
 def _levels(filt: LogFrequencyFilter, tokens: np.ndarray, context: np.ndarray):
-    """Levels of pairs, contexts and words; each distinct one is probed once.  BEGIN counts as END."""
+    """Levels of pairs and words; each distinct one is probed once."""
     u, back = np.unique(tokens, return_inverse=True)
     q_word = filt.levels(u)[back]
-    q_context = np.concatenate(([0], q_word[:-1]))
-    q_context[context == np.uint64(BEGIN)] = filt.levels(np.array([END], np.uint64))[0]
     u, back = np.unique(pair_keys(context, tokens), return_inverse=True)
-    return filt.levels(u)[back], q_context, q_word
+    return filt.levels(u)[back], q_word
 
 
 def fit_weights(rows: list, levels: int = MOST_LEVELS, rounds: int = 60) -> np.ndarray:
@@ -269,13 +269,13 @@ class KnownLevels:
 
 
 def _probed(parts):
-    """Rows (id, text) -> (ids, encoded texts, filter) of each block of text."""
+    """Rows (id, flags, text) -> (ids, flags, encoded texts, filter) of each block of text."""
 
     def source(batches):
         filt = _open(parts)
         for batch in batches:
-            for at, group in blocks(batch.column(1).to_pylist()):
-                yield batch.column(0).slice(at, len(group)), group, filt
+            for at, group in blocks(batch.column(2).to_pylist()):
+                yield batch.column(0).slice(at, len(group)), batch.column(1).slice(at, len(group)), group, filt
 
     return source
 
@@ -311,11 +311,11 @@ def _numberer(batches):
     """Texts with the number of their block and their place in it."""
     part, n = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for at, group in blocks(batch.column(1).to_pylist()):
+        for at, group in blocks(batch.column(2).to_pylist()):
             block = np.full(len(group), (part << 40) + n, np.int64)
             n += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array(np.arange(len(group), dtype=np.int32)), *(c.slice(at, len(group)) for c in batch.columns)], ["block", "at", "id", "text"]
+                [pa.array(block), pa.array(np.arange(len(group), dtype=np.int32)), *(c.slice(at, len(group)) for c in batch.columns)], ["block", "at", "id", "flags", "text"]
             )
 
 
@@ -359,7 +359,7 @@ def _prober(batches):
 
 
 def _routed(batches):
-    """Rows by block, texts before levels -> (ids, encoded texts, levels) of each block or part of one."""
+    """Rows by block, texts before levels -> (ids, flags, encoded texts, levels) of each block or part of one."""
     for run in _runs(batches):
         n = int((run["kind"].to_numpy() == 0).sum())
         texts, rest = run.slice(0, n), run.slice(n)
@@ -370,97 +370,142 @@ def _routed(batches):
             some = texts.slice(first, (np.searchsorted(at, part[hi]) if hi < len(part) else n) - first)
             group = _encoded(some["text"])
             found = np.frombuffer(b"".join(rest["levels"].slice(lo, hi - lo).to_pylist()), np.uint8).astype(np.int64)
-            yield some["id"].combine_chunks(), group, KnownLevels(_distinct(group), found)
+            yield some["id"].combine_chunks(), some["flags"].combine_chunks(), group, KnownLevels(_distinct(group), found)
 
 
 def _with_levels(sc: Scratch, texts: DataFrame, built: DataFrame) -> DataFrame:
-    """Texts (id, text) by block, and after each block's the levels of its keys."""
-    rows = sc.keep(texts.mapInArrow(_numberer, "block long, at int, id long, text string"))
+    """Texts (id, flags, text) by block, and after each block's the levels of its keys."""
+    rows = sc.keep(texts.mapInArrow(_numberer, "block long, at int, id long, flags int, text string"))
     keys = rows.select("block", "at", "text").mapInArrow(_lister, "seg int, block long, at int, keys array<long>").withColumn("bits", F.lit(None).cast("binary"))
     bits = built.select("seg", F.lit(-1).cast("long").alias("block"), F.lit(0).alias("at"), F.lit(None).cast("array<long>").alias("keys"), "bits")
     levels = keys.union(bits).repartition("seg").sortWithinPartitions("seg", "block").mapInArrow(_prober, "block long, at int, seg int, levels binary")
     none = F.lit(None)
-    rows = rows.select("block", F.lit(0).alias("kind"), "at", F.lit(0).alias("seg"), "id", "text", none.cast("binary").alias("levels"))
-    levels = levels.select("block", F.lit(1).alias("kind"), "at", "seg", none.cast("long").alias("id"), none.cast("string").alias("text"), "levels")
+    rows = rows.select("block", F.lit(0).alias("kind"), "at", F.lit(0).alias("seg"), "id", "flags", "text", none.cast("binary").alias("levels"))
+    levels = levels.select("block", F.lit(1).alias("kind"), "at", "seg", none.cast("long").alias("id"), none.cast("int").alias("flags"), none.cast("string").alias("text"), "levels")
     return rows.union(levels).repartition("block").sortWithinPartitions("block", "kind", "at", "seg")
 
 
-def _gatherer(source, model: Interpolated):
-    def gather(batches):
-        total = np.zeros(MOST_LEVELS * RATIO_BINS, np.int64)
-        for _, group, filt in source(batches):
-            tokens, context, _ = sequence(Words(group))
-            q = _levels(filt, tokens, context)
-            total += np.bincount(model.left_level[q[1]] * RATIO_BINS + model.ratio_bins(*q), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at // RATIO_BINS), pa.array(at % RATIO_BINS), pa.array(total[at])], ["level", "bin", "n"])
-
-    return gather
+#: flags of a text: the model learns from it, its score is asked for
+LEARN, TELL = 1, 2
 
 
-def _scorer(source, model: Interpolated, heavy):
-    """One row for each text; words that are not heavy come along with their numbers in the text."""
+def _reader(source, heavy):
+    """One row for each text: the levels of its tokens' pairs and words, two bytes for each token; the sums over
+    heavy words; and the other words with their numbers in the text."""
 
-    def score(batches):
+    def read(batches):
         words, logs = heavy.value
         if not len(words):
             words, logs = np.zeros(1, np.uint64), np.zeros(1)
         part, row = TaskContext.get().partitionId(), 0
-        for ids, group, filt in source(batches):
-            got = []
+        for ids, flags, group, filt in source(batches):
             tokens, context, first = sequence(Words(group))
-            lp = np.add.reduceat(model.log10(*_levels(filt, tokens, context)), first[:-1])
+            q_pair, q_word = (np.minimum(q, MOST_LEVELS - 1).astype(np.uint8) for q in _levels(filt, tokens, context))
+            levels = np.stack((q_pair, q_word), axis=1).tobytes()
             u, back = np.unique(tokens, return_inverse=True)
             at = np.minimum(np.searchsorted(words, u), len(words) - 1)
             known = words[at] == u
             value, known = np.where(known, logs[at], 0.0)[back], known[back]
-            base = np.add.reduceat(value, first[:-1])
-            for i in range(len(group)):
-                lo, hi = first[i], first[i + 1]
-                rest = ~known[lo:hi]
-                u, n = np.unique(tokens[lo:hi][rest], return_counts=True)
-                got.append((hi - lo, hi - lo - rest.sum(), base[i], lp[i], u.view(np.int64), n))
-            cols = list(zip(*got, strict=True))
-            uid = (part << 40) + row + np.arange(len(got))
-            row += len(got)
+            base, heavy_tokens = np.add.reduceat(value, first[:-1]), np.add.reduceat(known.astype(np.int64), first[:-1])
+            # the other words, by text and word
+            text = np.repeat(np.arange(len(group)), np.diff(first))[~known]
+            rare = tokens[~known]
+            order = np.lexsort((rare, text))
+            text, rare = text[order], rare[order]
+            cut = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (rare[1:] != rare[:-1]))[: len(rare)])
+            times = np.diff(np.append(cut, len(rare)))
+            ends = pa.array(np.searchsorted(text[cut], np.arange(len(group) + 1)).astype(np.int32))
+            told = np.array(flags.to_pylist()) & TELL > 0
+            uid = (part << 40) + row + np.arange(len(group))
+            row += len(group)
+            if not told.all():  # words are asked for only where the score is
+                keep = told[text[cut]]
+                ends = pa.array(np.searchsorted(text[cut][keep], np.arange(len(group) + 1)).astype(np.int32))
+                cut, times = cut[keep], times[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid, pa.int64()), ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
-                 pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64()))],
-                ["uid", "id", "n_tokens", "heavy_tokens", "heavy_base", "score", "rare", "times"],
+                [pa.array(uid, pa.int64()), ids, flags, pa.array(np.diff(first)), pa.array(heavy_tokens), pa.array(base),
+                 pa.Array.from_buffers(pa.binary(), len(group), [None, pa.py_buffer((2 * first).astype(np.int32).tobytes()), pa.py_buffer(levels)]),
+                 pa.ListArray.from_arrays(ends, pa.array(rare[cut].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times))],
+                ["uid", "id", "flags", "n_tokens", "heavy_tokens", "heavy_base", "levels", "rare", "times"],
             )
 
-    return score
+    return read
+
+
+_READ = "uid long, id long, flags int, n_tokens long, heavy_tokens long, heavy_base double, levels binary, rare array<long>, times array<long>"
+
+
+def _opened(column):
+    """Levels of pairs, contexts and words of the texts of a column, and first indices (texts + 1); the texts have their end each."""
+    first = np.concatenate(([0], np.cumsum([len(x) // 2 for x in column.to_pylist()])))
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
+    q_word = both[:, 1]
+    # a token's context is the word before it, a first one's counts as the end
+    q_context = np.concatenate((q_word[:1], q_word[:-1]))
+    q_context[first[:-1]] = q_word[first[1:] - 1]
+    return (both[:, 0], q_context, q_word), first
+
 
+def _gatherer(model: Interpolated):
+    def gather(batches):
+        total = np.zeros(MOST_LEVELS * RATIO_BINS, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_TOGETHER):
+                q, _ = _opened(batch.column(0).slice(lo, ROWS_TOGETHER))
+                total += np.bincount(model.left_level[q[1]] * RATIO_BINS + model.ratio_bins(*q), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // RATIO_BINS), pa.array(at % RATIO_BINS), pa.array(total[at])], ["level", "bin", "n"])
+
+    return gather
 
-_SCORED = "uid long, id long, n_tokens long, heavy_tokens long, heavy_base double, score double, rare array<long>, times array<long>"
 
+def _scorer(model: Interpolated):
+    """Appends the score to rows whose first column has the levels."""
 
-def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    def score(batches):
+        for batch in batches:
+            got = []
+            for lo in range(0, batch.num_rows, ROWS_TOGETHER):
+                q, first = _opened(batch.column(0).slice(lo, ROWS_TOGETHER))
+                got.append(np.add.reduceat(model.log10(*q), first[:-1]))
+            got = pa.array(np.concatenate(got) if got else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], got], [*batch.schema.names[1:], "score"])
+
+    return score
+
+
+def lm_scores(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
-    The model is learnt from the texts of ``train``.  Null texts count as empty; an empty
-    text is its end alone; repeated rows are scored alike; with no training text every
-    token has probability 1 / (V + 1) = 1.  Other columns are not read.
+    The model is learnt from the texts of ``train``, a frame, or of the rows of ``docs`` where
+    ``train``, a condition, holds.  Null texts count as empty; an empty text is its end alone;
+    repeated rows are scored alike; with no training text every token has probability
+    1 / (V + 1) = 1.  Other columns are not read.
     """
     spark, sc = docs.sparkSession, Scratch(docs.sparkSession, "lm-score")
-    learn = train.select(F.lit(0).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string").alias("text")
+    if isinstance(train, Column):
+        flags = F.when(train, LEARN + TELL).otherwise(TELL)
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), flags.cast("int").alias("flags"), text)
+    else:
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(TELL).alias("flags"), text)
+        texts = texts.union(train.select(F.lit(None).cast("long").alias("id"), F.lit(LEARN).alias("flags"), text))
     seg = F.shiftrightunsigned("key", 52).alias("seg")
-    counts = learn.select("text").mapInArrow(_counter, "key long, n long").repartition(seg).groupBy(seg, "key").agg(F.sum("n").alias("n"))
+    learns = F.col("flags").bitwiseAND(LEARN) != 0
+    counts = texts.where(learns).select("text").mapInArrow(_counter, "key long, n long").repartition(seg).groupBy(seg, "key").agg(F.sum("n").alias("n"))
     built = sc.keep(counts.sortWithinPartitions("seg").select("key", "n").mapInArrow(_builder, "seg int, bits binary, size long, words array<long>, counts array<long>, mass double"))
     words = built.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     size = built.agg(F.sum("size").alias("size"), F.sum("mass").alias("mass"), F.sum(F.size("words").cast("long")).alias("types"),
                      F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).first()
     tokens, types = size["tokens"] or 0, size["types"] or 0
     model = Interpolated(size["mass"] or 0.0, types, np.ones(MOST_LEVELS))
-    small = (size["size"] or 0) <= max_filter_bytes
 
     top = words.where(F.col("c") * HEAVY >= tokens).toArrow()
     order = np.argsort(top["word"].to_numpy().view(np.uint64))
     logs = np.log10((top["c"].to_numpy()[order] + 1) / (tokens + types + 1)) if tokens else np.zeros(0)
     heavy = spark.sparkContext.broadcast((top["word"].to_numpy().view(np.uint64)[order], logs))
 
-    if small:
+    if (size["size"] or 0) <= max_filter_bytes:
         got = built.select("seg", "bits").toArrow().sort_by("seg")
         offsets = np.zeros(SEGMENTS + 1, np.int64)
         chunks = got["bits"].to_pylist()
@@ -468,12 +513,14 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
         source = _probed(spark.sparkContext.broadcast((np.cumsum(offsets), b"".join(chunks))))
         del got, chunks
     else:
-        source, learn, texts = _routed, _with_levels(sc, learn, built), _with_levels(sc, texts, built)
-    found = learn.mapInArrow(_gatherer(source, model), "level long, bin long, n long")
+        source, texts = _routed, _with_levels(sc, texts, built)
+    # texts are read and probed once; the weights and the scores need their levels only
+    read = sc.keep(texts.mapInArrow(_reader(source, heavy), _READ))
+    found = read.where(learns).select("levels").mapInArrow(_gatherer(model), "level long, bin long, n long")
     model.weights = fit_weights(found.groupBy("level", "bin").agg(F.sum("n").alias("n")).collect())
 
-    scored = sc.keep(texts.mapInArrow(_scorer(source, model, heavy), _SCORED))
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    told = read.where(F.col("flags").bitwiseAND(TELL) != 0)
+    rare = told.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     light = words.where(F.col("c") * HEAVY < tokens)
     total = float(tokens + types + 1)
     rare = rare.join(light, "word", "left").groupBy("uid").agg(
@@ -481,7 +528,8 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
     )
     zero = F.lit(0)
-    return scored.drop("rare", "times").join(rare, "uid", "left").select(
+    scored = told.select("levels", "uid", "id", "n_tokens", "heavy_tokens", "heavy_base").mapInArrow(_scorer(model), "uid long, id long, n_tokens long, heavy_tokens long, heavy_base double, score double")
+    return scored.join(rare, "uid", "left").select(
         "id", "n_tokens", (F.col("heavy_tokens") + F.coalesce("rare_known", zero)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("heavy_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
     )
@@ -490,7 +538,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
     """Scores of every document by a model of the rows whose crc32 of the id modulo 7 is not 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = lm_scores(docs, docs.where(~held_out("doc_id", 7, 2))).withColumnRenamed("id", "doc_id")
+    out = lm_scores(docs, ~held_out("doc_id", 7, 2)).withColumnRenamed("id", "doc_id")
     return out.withColumn("held_out", held_out("doc_id", 7, 2)).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

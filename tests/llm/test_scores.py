@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import language_id, licenses, lm_score, mixing, pii, quality, queries, toxicity
 from quillon.llm.textkit import Words, blocks, shingle_hashes, word_hash
@@ -58,8 +59,8 @@ def test_lm_base_and_scores(spark):
     held = {i for i, t in rows} - {i for i, t in train}
     some = [r for r in got if r.id in held and 150 <= (r.id or 0) < 170]
     assert sum(r.score for r in some) > sum(r.base_score for r in some)  # copies of training texts
-    joined = {(r.id, r.n_tokens): r.score / r.n_tokens for r in lm_score.lm_scores(docs(spark, rows), docs(spark, train), max_filter_bytes=0).collect()}
-    assert all(abs(joined[r.id, r.n_tokens] - r.score / r.n_tokens) < 0.3 for r in got)
+    flagged = lm_score.lm_scores(docs(spark, rows), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(False)), max_filter_bytes=0).collect()
+    assert sorted(((r.id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in flagged), key=str) == sorted(((r.id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got), key=str)
 
 
 def test_lm_scores_alike_at_every_size(spark):
@@ -77,12 +78,12 @@ def test_blocks_in_parts_get_their_levels():
     texts = [f"a{i} b{i % 7} c" for i in range(50)]
     frame = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array([5] * (hi - lo)), pa.array(range(lo, hi), pa.int32()), pa.array(texts[lo:hi])], ["block", "at", "text"])
     listed = [r for part in ([frame(0, 20), frame(20, 31)], [frame(31, 50)]) for b in lm_score._lister(part) for r in b.to_pylist()]
-    rows = [(5, 0, i, 0, i, t, None) for i, t in enumerate(texts)]
-    rows += [(5, 1, r["at"], r["seg"], None, None, bytes(k % 200 for k in r["keys"])) for r in listed]
-    names = ["block", "kind", "at", "seg", "id", "text", "levels"]
+    rows = [(5, 0, i, 0, i, 3, t, None) for i, t in enumerate(texts)]
+    rows += [(5, 1, r["at"], r["seg"], None, None, None, bytes(k % 200 for k in r["keys"])) for r in listed]
+    names = ["block", "kind", "at", "seg", "id", "flags", "text", "levels"]
     got = list(lm_score._routed([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])]))
-    assert [len(g) for _, g, _ in got] == [31, 19]
-    for _, group, filt in got:
+    assert [len(g) for _, _, g, _ in got] == [31, 19]
+    for _, _, group, filt in got:
         keys = lm_score._distinct(group)
         assert filt.levels(keys).tolist() == [int(k) % 200 for k in keys.view(np.int64)]
 
