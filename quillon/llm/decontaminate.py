@@ -1,19 +1,25 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Benchmark items of similar length form a class; every window of a text with a class's
-length gets a 64-bit SimHash of its five-word shingles (kept as running bit counts, so a
-window costs one subtraction for each bit).  A multi-index over the items' fingerprints
-has four blocks of 16 bits: fingerprints within radius 4 q + 3 agree on some block up to q
-bits, so a table of all block values within q of an item's finds every fingerprint in the
-radius.  Survivors of the full Hamming test are verified on the exact windows of the item's
-own length around them: weighted Jaccard of shingle multisets, a shingle's weight being one
-over the number of different item texts of the whole benchmark that hold it.  A window that holds no shingle of any item has
-similarity 0, so a bitmap of the items' shingles passes over it; that screen loses nothing.
+Benchmark items of similar length form a class; a window of a text with a class's length gets
+a 64-bit SimHash of its five-word shingles (kept as running bit counts, so a window costs one
+subtraction for each bit).  A multi-index over the items' fingerprints has four blocks of 16
+bits, each a table from a block's value to the items listed there: fingerprints within radius
+4 q + 3 agree on some block up to q bits, so the q bits are shared out between the lists (an
+item is listed under all values within i bits of its own) and the probes (a window looks up all
+values within q - i bits); i falls as the items grow in number.  The pairs so retrieved take the
+full Hamming test, and survivors are verified on the exact windows of the item's own length
+around them: weighted Jaccard of shingle multisets, a shingle's weight being one over the number
+of different item texts of the whole benchmark that hold it.
+
+A window with too few shingles of any item cannot reach the similarity: foreign shingles weigh 1
+each and known ones at most 1, so of a window's shingles a share of ``SIMILARITY`` must be known.
+Such windows are passed over, which loses nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -29,8 +35,12 @@ BLOCK_RADIUS = 3
 RADIUS = 4 * BLOCK_RADIUS + 3
 #: lengths within this ratio share a class of windows
 CLASS_RATIO = 1.12
-#: items that one pass over the documents compares; more items take more passes
-ITEMS_PER_PASS = 2000
+#: items, and characters of their texts, that one pass over the documents compares; more take more passes
+ITEMS_PER_PASS, CHARS_PER_PASS = 1 << 17, 1 << 26
+#: places in the lists of one block; an item is listed under so many values as fit
+LIST_PLACES = 1 << 21
+#: pairs that are looked at together
+PAIRS = 1 << 20
 CHUNK = 1024
 
 
@@ -63,88 +73,124 @@ def simhash(h: np.ndarray) -> int:
     return int(_pack((2 * _bits(h).sum(0, dtype=np.int64) > len(h))[None])[0])
 
 
-def _near(value: int, radius: int) -> list[int]:
-    got = {value}
-    for _ in range(radius):
-        got |= {v ^ (1 << b) for v in got for b in range(16)}
-    return list(got)
+def _masks(radius: int) -> np.ndarray:
+    """All 16-bit words of at most so many ones."""
+    x = np.arange(1 << 16, dtype=np.uint64)
+    return x[np.bitwise_count(x) <= radius]
+
+
+class BlockLists:
+    """For each of four 16-bit blocks, the items listed under each of its values."""
+
+    def __init__(self, prints: np.ndarray, numbers: np.ndarray):
+        listed = max(i for i in range(BLOCK_RADIUS + 1) if i == 0 or len(prints) * len(_masks(i)) <= LIST_PLACES)
+        self.prints, self.numbers, self.probes = prints, numbers, _masks(BLOCK_RADIUS - listed)
+        around, self.lists = _masks(listed), []
+        for b in range(4):
+            value = (self._value(prints, b)[:, None] ^ around).ravel()
+            item = np.repeat(np.arange(len(prints), dtype=np.int32), len(around))
+            order = np.argsort(value, kind="stable")
+            start = np.concatenate(([0], np.cumsum(np.bincount(value.astype(np.int64), minlength=1 << 16)))).astype(np.int32)
+            self.lists.append((start, item[order]))
+
+    @staticmethod
+    def _value(prints, b):
+        return (prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)
+
+    def retrieve(self, prints: np.ndarray):
+        """(window, item number) pairs within the radius, each once."""
+        out = []
+        for lo in range(0, len(prints), max(1, PAIRS // len(self.probes))):
+            some = prints[lo : lo + max(1, PAIRS // len(self.probes))]
+            pairs = [np.zeros(0, np.int64)]
+            for b, (start, item) in enumerate(self.lists):
+                value = (self._value(some, b)[:, None] ^ self.probes).astype(np.int64)
+                size = start[value + 1] - start[value]
+                row, col = np.nonzero(size)
+                first, size = start[value[row, col]], size[row, col]
+                for at in range(0, len(row), PAIRS):
+                    f, n, r = first[at : at + PAIRS], size[at : at + PAIRS], row[at : at + PAIRS]
+                    place = np.repeat(f - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                    x, y = np.repeat(r, n), item[place].astype(np.int64)
+                    near = np.bitwise_count(some[x] ^ self.prints[y]) <= RADIUS
+                    pairs.append(np.unique(x[near] * len(self.prints) + y[near]))
+            found = np.unique(np.concatenate(pairs))
+            out.append((found // len(self.prints) + lo, self.numbers[found % len(self.prints)]))
+        x, y = zip(*out, strict=True) if out else ((np.zeros(0, np.int64),), (np.zeros(0, np.int64),))
+        return np.concatenate(x), np.concatenate(y)
 
 
 class WindowIndex:
-    """The items of one pass, their fingerprints by length class, and the multi-index tables.
+    """The different texts of one pass's items, their fingerprints and block lists by length class.
 
     ``shared`` has the shingles of more than one text of the benchmark, sorted, and their numbers of
-    texts; without it the items are the whole benchmark.
+    texts; without it the items are the whole benchmark.  ``ids`` has the item ids of each text.
     """
 
     def __init__(self, items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray] | None = None):
-        w = Words([(t or "").encode("utf-8", "surrogatepass") for _, t in items])
-        h, first = _shingles(w)
-        self.ids = [i for i, _ in items]
-        self.sets = [h[first[i] : first[i + 1]] for i in range(len(items))]
-        held = Counter(x for s in {s.tobytes(): s for s in self.sets}.values() for x in set(s.tolist()))
-        if shared is None:
-            some = np.array(sorted(x for x, c in held.items() if c > 1), np.uint64)
-            shared = some, np.array([held[x] for x in some.tolist()], np.int64)
-        self.shared, self.texts = shared
-        self.counts = [Counter(s.tolist()) for s in self.sets]
-        self.prints = np.array([simhash(s) if len(s) else 0 for s in self.sets], np.uint64)
-        self.known = np.array(sorted(held), np.uint64)
-        self.screen = np.zeros(1 << 20, bool)
-        self.screen[self.known & np.uint64((1 << 20) - 1)] = True
+        texts: dict[bytes, list[int]] = {}
+        self.sets: list[np.ndarray] = []
+        self.ids: list[list[int]] = []
+        ids = [i for i, _ in items]
+        for at, group in blocks([t for _, t in items]):
+            h, first = _shingles(Words(group))
+            for k, (lo, hi) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                key = h[lo:hi].tobytes()
+                if key not in texts:
+                    texts[key] = []
+                    self.sets.append(h[lo:hi].copy())
+                    self.ids.append(texts[key])
+                texts[key].append(ids[at + k])
+        whole = np.concatenate([np.unique(s) for s in self.sets]) if self.sets else np.zeros(0, np.uint64)
+        known, count = np.unique(whole, return_counts=True)
+        self.shared, self.texts = (known[count > 1], count[count > 1]) if shared is None else shared
+        prints = np.array([simhash(s) if len(s) else 0 for s in self.sets], np.uint64)
+        size = np.array([len(s) for s in self.sets], np.int64)
+        bits = min(1 << 27, max(1 << 20, 1 << (64 * len(known)).bit_length()))
+        self.screen = np.zeros(bits, bool)
+        self.screen[known & np.uint64(bits - 1)] = True
         self.classes = []
-        order = sorted((i for i in range(len(items)) if len(self.sets[i])), key=lambda i: len(self.sets[i]))
-        while order:
-            low = len(self.sets[order[0]])
-            some = np.array([i for i in order if len(self.sets[i]) <= low * CLASS_RATIO])
-            order = order[len(some) :]
-            high = len(self.sets[some[-1]])
-            tables = np.zeros((4, 1 << 16), bool)
-            for i in some:
-                for b in range(4):
-                    tables[b, _near(int(self.prints[i]) >> (16 * b) & 0xFFFF, BLOCK_RADIUS)] = True
-            self.classes.append(((low + high + 1) // 2, low, some, tables))
-
-    def _hits(self, prints: np.ndarray, some: np.ndarray, tables: np.ndarray):
-        """(window, item) pairs within the radius."""
-        maybe = tables[0][prints & np.uint64(0xFFFF)]
-        for b in range(1, 4):
-            maybe |= tables[b][(prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)]
-        at = np.flatnonzero(maybe)
-        far = np.bitwise_count(prints[at, None] ^ self.prints[some][None, :])
-        x, y = np.nonzero(far <= RADIUS)
-        return at[x], some[y]
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] > 0]
+        while len(order):
+            low = int(size[order[0]])
+            some, order = np.split(order, [np.searchsorted(size[order], low * CLASS_RATIO, "right")])
+            high = int(size[some[-1]])
+            length = (low + high + 1) // 2
+            # a window of the class holds the item's, or lacks less of it than the lengths differ
+            known_least = math.ceil(min(SIMILARITY * low, length - (1 - SIMILARITY) * high) - 1e-9)
+            self.classes.append((length, low, max(1, known_least), BlockLists(prints[some], some)))
 
     def candidates(self, h: np.ndarray, first: np.ndarray):
         """Arrays (first shingle, last + 1, item) of windows whose fingerprints are in the radius."""
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        known = np.concatenate(([0], np.cumsum(self.screen[h & np.uint64(len(self.screen) - 1)])))
+        out = []
+        windows = []
+        for s, _, least, _ in self.classes:
+            n = max(0, len(h) - s + 1)
+            a = np.flatnonzero(known[s : s + n] - known[:n] >= least)
+            windows.append(a[text[a] == text[a + s - 1]])
         most = max(c[0] for c in self.classes)
         kind = np.uint8 if most < 256 else np.int64
-        # a window without a known shingle has similarity 0
-        known = np.concatenate(([0], np.cumsum(self.screen[h & np.uint64((1 << 20) - 1)])))
-        out = []
-        for lo in range(0, len(h), CHUNK):
+        for lo in sorted({x for a in windows for x in np.unique(a // CHUNK).tolist()}):
+            lo *= CHUNK
             hi = min(len(h), lo + CHUNK + most - 1)
-            if known[hi] == known[lo]:
-                continue
             c = np.zeros((hi - lo + 1, 64), kind)
             np.cumsum(_bits(h[lo:hi]), axis=0, dtype=kind, out=c[1:])
-            for s, _, some, tables in self.classes:
-                n = min(CHUNK, hi - lo - s + 1)
-                if n <= 0:
-                    continue
-                a = np.arange(lo, lo + n)
-                a = a[(known[a + s] > known[a]) & (text[a] == text[a + s - 1])]
-                prints = _pack((c[a - lo + s] - c[a - lo]) > s // 2)
-                at, item = self._hits(prints, some, tables)
-                out.append((a[at], a[at] + s, item))
+            for (s, _, _, lists), a in zip(self.classes, windows, strict=True):
+                a = a[np.searchsorted(a, lo) : np.searchsorted(a, lo + CHUNK)]
+                if len(a):
+                    at, item = lists.retrieve(_pack((c[a - lo + s] - c[a - lo]) > s // 2))
+                    out.append((a[at], a[at] + s, item))
         # texts shorter than a class's window are windows themselves
         size = np.diff(first)
-        for s, low, some, tables in self.classes:
+        for s, low, _, lists in self.classes:
             short = np.flatnonzero((size < s) & (size >= SIMILARITY * low))
+            short = short[known[first[short + 1]] - known[first[short]] >= SIMILARITY * size[short]]
             if len(short):
                 prints = np.array([simhash(h[first[i] : first[i + 1]]) for i in short], np.uint64)
-                at, item = self._hits(prints, some, tables)
+                at, item = lists.retrieve(prints)
                 out.append((first[short[at]], first[short[at] + 1], item))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
@@ -158,7 +204,7 @@ class WindowIndex:
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard of two shingle multisets."""
-        a, b = Counter(window.tolist()), self.counts[item]
+        a, b = Counter(window.tolist()), Counter(self.sets[item].tolist())
         weight = self._weights(a.keys() | b.keys())
         both = sum(min(n, b[x]) * weight[x] for x, n in a.items() if x in b)
         either = sum(n * weight[x] for x, n in a.items()) + sum(n * weight[x] for x, n in b.items()) - both
@@ -207,25 +253,28 @@ def _shared(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items, ``ITEMS_PER_PASS`` at a time, by id; the driver holds one pass's items and the shingles that texts share."""
+    """The items by hash of their id, one pass's at a time; the driver holds these and the shingles that texts share."""
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    n, last, shared = items.count(), None, None
-    for _ in range(-(-n // ITEMS_PER_PASS)):
-        rest = items if last is None else items.where((F.col("i") > last[0]) | ((F.col("i") == last[0]) & (F.col("t") > last[1])))
-        got = rest.distinct().orderBy("i", "t").limit(ITEMS_PER_PASS).collect()
-        if not got:
-            return
-        last = got[-1]
-        shared = shared or _shared(items.select("t"))
-        yield WindowIndex([(r.i, r.t) for r in got], shared)
-
-
-def _finder(index: WindowIndex):
+    size = items.agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars")).first()
+    n = max(-(-size.n // ITEMS_PER_PASS), -(-(size.chars or 0) // CHARS_PER_PASS))
+    shared = _shared(items.select("t")) if n else None
+    for k in range(n):
+        got = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).distinct().orderBy("i", "t").collect()
+        if got:
+            yield benchmark.sparkSession.sparkContext.broadcast(WindowIndex([(r.i, r.t) for r in got], shared))
+
+
+def _finder(index):
     def find(batches):
+        known = index.value
         for batch in batches:
             ids, rows = batch.column(0), []
             for at, group in blocks(batch.column(1).to_pylist()):
-                rows += [(at + t, index.ids[i], s, p) for (t, i), (s, p) in sorted(index.matches(group).items())]
+                best: dict[tuple[int, int], tuple[float, int]] = {}
+                for (t, i), (s, p) in known.matches(group).items():
+                    for item in known.ids[i]:
+                        best[t, item] = max(best.get((t, item), (0.0, 0)), (s, -p))
+                rows += [(at + t, item, s, -p) for (t, item), (s, p) in sorted(best.items())]
             at, item, sim, pos = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(sim, pa.float64()), pa.array(pos, pa.int64())],
@@ -251,12 +300,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def _cleaner(index: WindowIndex, column: int):
+def _cleaner(index, column: int):
     def clean(batches):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for at, group in blocks(batch.column(column).to_pylist()):
-                keep[[at + t for t, _ in index.matches(group)]] = False
+                keep[[at + t for t, _ in index.value.matches(group)]] = False
             yield batch.filter(pa.array(keep))
 
     return clean
