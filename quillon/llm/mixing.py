@@ -27,6 +27,8 @@ from .common import Scratch
 TARGET_ENTROPY, MAX_REPEATS = 0.97, 4.0
 #: tokens of a block, at most so many blocks of a source
 BLOCK_TOKENS, MAX_BLOCKS = 1 << 17, 4096
+#: rows (source, block, epoch) of a plan that is broadcast; hex digits of a key that name its bin
+BROADCAST_ROWS, BIN_DIGITS = 1 << 17, 3
 SECTIONS, PASSES = 64, 6
 
 
@@ -136,17 +138,29 @@ def mix_sources(
     state = F.when(F.col("epoch") < F.col("full"), "all").when(F.col("left") >= F.col("size"), "all").when(F.col("left") > 0, "some")
     blocks = sc.keep(blocks.withColumn("state", state).where("state is not null").select("_source", "block", "epoch", "block_rank", "state", "left"))
 
-    # the documents of a source's one unfinished block, in the order of their keys
+    # the documents of a source's one unfinished block, in the order of their keys: sums by the first digits of
+    # the key find the bin where the rest runs out, so that no task orders a whole block
     doc_key = F.md5(F.concat_ws("|", F.lit("doc"), "_id", F.col("epoch").cast("string")).cast("binary"))
-    some = blocks.where("state = 'some'")
-    within = Window.partitionBy("_source").orderBy("doc_key")
+    some = blocks.where("state = 'some'").select("_source", "block", "epoch", "left")
+    bin_ = F.substring("doc_key", 1, BIN_DIGITS).alias("bin")
     cut = placed.select("_source", "_id", "_tokens", "block").join(some, ["_source", "block"]).withColumn("doc_key", doc_key)
-    cut = cut.withColumn("upto", F.sum("_tokens").over(within)).where("upto <= left").groupBy("_source").agg(F.max("doc_key").alias("cut"))
-
-    plan = blocks.drop("left").join(cut, "_source", "left").join(sources.select("_source", "weight"), "_source")
+    cut = sc.keep(cut.select("_source", bin_, "doc_key", "_tokens", "left"))
+    bins = cut.groupBy("_source", "bin", "left").agg(F.sum("_tokens").alias("size"), F.max("doc_key").alias("last"))
+    bins = bins.withColumn("upto", F.sum("size").over(Window.partitionBy("_source").orderBy("bin"))).withColumn("before", F.col("upto") - F.col("size"))
+    bins = sc.keep(bins.where("before <= left"))
+    torn = cut.join(bins.where("upto > left").select("_source", "bin", "before"), ["_source", "bin"])
+    torn = torn.withColumn("upto", F.col("before") + F.sum("_tokens").over(Window.partitionBy("_source").orderBy("doc_key"))).where("upto <= left")
+    ends = bins.where("upto <= left").select("_source", "last").union(torn.select("_source", "doc_key"))
+    cut = ends.groupBy("_source").agg(F.max("last").alias("cut"))
+
+    plan = sc.keep(blocks.drop("left").join(cut, "_source", "left").join(sources.select("_source", "weight"), "_source"))
+    # the plan is broadcast only while it is small, so that whole texts stay where they are
+    small = plan.count() <= BROADCAST_ROWS
+    sizes = sources.select("_source", "blocks")
+    sizes, plan = (F.broadcast(sizes), F.broadcast(plan)) if small else (sizes, plan)
     told = _keyed(docs, id_col, source_col, text_col)
     names = [*own, F.col("_tokens").alias("n_tokens"), "weight", "epoch", "block", "block_rank", "doc_key"]
-    read = told.where("_tokens > 0").join(sources.select("_source", "blocks"), "_source").withColumn("block", _block(F.col("blocks")))
+    read = told.where("_tokens > 0").join(sizes, "_source").withColumn("block", _block(F.col("blocks")))
     read = read.join(plan, ["_source", "block"]).withColumn("doc_key", doc_key)
     read = read.where("state = 'all' or doc_key <= cut").select(*names)
     empty = told.where("_tokens = 0").select(
