@@ -2,19 +2,24 @@
 
 Generators propose spans of four kinds: the base patterns, and wider ones (bracketed "at"
 and "dot", national phone formats, cards with other separators, defanged addresses), which
-may overlap.  A span has format features (digits, separators, checksum, ranges) and context
-features (the characters beside it, a cue word before it), all in a few bins.  Boosted trees
-of depth two are fitted on the counts of feature patterns over the whole input, where a base
-pattern's candidate is positive if it passes its kind's exact check; the trees become one
-Column expression.  Each kind's threshold is the lowest score at which the training
-candidates reach ``PRECISION``.  Base spans that pass always stay; a wider span is added if
-it reaches its threshold and overlaps neither a base span nor a better added one.
+may overlap.  A span has format features (separators, brackets, variety) and context features
+(the characters beside it, a cue word, a label or a number before it, other candidates
+nearby), all in a few bins.  Boosted trees of depth two are fitted on the counts of feature
+patterns over the whole input.  A candidate is positive if it passes its kind's check: a
+top-level domain of letters, octets up to 255, a Luhn sum, the digits of a phone number.  No
+feature states that check, so the trees learn in which forms and contexts valid candidates
+stand.  Half of the texts, by hash, fit the trees, the others calibrate: a kind's threshold is
+the lowest score at which its wider candidates there reach ``PRECISION``.  Base spans that pass
+always stay; a wider span is added if it passes its check, reaches its threshold and overlaps
+neither a base span nor a better added one.
+
+Places are running sums in blocks of ``BLOCK`` matches, and overlaps are looked up by place, so
+that texts of very many matches take nearly linear time.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +47,39 @@ WIDE = {
 NEEDS = {"email": r"@|[\[(] ?at ?[\])]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]|[0-9]{3}"}
 CUES = r"(?i)(?:mail|contact|write|phone|call|tel|fax|mobile|card|visa|credit|payment|ip|host|server|address)\W*$"
 CONTEXT = 24
-FEATURES = ("kind", "digits", "plus", "separators", "at", "brackets", "checksum", "ranges", "before", "after", "cue", "variety")
+FEATURES = ("kind", "wide", "plus", "separators", "brackets", "before", "after", "cue", "labelled", "numeric", "line", "crowded", "variety")
 ROUNDS, RATE, PRECISION, LEAF_PRIOR = 24, 0.4, 0.9, 1.0
+#: threshold of a kind with too few candidates to calibrate by
+UNCALIBRATED = 0.3
+#: candidates of each half from which they are parted, and those of a kind by which a threshold is calibrated
+LEAST_PARTED, LEAST_HELD = 200, 20
+#: matches whose places are summed together; characters of an index entry; spans of a text whose pieces are cut one by one
+BLOCK, STRIDE, FEW = 512, 256, 64
 
 _SPAN = "struct<kind:int,base:boolean,start:int,end:int,txt:string,before:string,after:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, value, combine, zero: int = 0) -> Column:
+    """For each item the combined values of those before it."""
+
+    def before(some, start, of):
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda acc, x: F.struct(combine(acc["at"], of(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(some, first, add)["out"]
+
+    def in_blocks(parts):
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(zero), lambda a, x: combine(a, value(x))))
+        return F.flatten(F.zip_with(parts, before(totals, F.lit(zero), lambda x: x), lambda p, at: before(p, at, value)))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(BLOCK))
+    return _let(F.transform(starts, lambda i: F.slice(items, i, BLOCK)), in_blocks)
+
+
 def _digits(txt: Column) -> Column:
     return F.regexp_replace(txt, "[^0-9]", "")
 
@@ -81,30 +113,38 @@ def passes(kind: Column, txt: Column) -> Column:
     )
 
 
+def valid(kind: Column, base: Column, txt: Column) -> Column:
+    """Whether a candidate is a positive: the exact check of its kind, which no feature states."""
+    return (
+        F.when(kind == 0, F.regexp_replace(txt, r"[\])]", "").rlike("[A-Za-z]{2,}$"))
+        .when((kind == 3) & ~base, _digits(txt).rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
+        .otherwise(passes(kind, txt))
+    )
+
+
 def _found(text: Column, kind: int, pattern: str, base: bool) -> Column:
     """Spans of a pattern: lengths of the pieces between the matches give the places."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rest = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-
-    def add(acc, hit_rest):
-        hit, gap, nxt = hit_rest["hit"], hit_rest["gap"], hit_rest["nxt"]
-        begin = acc["at"] + F.length(gap)
-        end = begin + F.length(hit)
-        span = F.struct(
-            F.lit(kind).alias("kind"), F.lit(base).alias("base"), begin.alias("start"), end.alias("end"), hit.alias("txt"),
-            F.substring(gap, -CONTEXT, CONTEXT).alias("before"), F.substring(nxt, 1, 1).alias("after"),
-        )
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    n = F.size(hits)
-    zipped = F.zip_with(
-        F.zip_with(hits, F.slice(rest, 1, n), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))),
-        F.slice(rest, 2, n),
-        lambda hg, x: F.struct(hg["hit"].alias("hit"), hg["gap"].alias("gap"), x.alias("nxt")),
-    )
-    spans = F.aggregate(zipped, start, add)["out"]
-    return F.when(text.rlike(NEEDS[KINDS[kind]]) & text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+    def spans(found):
+        def one(x, at):
+            hit, gap = x["hit"], x["gap"]
+            begin = at + F.length(gap)
+            return F.struct(
+                F.lit(kind).alias("kind"), F.lit(base).alias("base"), begin.alias("start"), (begin + F.length(hit)).alias("end"), hit.alias("txt"),
+                F.substring(gap, -CONTEXT, CONTEXT).alias("before"), F.substring(x["nxt"], 1, 1).alias("after"),
+            )
+
+        return F.zip_with(found, running(found, lambda x: F.length(x["gap"]) + F.length(x["hit"]), lambda a, b: a + b), one)
+
+    def matches(both):
+        hits, rest = both["hits"], both["rest"]
+        n = F.size(hits)
+        gaps = F.zip_with(hits, F.slice(rest, 1, n), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+        return F.zip_with(gaps, F.slice(rest, 2, n), lambda hg, x: F.struct(hg["hit"].alias("hit"), hg["gap"].alias("gap"), x.alias("nxt")))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("rest"))
+    got = _let(both, lambda x: _let(matches(x), spans))
+    return F.when(text.rlike(NEEDS[KINDS[kind]]) & text.rlike(pattern), got).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def proposals(text: Column) -> Column:
@@ -120,21 +160,21 @@ def _side(c: Column) -> Column:
 
 def span_features(s: Column) -> list[Column]:
     """Binned features of a span, in the order of ``FEATURES``."""
-    txt, digits = s["txt"], _digits(s["txt"])
-    n = F.length(digits)
+    txt, before = s["txt"], s["before"]
     return [
         s["kind"],
-        F.when(n < 8, 0).when(n < 9, 1).when(n < 13, 2).when(n <= 16, 3).otherwise(4),
+        (~s["base"]).cast("int"),
         txt.contains("+").cast("int"),
         F.least(F.lit(3), F.length(F.regexp_replace(txt, r"[^ ().\-_/]", ""))),
-        txt.contains("@").cast("int"),
         txt.rlike(r"[\[(]").cast("int"),
-        (n.between(13, 19) & luhn(digits)).cast("int"),
-        ((s["kind"] == 1) & _octets(txt)).cast("int"),
-        _side(F.substring(s["before"], -1, 1)),
+        _side(F.substring(before, -1, 1)),
         _side(s["after"]),
-        s["before"].rlike(CUES).cast("int"),
-        (F.size(F.array_distinct(F.split(digits, ""))) >= 3).cast("int"),
+        before.rlike(CUES).cast("int"),
+        before.rlike(r"[A-Za-z]+ ?[:=#] ?$").cast("int"),
+        before.rlike("[0-9][^0-9]{0,3}$").cast("int"),
+        before.rlike(r"(?:^|\n)[ \t]*$").cast("int"),
+        (F.length(before) < CONTEXT).cast("int"),
+        (F.size(F.array_distinct(F.split(_digits(txt), ""))) >= 3).cast("int"),
     ]
 
 
@@ -170,8 +210,8 @@ class Boosted:
         return 1 / (1 + F.exp(-total))
 
 
-def boost(patterns: list[tuple[tuple[int, ...], float, float]]) -> Boosted:
-    """Fit on (features, n, positives); with nothing to learn from, nothing is added."""
+def boost(patterns: list[tuple[tuple[int, ...], float, float]], held: list | None = None) -> Boosted:
+    """Fit on (features, n, positives) and calibrate on those of ``held``; with nothing to learn from, nothing is added."""
     if not patterns:
         return Boosted(-9.0, [], [1.1] * len(KINDS))
     n, y = sum(p[1] for p in patterns), sum(p[2] for p in patterns)
@@ -209,31 +249,42 @@ def boost(patterns: list[tuple[tuple[int, ...], float, float]]) -> Boosted:
         trees.append(tree)
         margin = [m + Boosted._leaf(tree, r[0]) for m, r in zip(margin, patterns, strict=True)]
     model = Boosted(bias, trees, [])
-    by_kind = defaultdict(list)
-    for x, count, good in patterns:
-        by_kind[x[0]].append((model.score(x), count, good))
     for k in range(len(KINDS)):
+        rows = [(model.score(x), count, good) for x, count, good in (patterns if held is None else held) if x[0] == k and x[1]]
         cut, seen, right = 1.1, 0.0, 0.0
-        rows = sorted(by_kind[k], reverse=True)
+        rows = sorted(rows, reverse=True)
         for i, (s, count, good) in enumerate(rows):
             seen, right = seen + count, right + good
             if right >= PRECISION * seen and (i + 1 == len(rows) or rows[i + 1][0] < s):
-                cut = s
-        model.thresholds.append(max(0.5, cut))
+                cut = s - 1e-9  # sums of floats may differ in the last place where they are taken by columns
+        # too few to calibrate by
+        model.thresholds.append(max(0.5, cut) if seen >= LEAST_HELD else UNCALIBRATED)
     return model
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Boosted:
-    """Trees from the base candidates of all texts; what reaches the driver is a row for each feature
-    pattern, whose number the bins bound (some hundreds occur)."""
+def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Counts of all candidates by half of the texts and feature pattern: (half, f0, f1, ..., n, y), y positives."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = F.concat(*[_found(text, i, BASE[k], True) for i, k in enumerate(KINDS)])
-    spans = docs.select(F.explode(base).alias("s"))
+    half = F.pmod(F.crc32(text.cast("binary")), F.lit(2)).cast("int").alias("half")
+    # the half comes first, as a column above the explosion would read the text again for each span
+    spans = docs.select(half, proposals(text).alias("p")).select("half", F.explode("p").alias("s"))
     x = [c.cast("int").alias(f"f{i}") for i, c in enumerate(span_features(F.col("s")))]
-    good = passes(F.col("s.kind"), F.col("s.txt")).cast("int").alias("good")
-    names = [f"f{i}" for i in range(len(FEATURES))]
-    rows = spans.select(*x, good).groupBy(*names).agg(F.count("*").alias("n"), F.sum("good").alias("y")).orderBy(*names).collect()
-    return boost([(tuple(r[c] for c in names), float(r["n"]), float(r["y"])) for r in rows])
+    good = valid(F.col("s.kind"), F.col("s.base"), F.col("s.txt")).cast("int").alias("good")
+    names = ["half", *(f"f{i}" for i in range(len(FEATURES)))]
+    return spans.select("half", *x, good).groupBy(*names).agg(F.count("*").alias("n"), F.sum("good").alias("y")).orderBy(*names)
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Boosted:
+    """Trees from the candidates of all texts; what reaches the driver is a row for each feature
+    pattern, whose number the bins bound (some hundreds occur)."""
+    rows = [(r[0], tuple(r[1 : 1 + len(FEATURES)]), float(r.n), float(r.y)) for r in candidates(docs, text_col).collect()]
+    if min(sum(r[2] for r in rows if r[0] == h) for h in (0, 1)) < LEAST_PARTED:
+        whole: dict[tuple, list[float]] = {}
+        for _, x, n, y in rows:
+            got = whole.setdefault(x, [0.0, 0.0])
+            got[0], got[1] = got[0] + n, got[1] + y
+        return boost([(x, n, y) for x, (n, y) in sorted(whole.items())])
+    return boost([r[1:] for r in rows if r[0] == 0], [r[1:] for r in rows if r[0] == 1])
 
 
 def accepted(text: Column, model: Boosted) -> Column:
@@ -242,26 +293,47 @@ def accepted(text: Column, model: Boosted) -> Column:
     def judge(s):
         score = F.when(s["base"], F.lit(1.0)).otherwise(model.column(span_features(s)))
         least = F.element_at(F.array(*[F.lit(float(t)) for t in model.thresholds]), s["kind"] + 1)
-        ok = F.when(s["base"], passes(s["kind"], s["txt"])).otherwise(score >= least)
+        ok = F.when(s["base"], passes(s["kind"], s["txt"])).otherwise((score >= least) & valid(s["kind"], s["base"], s["txt"]))
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), score.alias("score"), ok.alias("ok"))
 
     judged = F.filter(F.transform(proposals(text), judge), lambda s: s["ok"])
     return F.transform(judged, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score")))
 
 
+def _indexed(spans: Column, kind: int, base: bool) -> Column:
+    """The spans of one kind and origin, which are disjoint and in order, and an index by place: at b the number of
+    those that end at or before b * STRIDE."""
+
+    def index(some):
+        last = F.transform(some, lambda s: F.floor((s["end"] - 1) / STRIDE).cast("int"))
+        steps = F.zip_with(last, F.slice(F.concat(F.array(F.lit(-1)), last), 1, F.size(last)), lambda x, y: x - y)
+        reach = F.flatten(F.transform(steps, lambda d, i: F.array_repeat(i, d)))
+        return F.struct(some.alias("spans"), reach.alias("reach"))
+
+    return _let(F.filter(spans, lambda s: (s["kind"] == kind) & (s["base"] == F.lit(base))), index)
+
+
 def _settled(spans: Column) -> Column:
     """Without added spans that overlap a base span or a better added one."""
-    wide = F.filter(spans, lambda s: ~s["base"])
 
-    def beaten(a):
+    def beaten(lists, a):
         def beats(b):
             meet = (b["start"] < a["end"]) & (a["start"] < b["end"])
             better = b["base"] | (b["score"] > a["score"]) | ((b["score"] == a["score"]) & ((b["kind"] < a["kind"]) | ((b["kind"] == a["kind"]) & (b["start"] < a["start"]))))
             return meet & better
 
-        return F.exists(spans, beats)
+        def near(x):
+            """Those that end after the start of ``a``, up to the first that ends after its end."""
+            n = F.size(x["spans"])
+            low = F.coalesce(F.get(x["reach"], F.floor(a["start"] / STRIDE).cast("int")), n)
+            high = F.coalesce(F.get(x["reach"], F.floor((a["end"] - 1) / STRIDE).cast("int") + 1), n)
+            return F.slice(x["spans"], low + 1, high - low + 1)
+
+        return F.exists(lists, lambda x: F.exists(near(x), beats))
 
-    return F.when(F.size(wide) == 0, spans).otherwise(F.filter(spans, lambda a: a["base"] | ~beaten(a)))
+    lists = F.array(*[_indexed(spans, k, base) for base in (True, False) for k in range(len(KINDS))])
+    kept = _let(lists, lambda x: F.filter(spans, lambda a: a["base"] | ~beaten(x, a)))
+    return F.when(F.exists(spans, lambda s: ~s["base"]), kept).otherwise(spans)
 
 
 def with_spans(docs: DataFrame, model: Boosted, text_col: str = "text", out: str = "pii_spans") -> DataFrame:
@@ -278,20 +350,24 @@ def redacted(docs: DataFrame, model: Boosted, text_col: str = "text") -> DataFra
     """
     spans = free_name(docs, "_spans")
     got = with_spans(docs, model, text_col, spans)
+    text = F.col(text_col)
     by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     tag = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def put(acc, s):
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])
-        more = F.when(fresh, F.array(gap, F.element_at(tag, s["kind"] + 1))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
+    def written(piece):
+        """The text with the tags in place; ``piece`` cuts it between two places."""
+
+        def put(some):
+            upto = running(some, lambda s: s["end"], F.greatest)
+            parts = F.zip_with(some, upto, lambda s, at: F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.element_at(tag, s["kind"] + 1))).otherwise(""))
+            return F.concat(F.array_join(parts, ""), piece(F.array_max(F.transform(some, lambda s: s["end"])), F.length(text)))
 
-    def finish(acc):
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col)))
+        return _let(by_place, put)
 
-    new = F.when(F.size(spans) == 0, F.col(text_col)).otherwise(F.aggregate(by_place, start, put, finish))
+    few = written(lambda a, b: F.substring(text, a + 1, b - a))
+    # characters by place, as each cut of a text reads it from the start
+    many = _let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: written(lambda a, b: F.array_join(F.slice(c, a + 1, b - a), "")))
+    new = F.when(F.size(spans) == 0, text).when(F.size(spans) <= FEW, few).otherwise(many)
     return got.withColumn(text_col, new).drop(spans)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -268,6 +269,56 @@ def test_pii(spark, tmp_path):
     assert pii.personal_data(docs(spark, [])).count() == 0 and pii.personal_data(docs(spark, [(1, None)])).first().spans == []
 
 
+def test_pii_of_very_many_matches(spark):
+    """Places, settled overlaps and redactions of texts with tens of thousands of matches."""
+    rng = random.Random(4)
+    many = " ".join(f"user{i}@mail{rng.randrange(99)}.example.com" for i in range(50_000))
+    wide = " ".join(rng.choice(["joe [at] mail [dot] com", "(555) 234-5678", "10[.]1[.]2[.]3", "ann@b.co", "é 4111.1111.1111.1111", "+1 (555) 234-5678"]) for _ in range(3_000))
+    few = wide[:3000]
+    rows = [(1, many), (2, wide), (3, few), *((i, few) for i in range(10, 60))]
+    began = time.time()
+    got = {r.id: r.spans for r in pii.personal_data(docs(spark, rows)).where("id < 10").collect()}
+    assert [f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" for s in got[1]] == base_spans(many)
+    for i, t in ((2, wide), (3, few)):
+        assert [f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" for s in got[i] if s.base] == base_spans(t)
+        added = [s for s in got[i] if not s.base]
+        assert added and not any(a.start < b.end and b.start < a.end for a in added[:300] for b in got[i] if b is not a)
+    model = pii.train(docs(spark, rows))
+    text = {r.doc_id: r.text for r in pii.redacted(docs(spark, rows[:3]), model).collect()}
+    assert text[1] == " ".join(["[EMAIL]"] * 50_000) and text[2].startswith(text[3][:800])
+    for i, t in ((2, wide), (3, few)):
+        at, want = 0, []
+        for s in sorted(got[i], key=lambda s: (s.start, s.end, s.kind)):
+            if s.start >= at:
+                want += [t[at : s.start], f"[{pii.KINDS[s.kind].upper()}]"]
+            at = max(at, s.end)
+        assert text[i] == "".join(want) + t[at:]
+    assert time.time() - began < 240
+
+
+def test_pii_overlaps_against_brute_force(spark):
+    """Settling by place equals comparing all pairs."""
+    rng = random.Random(14)
+    kind = "struct<kind:int,start:int,end:int,base:boolean,score:double>"
+    rows = []
+    for n in range(60):
+        spans = []
+        for k in range(4):
+            for base in (True, False):
+                at = 0
+                for _ in range(rng.randrange(30)):
+                    at += rng.randrange(1, 400 if n % 2 else 40)
+                    end = at + rng.randrange(1, 900 if n % 3 == 0 else 30)
+                    spans.append((k, at, end, base, 1.0 if base else rng.choice([0.6, 0.7, 0.9])))
+                    at = end
+        rows.append((n, spans))
+    got = {r.n: [tuple(s) for s in r.kept] for r in spark.createDataFrame(rows, f"n int, spans array<{kind}>").select("n", pii._settled(F.col("spans")).alias("kept")).collect()}
+    for n, spans in rows:
+        def beaten(a, spans=spans):
+            return any(b[1] < a[2] and a[1] < b[2] and (b[3] or (b[4], -b[0], -b[1]) > (a[4], -a[0], -a[1])) for b in spans if b is not a)
+        assert sorted(got[n]) == sorted(a for a in spans if a[3] or not beaten(a))
+
+
 def test_phones_of_single_digits(spark):
     rows = [(1, "call +1 2 3 4 5 6 7 8 9 now"), (2, "+4-9-3-0-1-2-3-4-5-6"), (3, "+1 2 3"), (4, "(555) 123-4567")]
     got = {r.id: [(s.kind, s.start, s.end) for s in r.spans if s.base] for r in pii.personal_data(docs(spark, rows)).collect()}
