@@ -3,16 +3,19 @@
 A document's set is its distinct k-word shingles.  Two documents link when
 ``den * |A & B| >= num * |A | B|``.
 
-Method.  Shingles are hashed into groups and a set is the point of its group counts.
-For linked sets the L1 distance of their points is at most
-``tau = floor(2 n (den - num) / (den + num))``, n the larger size.  Boxes of a tree cut at
-medians cannot prune such a radius in many dimensions (a point's distance to a box is far
-below tau), so the tree's root fans out by the pigeonhole principle: the groups of a size
-band are dealt into tau + 1 + spare blocks, at most tau of which can differ, so linked
-points agree exactly on at least one block's counts.  Each (band, block, block counts) is
-one leaf cell and one shuffle key.  Inside the cells that hold several sets, points are
-packed into nodes with upper corners, overlap is bounded by the sum over coordinates of the
-minima (node first, point next), and survivors are verified on the exact sets.
+Method.  Shingles are hashed into groups and a set is the point of its group counts.  Points
+are routed down a tree.  Its root parts the sizes into bands (a set goes to its own and to those
+of larger partners).  For linked sets the L1 distance of their points is at most
+``tau = floor(2 n (den - num) / (den + num))``, n the larger size, and boxes cut at medians
+cannot prune such a radius in many dimensions (a point's distance to a box is far below tau).
+So the next level fans out by the pigeonhole principle: the groups of a band are dealt into
+tau + 1 + spare blocks, at most tau of which can differ, so linked points agree exactly on at
+least one block's counts.  A child is a box without extent in the coordinates of one block: a
+cell, named by (band, block, block counts), one shuffle key.  Below a cell, points are packed
+bottom-up into nodes of ``NODE`` with upper corners and ranges of size, level upon level; a probe
+descends where the sizes may link and the sum over coordinates of the minima of corner and point
+reaches the overlap that a link needs.  A pair that two points give, and any pair before its
+sets are compared, takes the same bound, and survivors are verified on the exact sets.
 
 Spare blocks make linked points agree on several cells, ``least`` of them at least.  So a
 class that shares fewer cells goes, and every class may leave its hottest ``least - 1`` cells,
@@ -44,8 +47,12 @@ GROUPS_PER_BLOCK = 1 << 16
 #: members of a cell that one task compares at once
 CHUNK = 512
 NODE = 32
+#: texts of a batch that are taken out of it together
+TEXTS = 512
 #: a member carries at most so many groups of its point, and so many of its cells
 POINT_GROUPS, CARRIED = 128, 4
+#: groups whose counts bound a pair's overlap before its sets are compared; divides the groups of any point
+BOUND_GROUPS = 32
 #: bits of the broadcast bitmaps of candidate documents and of shared cells (8 and 16 MB whatever the input)
 BITMAP_BITS, CELL_BITS = 1 << 26, 1 << 27
 
@@ -109,11 +116,12 @@ def _opened(raw: bytes) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, k: int):
-    """(row, distinct sorted shingle hashes) of each text."""
-    for at, group in blocks(batch.column(1).to_pylist()):
-        w = Words(group)
-        for i in range(len(group)):
-            yield at + i, np.unique(shingle_hashes(w.hash[w.first[i] : w.first[i + 1]], k))
+    """(row, distinct sorted shingle hashes) of each text; the texts of a batch are taken out a few at a time."""
+    for lo in range(0, batch.num_rows, TEXTS):
+        for at, group in blocks(batch.column(1).slice(lo, TEXTS).to_pylist()):
+            w = Words(group)
+            for i in range(len(group)):
+                yield lo + at + i, np.unique(shingle_hashes(w.hash[w.first[i] : w.first[i + 1]], k))
 
 
 def _digest(u: np.ndarray) -> int:
@@ -156,9 +164,11 @@ def _expander(k: int, bitmap):
             rows = [(_digest(u), len(u), u.view(np.int64), point(u)) for _, u in _sets(some, k) if len(u)]
             for i in range(0, len(rows), 1000):
                 c, n, s, v = zip(*rows[i : i + 1000], strict=True)
+                # the bound before the exact comparison takes the counts of fewer groups
+                counts = [_opened(x).reshape(-1, BOUND_GROUPS).sum(0) for x in v]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(v, pa.binary())],
-                    ["cls", "n", "items", "point"],
+                    [pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(v, pa.binary()), pa.array(counts, pa.list_(pa.int32()))],
+                    ["cls", "n", "items", "point", "counts"],
                 )
 
     return expand
@@ -169,29 +179,52 @@ def _fold(points: list[np.ndarray]) -> np.ndarray:
     return np.stack([p.reshape(-1, size).sum(0) for p in points])
 
 
+class CountTree:
+    """Points packed in the order of their sizes and first counts, with levels of upper corners and size ranges."""
+
+    def __init__(self, v: np.ndarray, n: np.ndarray, num: int, den: int):
+        self.v, self.n, self.num, self.den = v, n, num, den
+        self.levels, corner, low, high = [], v, n, n
+        while len(corner) > 1 and (not self.levels or len(corner) > NODE):
+            first = np.arange(0, len(corner), NODE)
+            corner, low, high = np.maximum.reduceat(corner, first, 0), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            self.levels.append((corner, low, high))
+
+    def _open(self, corner, low, high, i: int) -> np.ndarray:
+        """Whether a box may hold a partner of point i: its sizes may link and the summed minima reach the overlap."""
+        n = self.n[i]
+        near = (low * self.num <= n * self.den) & (high * self.den >= n * self.num)
+        least = np.maximum(low, -(-n * self.num // self.den))
+        return near & (np.minimum(corner, self.v[i]).sum(1) * (self.num + self.den) >= self.num * (least + n))
+
+    def probe(self, i: int) -> np.ndarray:
+        """Points after i that may link with it."""
+        at = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.n))
+        for k in range(len(self.levels) - 1, -1, -1):
+            corner, low, high = self.levels[k]
+            at = at[self._open(corner[at], low[at], high[at], i)]
+            at = (at[:, None] * NODE + np.arange(NODE)).ravel()
+            at = at[at < (len(self.levels[k - 1][0]) if k else len(self.n))]
+        at = at[at > i]
+        return at[self._open(self.v[at], self.n[at], self.n[at], i)]
+
+
 def tree_pairs(points: list[np.ndarray], n: np.ndarray, comp: np.ndarray, side: np.ndarray, num: int, den: int):
-    """Index pairs (i, j) of different components that may link, by nodes and summed minima.
+    """Index pairs (i, j) of different components that may link, by descending the tree with each point.
 
     ``side``: 0 and 1 for two chunks that meet, pairs then cross; all 0 for one chunk.
     """
     v = _fold(points)
     order = np.lexsort((v[:, 1], v[:, 0], n))
     v, n, comp, side = v[order], n[order], comp[order], side[order]
-    first = np.arange(0, len(n), NODE)
-    corner, least = np.maximum.reduceat(v, first, 0), np.minimum.reduceat(n, first)
-    cross = side.any()
+    tree, cross = CountTree(v, n, num, den), side.any()
     for i in range(len(n) - 1):
-        apart = comp[i + 1 :] != comp[i]
+        at = tree.probe(i)
+        apart = comp[at] != comp[i]
         if cross:
-            apart &= side[i + 1 :] != side[i]
-        if len(first) > 1:
-            node = np.minimum(corner, v[i]).sum(1) * (num + den) >= num * (least + n[i])
-            apart &= np.repeat(node, NODE)[i + 1 : len(n)]
-        at = np.flatnonzero(apart) + i + 1
-        if len(at):
-            over = np.minimum(v[at], v[i]).sum(1)
-            for j in at[over * (num + den) >= num * (n[at] + n[i])]:
-                yield int(order[i]), int(order[j])
+            apart &= side[at] != side[i]
+        for j in at[apart]:
+            yield int(order[i]), int(order[j])
 
 
 def _cells(batches):
@@ -268,12 +301,14 @@ def _shared_cells(bitmap):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose exact sets link."""
-    x, y = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("items").alias(f"s_{c}")) for c in "ab")
+    """The pairs (a, b) of classes whose points pass the bound and whose exact sets link."""
+    x, y = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"p_{c}"), F.col("items").alias(f"s_{c}")) for c in "ab")
+    most = F.aggregate(F.zip_with("p_a", "p_b", lambda g, h: F.least(g, h)), F.lit(0), lambda t, g: t + g).cast("long")
     both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return (
         pairs.join(x, "a").join(y, "b")
         .where(f"least(n_a, n_b) * {den} >= {num} * greatest(n_a, n_b)")
+        .where(most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
         .withColumn("o", both)
         .where(F.col("o") * den >= (F.col("n_a") + F.col("n_b") - F.col("o")) * num)
         .select("a", "b")
@@ -302,7 +337,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # only cells that may be among them are shuffled; what the bitmap lets through besides, the join drops
     shared = _bitmap(spark, many.select(F.col("key").alias("id")), CELL_BITS)
     cells = sketched.select("cls", "keys").mapInArrow(_shared_cells(shared), "cls long, key long")
-    owner = sketched.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("least").alias("least"))
+    owner = sc.keep(sketched.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("least").alias("least")))
     met = cells.join(many, "key").groupBy("cls").agg(F.collect_set(F.struct("key", "lo")).alias("cells"))
     met = met.join(owner, "cls").where(F.size("cells") >= F.col("least"))
     # a class with itself as the smallest of a cell needs others there: they are in the other rows
@@ -317,7 +352,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = stars.where("2 * c >= least").select("a", "b").join(members.select(F.col("cls").alias("a")), "a", "left_semi")
 
     bits = _bitmap(spark, members.select("id"), BITMAP_BITS)
-    sets = texts.mapInArrow(_expander(k, bits), "cls long, n long, items array<long>, point binary")
+    sets = texts.mapInArrow(_expander(k, bits), "cls long, n long, items array<long>, point binary, counts array<int>")
     sets = sc.keep(sets.dropDuplicates(["cls"]))
     linked = sc.keep(_verified(stars, sets, num, den))
     label = sc.keep(components(sc, linked))
@@ -346,11 +381,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked2 = sc.keep(_verified(more, sets, num, den))
     label = components(sc, linked.union(linked2))
 
-    placed = sketched.select("id", "n", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("id", "n", F.coalesce("comp", "cls").alias("comp"))
-    best = placed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("best"))
-    return placed.join(best, "comp", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("best", "id").alias("component_id")
-    )
+    # the smallest id of each component, then of each class, as written tables: the joins then are of plain
+    # exchanges, of which large parts can be split, however many rows a class or a component has
+    members = sc.keep(label.join(owner.select(F.col("cls").alias("node"), "id"), "node"))
+    best = sc.keep(members.groupBy("comp").agg(F.min("id").alias("best")))
+    best = members.join(best, "comp").select(F.col("node").alias("cls"), "best")
+    best = sc.keep(owner.join(best, "cls", "left").select("cls", F.coalesce("best", "id").alias("best")))
+    return sketched.join(best, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("best", "id").alias("component_id"))
 
 
 def _picker(bitmap, column: int, hit: bool):
@@ -386,7 +423,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = sure.union(maybe.join(gone, same, "left_anti"))
     twice = found.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id")
     if not twice.isEmpty():
-        kept = kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").distinct())
+        again = kept.join(twice, same, "left_semi")
+        # maps can't be compared: their text stands for them
+        maps = {c: f"m{i}" for i, c in enumerate(names) if "map<" in dict(again.dtypes)[c]}
+        again = again.withColumns({m: F.to_json(F.array(c)) for c, m in maps.items()}) if maps else again
+        again = again.dropDuplicates([maps.get(c, c) for c in names]).select(*names)
+        kept = kept.join(twice, same, "left_anti").union(again)
     return kept.toDF(*docs.columns)
 
 

@@ -210,7 +210,7 @@ def test_contamination(spark):
         for j, s in enumerate(index.sets):
             best = max((index.similarity(h[a : a + len(s)], j) for a in range(max(1, len(h) - len(s) + 1))), default=0) if len(s) and len(h) else 0
             if best >= 0.8:
-                want.append((i, index.ids[j]))
+                want += [(i, k) for k in index.ids[j]]
     got = [(r.id, r.item_id) for r in decontaminate.contamination(d, b).collect()]
     assert sorted(got) == sorted(want) and len(want) > 60
     kept = decontaminate.decontaminated(d, b)
@@ -257,17 +257,56 @@ def test_equal_items_count_once(spark):
     assert sorted(r.item_id for r in got) == [0, 1, 2, 3, 4] and all(abs(r.similarity - 38 / 42) < 1e-9 for r in got)
 
 
-def test_multi_index_finds_the_whole_radius():
-    rng = random.Random(8)
-    index = decontaminate.WindowIndex([(i, " ".join(f"t{rng.randrange(9999)}" for _ in range(30))) for i in range(20)])
-    s, low, some, tables = index.classes[0]
-    prints = []
-    for i in some:
-        for _ in range(50):
-            v = int(index.prints[i])
-            for bit in rng.sample(range(64), decontaminate.RADIUS):
-                v ^= 1 << bit
-            prints.append((v, i))
-    at, item = index._hits(np.array([v for v, _ in prints], np.uint64), some, tables)
-    found = set(zip(at.tolist(), item.tolist(), strict=True))
-    assert all((k, i) in found for k, (_, i) in enumerate(prints))
+@pytest.mark.parametrize(("n", "listed"), [(20, 3), (10_000, 2), (40_000, 1)])
+def test_multi_index_finds_the_whole_radius(n, listed):
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 2**64, n, dtype=np.uint64)
+    lists = decontaminate.BlockLists(prints, np.arange(n) + 7)
+    assert len(lists.probes) == len(decontaminate._masks(decontaminate.BLOCK_RADIUS - listed))
+    some = rng.integers(0, n, 60)
+    off = [sum(1 << int(b) for b in rng.permutation(64)[: decontaminate.RADIUS + k % 2]) for k in range(60)]
+    windows = prints[some] ^ np.array(off, np.uint64)
+    at, item = lists.retrieve(windows)
+    want = np.nonzero(np.bitwise_count(windows[:, None] ^ prints) <= decontaminate.RADIUS)
+    assert sorted(zip(at.tolist(), (item - 7).tolist(), strict=True)) == sorted(zip(want[0].tolist(), want[1].tolist(), strict=True)) and len(at) >= 30
+
+
+def test_ten_thousand_items(spark):
+    rng = random.Random(10)
+    items = [(i, " ".join(f"v{rng.randrange(20000)}" for _ in range(rng.randint(20, 50)))) for i in range(10_000)]
+    rows, want = [], set()
+    for n in range(200):
+        w = items[n * 50][1].split()
+        if n % 3 == 0:
+            w[-1] = "changed"
+        elif n % 3 == 1:
+            w = [x for x in w[:3]] * 4
+        rows.append((n, " ".join([f"v{rng.randrange(20000)}" for _ in range(30)] + w + ["after"] * 20)))
+        if n % 3 != 1:
+            want.add((n, n * 50))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.id, r.item_id) for r in decontaminate.contamination(d, b).collect()} == want
+
+
+def test_count_tree_prunes_and_loses_nothing():
+    rng = np.random.default_rng(3)
+    base = rng.poisson(3, (40, 64))
+    v = np.concatenate([np.maximum(0, b + rng.integers(-1, 2, (60, 64)) * (rng.random((60, 64)) < 0.05)) for b in base])
+    n = v.sum(1)
+    order = np.argsort(n, kind="stable")
+    v, n = v[order], n[order]
+    tree = ngram_join.CountTree(v, n, 90, 100)
+    assert [len(x[0]) for x in tree.levels] == [75, 3]
+    for i in range(0, len(n), 37):
+        over = np.minimum(v[i + 1 :], v[i]).sum(1)
+        want = np.flatnonzero(over * 190 >= 90 * (n[i + 1 :] + n[i])) + i + 1
+        assert set(want) <= set(tree.probe(i).tolist()) and len(tree.probe(i)) == len(want)
+
+
+def test_groups_with_maps_and_hot_copies(spark):
+    """One row of each group stays, where rows have maps and a third of all rows are one text."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text, {"a": i % 2}) for i in range(100)] + [(i, text + f" x{i}", {"a": 1}) for i in range(100, 140)] + [(500, "other words here", None)] * 3 + [(501, None, {})]
+    d = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
+    got = ngram_join.one_of_each_group(d).collect()
+    assert sorted(r.doc_id for r in got) == [0, 500, 501] and all(r.extra == {"a": 0} for r in got if r.doc_id == 0)
