@@ -506,12 +506,17 @@ def lm_scores(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_id"
     heavy = spark.sparkContext.broadcast((top["word"].to_numpy().view(np.uint64)[order], logs))
 
     if (size["size"] or 0) <= max_filter_bytes:
-        got = built.select("seg", "bits").toArrow().sort_by("seg")
+        # one copy of the bits beside the rows they come in
+        whole = bytearray(size["size"] or 0)
         offsets = np.zeros(SEGMENTS + 1, np.int64)
-        chunks = got["bits"].to_pylist()
-        offsets[np.array(got["seg"].to_pylist(), np.int64) + 1] = [len(x) // 8 for x in chunks]
-        source = _probed(spark.sparkContext.broadcast((np.cumsum(offsets), b"".join(chunks))))
-        del got, chunks
+        sizes = {r.seg: r.size for r in built.select("seg", "size").collect()}
+        offsets[np.array(list(sizes), np.int64) + 1] = [x // 8 for x in sizes.values()]
+        offsets = np.cumsum(offsets)
+        for r in built.select("seg", "bits").toLocalIterator():
+            place = 8 * int(offsets[r.seg])
+            whole[place : place + len(r.bits)] = r.bits
+        source = _probed(spark.sparkContext.broadcast((offsets, bytes(whole))))
+        del whole
     else:
         source, texts = _routed, _with_levels(sc, texts, built)
     # texts are read and probed once; the weights and the scores need their levels only
