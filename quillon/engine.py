@@ -155,7 +155,7 @@ class Engine:
         lang_of = questions.select(F.col("query_id").cast("string").alias("query_id"), "lang") if "lang" in questions.columns else None
         sources = self.sources(asked, k, lang_of)
         replies = prompts.build_prompts(asked.withColumnRenamed("query", "question"), sources)
-        folder = f"{self._scratch()}/ask-{uuid.uuid4().hex}"
+        folder = f"{tables.scratch_dir(self.spark)}/ask-{uuid.uuid4().hex}"
         replies.select(F.col("query_id").alias("answer_id"), "question", self.llm.generate(F.col("prompt")).alias("text")).write.parquet(f"{folder}/answers")
         sources.write.parquet(f"{folder}/sources")
         answers, sources = self.spark.read.parquet(f"{folder}/answers"), self.spark.read.parquet(f"{folder}/sources")
@@ -194,14 +194,6 @@ class Engine:
             traces.append(done, self.config.trace_path)
         return done
 
-    def _scratch(self) -> str:
-        at = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            import tempfile
-
-            at = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        return at.rstrip("/")
-
     def evaluate(self, gold: DataFrame, top_k: int = 10, lang_filter: str | None = None) -> DataFrame:
         """The report of a gold table; ``lang_filter``: none, a language, or 'match_query' for each item's own."""
         queries = gold.select(F.col("id").alias("query_id"), "query")

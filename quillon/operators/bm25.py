@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_lang, segments
@@ -34,11 +34,29 @@ class Bm25Index:
         return self.doc_stats.count()
 
 
-def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", lang_col: str = "lang") -> Bm25Index:
+def term_counts(terms: Column) -> Column:
+    """array<struct<term, tf>> of an array of terms: runs of the sorted array, counted in the row."""
+    ordered = F.sort_array(terms)
+
+    def runs(t):
+        places = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)))
+        starts = F.filter(places, lambda i: (F.size(t) > 0) & ((i == 1) | (F.get(t, i - 1) != F.get(t, i - 2))))
+        count = lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t) + 1) - i).cast("long").alias("tf")))
+        return F.transform(F.array(starts), count)[0]
+
+    return F.transform(F.array(ordered), runs)[0]
+
+
+def counted(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(chunk_id, lang, dl, counts): the terms of each text with their numbers; nothing is shuffled."""
     terms = chunks.select(F.col(id_col).alias("chunk_id"), F.col(lang_col).alias("lang"), segments(F.col(text_col), F.col(lang_col)).alias("terms"))
-    doc_stats = terms.select("chunk_id", "lang", F.size("terms").cast("long").alias("dl"))
-    # a text's terms are counted in its row: one row for each posting goes on
-    postings = terms.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return terms.select("chunk_id", "lang", F.size("terms").cast("long").alias("dl"), term_counts(F.col("terms")).alias("counts"))
+
+
+def index_of(rows: DataFrame) -> Bm25Index:
+    """The index of counted texts."""
+    doc_stats = rows.select("chunk_id", "lang", "dl")
+    postings = rows.select("chunk_id", F.explode("counts").alias("c")).select("chunk_id", "c.term", "c.tf")
     stats = doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -50,6 +68,10 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     return Bm25Index(postings, doc_stats, idf, stats)
 
 
+def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", lang_col: str = "lang") -> Bm25Index:
+    return index_of(counted(chunks, id_col, text_col, lang_col))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf): terms with their multiplicity; queries are cut by their script."""
     terms = segments(F.col("query"), query_lang(F.col("query")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown, text
 from ..operators import bm25, chunking, correction, dense, evaluation, prompts, verification
-from ..sources import traces
+from ..sources import tables, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,7 +159,8 @@ def chunk_manifest(spark, d):
 
 
 def _index(spark, d) -> bm25.Bm25Index:
-    return bm25.build_index(table(spark, d, "documents", "doc_id", "text", "lang"), id_col="doc_id")
+    """The index over ``documents``: texts are cut and counted once, whatever then reads the index."""
+    return bm25.index_of(tables.kept(bm25.counted(table(spark, d, "documents", "doc_id", "text", "lang"), id_col="doc_id")))
 
 
 def _asked(spark, d) -> DataFrame:
@@ -241,16 +243,16 @@ def dense_cosine_topk_filtered(spark, d):
     return _near(dense.dense_search(v, q, TOP_K, "vec_id", filter_col="label"))
 
 
-def _coverage(spark, d, k: int) -> DataFrame:
+def _coverage(index: bm25.Bm25Index, asked: DataFrame, k: int) -> DataFrame:
     """Documents ranked by the number of distinct query terms they hold."""
-    hit = bm25.query_terms(_asked(spark, d)).join(_index(spark, d).postings, "term")
+    hit = bm25.query_terms(asked).join(index.postings, "term")
     return bm25.top_k(hit.groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score")), k)
 
 
 @query
 def rrf_hybrid_topk(spark, d):
-    first = bm25.search(_index(spark, d), _asked(spark, d), dense.FUSE_FETCH)
-    return _hits(dense.fuse(first, _coverage(spark, d, dense.FUSE_FETCH), TOP_K))
+    index, asked = _index(spark, d), _asked(spark, d)
+    return _hits(dense.fuse(bm25.search(index, asked, dense.FUSE_FETCH), _coverage(index, asked, dense.FUSE_FETCH), TOP_K))
 
 
 def _cover(query: str, body: str) -> Column:
@@ -274,12 +276,12 @@ def payload_join(spark, d):
 # ---- evaluation ------------------------------------------------------------------------
 
 
-def _gold(spark, d) -> DataFrame:
+def _gold(spark, d, index: bm25.Bm25Index | None = None) -> DataFrame:
     """Benchmark items as gold: relevant are the documents that hold the passage, found among those that hold all its words."""
     asked = _asked(spark, d)
     terms = bm25.query_terms(asked)
     n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    share = terms.join(_index(spark, d).postings.select("term", "chunk_id"), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("m"))
+    share = terms.join((index or _index(spark, d)).postings.select("term", "chunk_id"), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("m"))
     full = share.join(n, "query_id").where("m = n").select("query_id", "chunk_id")
     docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("chunk_id"), "text")
     held = full.join(asked, "query_id").join(docs, "chunk_id").where(F.contains("text", "query"))
@@ -298,8 +300,9 @@ def page_dedupe_ranking(spark, d):
     return evaluation.page_ranking(bm25.search(_index(spark, d), _asked(spark, d), TOP_K).join(docs, "chunk_id"))
 
 
-def _bm25_items(spark, d) -> DataFrame:
-    return evaluation.item_metrics(_gold(spark, d), _ranked_docs(bm25.search(_index(spark, d), _asked(spark, d), TOP_K)))
+def _bm25_items(spark, d, index: bm25.Bm25Index | None = None) -> DataFrame:
+    index = index or _index(spark, d)
+    return evaluation.item_metrics(_gold(spark, d, index), _ranked_docs(bm25.search(index, _asked(spark, d), TOP_K)))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -318,13 +321,115 @@ def recall_mrr_ndcg(spark, d):
 
 @query
 def ablation_table(spark, d):
-    cover = evaluation.item_metrics(_gold(spark, d), _ranked_docs(_coverage(spark, d, TOP_K)))
-    return _rounded(evaluation.ablation({"bm25": evaluation.report(_bm25_items(spark, d)), "coverage": evaluation.report(cover)}))
+    index = _index(spark, d)
+    cover = evaluation.item_metrics(_gold(spark, d, index), _ranked_docs(_coverage(index, _asked(spark, d), TOP_K)))
+    return _rounded(evaluation.ablation({"bm25": evaluation.report(_bm25_items(spark, d, index)), "coverage": evaluation.report(cover)}))
 
 
 @query
 def backend_parity(spark, d):
-    return evaluation.parity(_ranked_docs(bm25.search(_index(spark, d), _asked(spark, d), TOP_K)), _ranked_docs(_coverage(spark, d, TOP_K)))
+    """BM25 against term coverage."""
+    index, asked = _index(spark, d), _asked(spark, d)
+    return evaluation.parity(_ranked_docs(bm25.search(index, asked, TOP_K)), _ranked_docs(_coverage(index, asked, TOP_K)))
+
+
+@query
+def stored_backend_parity(spark, d):
+    """The index in the plan against the one stored on disk: first pages, recall and reciprocal rank."""
+    index = _index(spark, d)
+    path = f"{tables.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    tables.save_index(index, path, {"source": d})
+    asked, gold = _asked(spark, d), tables.kept(_gold(spark, d, index))
+    ranked = [tables.kept(_ranked_docs(bm25.search(x, asked, TOP_K))) for x in (index, tables.load_index(spark, path))]
+    a, b = (evaluation.report(evaluation.item_metrics(gold, r)).where("lang is null") for r in ranked)
+    delta = a.crossJoin(F.broadcast(b.select(F.col("recall_at_5").alias("r"), F.col("mrr").alias("m"))))
+    return evaluation.parity(*ranked).crossJoin(F.broadcast(delta.select(F.round(F.col("r") - F.col("recall_at_5"), 9).alias("recall_at_5_delta"), F.round(F.col("m") - F.col("mrr"), 9).alias("mrr_delta"))))
+
+
+@query
+def stored_index_topk(spark, d):
+    """A search of an index that was saved and loaded again."""
+    path = f"{tables.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    tables.save_index(_index(spark, d), path, {"source": d})
+    return _hits(bm25.search(tables.load_index(spark, path), _asked(spark, d), TOP_K))
+
+
+@query
+def index_count_name(spark, d):
+    index = _index(spark, d)
+    return index.doc_stats.groupBy("lang").agg(F.count("*").alias("n_chunks")).withColumns({"n_index": F.lit(index.count()), "name": F.lit(index.name)})
+
+
+@query
+def query_operator_words(spark, d):
+    """Operator words and quotes of a query are plain terms, marks alone are none."""
+    asked = _asked(spark, d).withColumn("query", F.concat(F.lit('NOT "quoted" OR * ( - '), "query", F.lit(' AND "" NEAR not')))
+    return bm25.query_terms(asked)
+
+
+@query
+def vector_upsert(spark, d):
+    """Two upserts into one collection: later texts replace those of the same id, the others stay."""
+    from ..operators.providers import FakeEmbedder
+
+    docs = table(spark, d, "documents", "doc_id", "lang", "source", "text")
+    cid = text.make_chunk_id(F.concat_ws(":", "lang", F.col("doc_id").cast("string")), F.lit("fixed"), F.lit(0))
+    chunks = docs.select(cid.alias("chunk_id"), F.col("source").alias("title"), F.array("lang").alias("section_path"), "text", "doc_id")
+    path = f"{tables.scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    tables.upsert_vectors(chunks.where("doc_id % 2 = 0"), FakeEmbedder(), path)
+    got = tables.upsert_vectors(chunks.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))), FakeEmbedder(), path)
+    return got.select("doc_id", "chunk_id", "point_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size("embedding").alias("dim"))
+
+
+@query
+def chunk_roundtrip(spark, d):
+    """Chunks written as JSON lines and read under the schema."""
+    path = f"{tables.scratch_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    tables.write_lines(chunking.chunk_fixed(_pages(spark, d), 128, 32, 16), path)
+    return _told(tables.read_chunks(spark, path))
+
+
+# ---- page format -----------------------------------------------------------------------
+
+
+@query
+def shortcodes_rendered(spark, d):
+    """Every kind of shortcode, around the words of a document's row."""
+    docs = table(spark, d, "documents", "doc_id", "lang", "source")
+    raw = F.concat(
+        F.lit('A {{< glossary_tooltip text="'), "source", F.lit('" term_id="a-b_c" >}} and {{< glossary_tooltip term_id="'), "lang", F.lit('-x_y" >}}; {{< glossary_definition prepend="'), "source",
+        F.lit('" term_id="q" length="all" >}}. {{< feature-state state="beta" for_k8s_version="v1.'), F.col("doc_id").cast("string"), F.lit('" >}} {{% heading "'), "lang",
+        F.lit('" %}} {{< note >}}kept{{< /note >}} {{< feature-state feature_gate_name="G" >}}<!-- gone -->[link](http://x)![image](y) <b>bold</b>'),
+    )
+    return docs.select("doc_id", markdown.clean_inline(raw).alias("shown"))
+
+
+@query
+def front_matter(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "lang", "source", "text")
+    quote = F.when(F.col("doc_id") % 3 == 0, '"').when(F.col("doc_id") % 3 == 1, "'").otherwise("")
+    raw = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("---\nweight: 3\ntitle: "), quote, "source", F.lit(" "), "lang", quote, F.lit("  \nlinkTitle: other\n---\n"), "text"))
+    body = F.md5(markdown.front_matter_body(raw).cast("binary")).alias("body_md5")
+    return docs.select("doc_id", markdown.front_matter_title(raw).alias("title"), body)
+
+
+@query
+def markdown_blocks(spark, d):
+    """Headings, fences and empty sections of a page made of a document's row."""
+    docs = table(spark, d, "documents", "doc_id", "lang", "source")
+    raw = F.concat(
+        F.lit("lead of "), "source", F.lit("\n# One {#one}\nfirst "), "lang", F.lit("\n\n\n\nmore\n## Two ##\n```\n# no heading\n```\n### Empty\n## "), "source", F.lit("\ntail "), F.col("doc_id").cast("string"), F.lit("\n# Last\n"),
+    )
+    blocks = docs.select("doc_id", F.posexplode(markdown.blocks(raw)).alias("idx", "b"))
+    return blocks.select("doc_id", "idx", F.array_join("b.section_path", "/").alias("path"), F.col("b.text").alias("text"))
+
+
+@query
+def common_prefixes(spark, d):
+    """Prefixes that the addresses of two neighbouring pages share."""
+    p = table(spark, d, "pages", "page_id", "url").select("page_id", F.split("url", "[/.-]").alias("parts"))
+    other = p.select((F.col("page_id") - 1).alias("page_id"), F.col("parts").alias("next"))
+    return p.join(other, "page_id").select("page_id", F.array_join(text.common_prefix(F.col("parts"), F.col("next")), "/").alias("shared"))
 
 
 @query

@@ -35,11 +35,11 @@ def _words(c: str) -> str:
 def _index(prefix: str = "", src: str = "(SELECT doc_id AS id, text, lang FROM documents)") -> str:
     """CTEs tok, dl, cs, p, df, idf of an index over ``src``."""
     x = prefix
-    return f"""{x}dl AS (SELECT id, lang, {_words('text')} AS terms, len({_words('text')})::BIGINT AS dl FROM {src}),
+    return f"""{x}dl AS MATERIALIZED (SELECT id, lang, {_words('text')} AS terms, len({_words('text')})::BIGINT AS dl FROM {src}),
 {x}cs AS (SELECT count(*) AS n_docs, sum(dl) / count(*) AS avgdl FROM {x}dl),
-{x}p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM {x}dl) GROUP BY ALL),
+{x}p AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM {x}dl) GROUP BY ALL),
 {x}df AS (SELECT term, count(*) AS df FROM {x}p GROUP BY term),
-{x}raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM {x}df, {x}cs),
+{x}raw AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM {x}df, {x}cs),
 {x}idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {x}raw) ELSE raw END AS idf FROM {x}raw)"""
 
 
@@ -52,6 +52,65 @@ def _search(name: str, asked: str, k: int, prefix: str = "", where: str = "TRUE"
 {name} AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, id, score FROM {name}s) WHERE rank <= {k})"""
 
 
+def _tokens(c: str) -> str:
+    return f"""CASE WHEN length({c}) = 0 THEN 0 ELSE greatest(1, round_even({_count(c, CJK)} / 1.1::DOUBLE + (length({c}) - {_count(c, CJK)}) / 4.0::DOUBLE, 0))::INT END"""
+
+
+LINES = f"""ln AS (SELECT doc_id, lang, unnest(lines) AS line, generate_subscripts(lines, 1) AS li FROM
+  (SELECT doc_id, lang, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS lines FROM documents))"""
+
+
+def _cut(units: str, target: int, overlap: int) -> str:
+    """CTEs of windows over units (doc_id, k, head, place, s), of each (doc_id, k) in the order of ``place``: win (doc_id, k, i, head, text)."""
+    fits = f"greatest(w.i + 1, len(list_filter(upto, lambda x: x <= upto[w.i + 1] + {target})) - 1)"
+    back = f"least(greatest(len(list_filter(upto, lambda x: x <= upto[w.j + 1] - {overlap})), w.i + 1), w.j + 1) - 1"
+    return f"""un AS (SELECT *, sum({_tokens('s')}) OVER (PARTITION BY doc_id, k ORDER BY place) AS upto FROM {units}),
+ul AS MATERIALIZED (SELECT doc_id, k, list(s ORDER BY place) AS s, list(head ORDER BY place) AS head, list_prepend(0, list(upto::BIGINT ORDER BY place)) AS upto, count(*) AS n FROM un GROUP BY ALL),
+wn AS (SELECT doc_id, k, 0::BIGINT AS i, {fits.replace('w.i', '0')}::BIGINT AS j FROM ul
+  UNION ALL SELECT doc_id, k, i, {fits.replace('w.i', 'y.i')}::BIGINT FROM
+    (SELECT w.doc_id, w.k, upto, (CASE WHEN w.j = w.i + 1 THEN w.j ELSE greatest(w.i + 1, {back}) END)::BIGINT AS i FROM wn w JOIN ul ON ul.doc_id = w.doc_id AND ul.k = w.k WHERE w.j < n) y),
+win AS (SELECT doc_id, k, i, head[i + 1] AS head, array_to_string(s[i + 1 : j], ' ') AS text FROM wn JOIN ul USING (doc_id, k))"""
+
+
+def _fixed(target: int, overlap: int, least: int) -> str:
+    units = f"(SELECT doc_id, 0 AS k, substring(line, 1, 1) AS head, li * 1000000 + unnest(range(len(ss))) AS place, unnest(ss) AS s FROM (SELECT *, {_sentences('line')} AS ss FROM ln))"
+    return f"""{LINES}, {_cut(units, target, overlap)},
+pc AS (SELECT doc_id, 'page/' || head AS path, text, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal FROM win WHERE {_tokens('text')} >= {least})"""
+
+
+def _structural(target: int, overlap: int, least: int) -> str:
+    units = f"(SELECT doc_id, k, path AS head, unnest(range(len(ss))) AS place, unnest(ss) AS s FROM (SELECT *, {_sentences('text')} AS ss FROM ca WHERE NOT small))"
+    prefix = "CASE WHEN {a} = {b} THEN {a} ELSE 'page' END"
+    text = "CASE WHEN c.small THEN c.text || chr(10) || chr(10) || s.text ELSE s.text END"
+    return f"""{LINES},
+sg AS (SELECT *, sum((head IS DISTINCT FROM before)::INT) OVER (PARTITION BY doc_id ORDER BY li) AS k FROM
+  (SELECT *, substring(line, 1, 1) AS head, lag(substring(line, 1, 1)) OVER (PARTITION BY doc_id ORDER BY li) AS before FROM ln)),
+sc AS MATERIALIZED (SELECT doc_id, k::BIGINT AS k, 'page/' || any_value(head) AS path, string_agg(line, chr(10) || chr(10) ORDER BY li) AS text FROM sg GROUP BY doc_id, k),
+ca AS (SELECT doc_id, k, path, text, {_tokens('text')} < {least} AS small FROM sc WHERE k = 1
+  UNION ALL SELECT doc_id, k, path, text, {_tokens('text')} < {least} FROM
+    (SELECT s.doc_id, s.k, CASE WHEN c.small THEN {prefix.format(a='c.path', b='s.path')} ELSE s.path END AS path, {text} AS text FROM ca c JOIN sc s ON s.doc_id = c.doc_id AND s.k = c.k + 1)),
+sr AS (SELECT doc_id, path, text FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS last FROM ca) WHERE k = last AND small),
+{_cut(units, target, overlap)},
+wp AS (SELECT doc_id, head AS path, text, row_number() OVER w - 1 AS ordinal, count(*) OVER (PARTITION BY doc_id) AS n FROM win WHERE {_tokens('text')} >= {least} WINDOW w AS (PARTITION BY doc_id ORDER BY k, i)),
+pc AS (SELECT wp.doc_id, CASE WHEN ordinal = n - 1 AND sr.doc_id IS NOT NULL THEN {prefix.format(a='wp.path', b='sr.path')} ELSE wp.path END AS path,
+    CASE WHEN ordinal = n - 1 AND sr.doc_id IS NOT NULL THEN wp.text || chr(10) || chr(10) || sr.text ELSE wp.text END AS text, ordinal FROM wp LEFT JOIN sr ON sr.doc_id = wp.doc_id
+  UNION ALL SELECT doc_id, path, text, 0 FROM sr WHERE doc_id NOT IN (SELECT doc_id FROM wp))"""
+
+
+def _told(pieces: str, strategy: str) -> str:
+    doc = "lang || ':' || doc_id"
+    return f"""WITH RECURSIVE {pieces} SELECT substring(sha1({doc} || '|{strategy}|' || ordinal), 1, 16) AS chunk_id, {doc} AS doc_id, path, md5(pc.text) AS text_md5,
+  {_tokens('pc.text')} AS token_count, length(pc.text)::INT AS char_count, ordinal::INT AS ordinal FROM pc JOIN documents USING (doc_id)"""
+
+
+def _manifest(pieces: str) -> str:
+    return f"""WITH RECURSIVE {pieces}, ch AS (SELECT lang, doc_id, {_tokens('pc.text')} AS t FROM pc JOIN documents USING (doc_id)),
+by_ AS (SELECT lang, count(*) AS n, round(avg(t), 1) AS mean FROM ch GROUP BY lang)
+SELECT (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM ch) AS chunks_total, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ch)) AS documents_yielding_no_chunks,
+  (SELECT '{{' || string_agg('"' || lang || '":' || n, ',' ORDER BY lang) || '}}' FROM by_) AS by_lang, (SELECT '{{' || string_agg('"' || lang || '":' || mean, ',' ORDER BY lang) || '}}' FROM by_) AS mean_tokens,
+  'structural' AS strategy, 'heuristic' AS tokenizer"""
+
+
 ASKED = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
 HITS = "SELECT query_id, rank, id AS doc_id, round(score, 6) AS score FROM h"
 COVER = """cv AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM
@@ -219,4 +278,20 @@ SQL = {
         SELECT query_id, length(prompt)::INT AS n_chars, md5(prompt) AS prompt_md5, '[ECHO — no model called. Prompt was ' || length(prompt) || ' chars.]' AS answer FROM pr""",
     "trace_roundtrip": """SELECT conv_id || '-' || turn AS trace_id, text AS question, length(text) % 3 = 0 AS refused, conv_id * 60 + turn + 0.25::DOUBLE AS timestamp, 1 AS n_claims,
         round(length(text) * 1.5::DOUBLE, 3) AS total_ms FROM conversations WHERE role = 'assistant'""",
+    "fixed_chunks": _told(_fixed(128, 32, 16), "fixed"),
+    "chunk_roundtrip": _told(_fixed(128, 32, 16), "fixed"),
+    "structural_chunks": _told(_structural(128, 32, 16), "structural"),
+    "chunk_manifest": _manifest(_structural(512, 64, 32)),
+    "stored_index_topk": f"WITH {_index()}, {_search('h', ASKED, TOP_K)} {HITS}",
+    "stored_backend_parity": f"WITH {_index()}, {_search('h', ASKED, TOP_K)} SELECT count(DISTINCT query_id) AS queries, 0 AS top1_differs, 0.0::DOUBLE AS recall_at_5_delta, 0.0::DOUBLE AS mrr_delta FROM h",
+    "index_count_name": "SELECT lang, count(*) AS n_chunks, (SELECT count(*) FROM documents) AS n_index, 'bm25:char-bigram' AS name FROM documents GROUP BY lang",
+    "query_operator_words": f"""SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_words("'NOT \"quoted\" OR * ( - ' || text || ' AND \"\" NEAR not'")}) AS term FROM benchmark) GROUP BY ALL""",
+    "vector_upsert": """SELECT doc_id, c AS chunk_id, (('0x' || c)::UBIGINT & 9223372036854775807::UBIGINT)::BIGINT AS point_id, md5(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS text_md5, 64 AS dim
+        FROM (SELECT *, substring(sha1(lang || ':' || doc_id || '|fixed|0'), 1, 16) AS c FROM documents) WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""",
+    "shortcodes_rendered": """SELECT doc_id, 'A ' || source || ' and ' || lang || ' x y; ' || source || '. (feature state: beta, v1.' || doc_id || ') ' || lang || ' kept (feature gate: G)link bold' AS shown FROM documents""",
+    "front_matter": "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN source || ' ' || lang END AS title, md5(text) AS body_md5 FROM documents",
+    "markdown_blocks": """SELECT doc_id, i::INT AS idx, p AS path, t AS text FROM documents, LATERAL (SELECT unnest(range(4)) AS i, unnest(['', 'One', 'One/Two', 'One/' || source]) AS p,
+        unnest(['lead of ' || source, 'first ' || lang || chr(10) || chr(10) || 'more', '```' || chr(10) || '# no heading' || chr(10) || '```', 'tail ' || doc_id]) AS t)""",
+    "common_prefixes": """SELECT page_id, array_to_string(a[1 : coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b)))], '/') AS shared
+        FROM (SELECT p.page_id, regexp_split_to_array(p.url, '[/.-]') AS a, regexp_split_to_array(n.url, '[/.-]') AS b FROM pages p JOIN pages n ON n.page_id = p.page_id + 1)""",
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,24 @@ def read_markdown(spark: SparkSession, root: str, langs=("en", "ja"), commit_sha
     return got.select("parallel_id", "lang", title.alias("title"), F.format_string(URL, "lang", slug).alias("url"), "body", F.lit(commit_sha).alias("commit_sha")).to(DOCUMENT)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a local run without one gets a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        at = getattr(spark, "_quillon_tables", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
+        spark._quillon_tables = at
+    return at.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as written to the shared folder and read back, so that it is worked out once."""
+    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
