@@ -15,9 +15,11 @@ def held_out(doc_id: str, modulus: int, rest: int):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one."""
+    """The shared folder that spark.checkpoint.dir names; a local run without one gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = getattr(spark, "_quillon_scratch", None)
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="quillon-")
@@ -79,9 +81,8 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     e = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    spark = scratch.spark
     if e.isEmpty():
-        return spark.createDataFrame([], "node bigint, comp bigint")
+        return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -179,6 +179,47 @@ def test_vectors_of_every_size_are_compared(spark):
         assert got[i].n_links == len(near) - 1 and got[i].component_id <= min(near)
 
 
+@pytest.mark.parametrize("pivots, few", [(256, 4), (512, 64)])
+def test_partners_near_the_threshold_in_64_dimensions(spark, monkeypatch, pivots, few):
+    monkeypatch.setattr(embedding_dedup, "pivot_number", lambda n: pivots)
+    monkeypatch.setattr(embedding_dedup, "FEW", few)
+    rng = np.random.default_rng(3)
+    x = embedding_dedup.normalised(rng.normal(size=(3000, 64)))
+    z = rng.normal(size=(600, 64))
+    z = embedding_dedup.normalised(z - (z * x[:600]).sum(1, keepdims=True) * x[:600])
+    cos = np.repeat([0.951, 0.949], 300)[:, None]
+    rows = np.concatenate((x, cos * x[:600] + np.sqrt(1 - cos**2) * z)) * rng.uniform(0.1, 9, size=(3600, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.id: r for r in embedding_dedup.near_vectors(df).collect()}
+    found = sum(got[3000 + i].n_links == 1 and got[3000 + i].component_id == i and not got[3000 + i].kept for i in range(300))
+    assert found >= 0.95 * 300
+    assert all(got[i].n_links == 0 and got[i].component_id == i for i in [*range(300, 3000), *range(3300, 3600)])
+
+
+def test_a_large_group_of_near_copies_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    base, other = rng.normal(size=16), rng.normal(size=16)
+    rows = [(i + 5, (base + rng.normal(size=16) * 0.02).tolist()) for i in range(2500)] + [(7, other.tolist()), (7, other.tolist()), (9, None), (9, [0.0] * 16)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    near = [r for r in got if r.n_links > 1]
+    assert len(near) == 2500 and {r.component_id for r in near} == {5} and sum(r.n_links for r in near) >= 0.9 * 2500 * 2499
+    assert sorted((r.id, r.n_links, r.component_id) for r in got if r.n_links <= 1) == [(7, 1, 7), (7, 1, 7), (9, 0, 9), (9, 0, 9)]
+
+
+def test_pivots_grow_with_the_root_of_the_vectors():
+    assert [embedding_dedup.pivot_number(n) for n in (0, 1, 2000, 51282, 10**6, 10**12)] == [256, 256, 256, 512, 2048, embedding_dedup.MOST_PIVOTS]
+
+
+def test_sketches_bound_the_cosine():
+    rng = np.random.default_rng(6)
+    x = embedding_dedup.normalised(rng.normal(size=(200, 24)) * rng.uniform(0, 3, size=24) ** 3)
+    q, scale, rest = embedding_dedup._sketch(x)
+    y = q * scale[:, None].astype(np.float32)
+    upper = embedding_dedup._upper(y @ y.T, 24, rest[:, None], rest[None, :])
+    assert (upper >= x @ x.T).all() and (upper - x @ x.T).max() < 0.1
+
+
 def passages():
     rng = random.Random(4)
     vocab = [f"v{i}" for i in range(2000)]
