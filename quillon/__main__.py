@@ -51,22 +51,30 @@ def run_eval(spark, a):
     got = _engine(spark, a).evaluate(tables.read_gold(spark, a.gold), a.top_k, a.lang_filter)
     got.show(truncate=False)
     if a.out:
-        got.coalesce(1).write.mode("overwrite").json(a.out)
+        now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        got.withColumn("generated_at", now).coalesce(1).write.mode("overwrite").json(a.out)
 
 
 def ablate(spark, a):
     gold, arms = tables.read_gold(spark, a.gold), {}
     for name in a.arms:
-        arms[name] = _engine(spark, a, retriever=name).evaluate(gold, a.top_k)
-        arms[f"{name}_match_query"] = _engine(spark, a, retriever=name).evaluate(gold, a.top_k, "match_query")
+        retriever, _, more = name.partition("+")
+        if more not in ("", "rerank"):
+            raise ValueError(f"unknown arm {name!r}; expected a retriever, or one with '+rerank'")
+        engine = _engine(spark, a, retriever=retriever, rerank=more == "rerank")
+        arms[name] = engine.evaluate(gold, a.top_k)
+        arms[f"{name}_match_query"] = engine.evaluate(gold, a.top_k, "match_query")
     evaluation.ablation(arms).show(100, truncate=False)
 
 
 def compare_sparse(spark, a):
-    gold = tables.read_gold(spark, a.gold).select(F.col("id").alias("query_id"), "query")
+    gold = tables.read_gold(spark, a.gold)
+    asked = gold.select(F.col("id").alias("query_id"), "query")
+    items = gold.select(F.col("id").alias("query_id"), "lang", F.col("relevant_parallel_ids").alias("relevant"))
     pages = tables.read_chunks(spark, a.chunks).select("chunk_id", F.col("parallel_id").alias("page_id"))
-    found = [evaluation.page_ranking(_engine(spark, a, True, retriever="sparse", sparse_backend=b).retriever.search(gold, a.top_k).join(pages, "chunk_id")) for b in ("memory", "fts5")]
-    evaluation.parity(*found).show()
+    found = [tables.kept(evaluation.page_ranking(_engine(spark, a, True, retriever="sparse", sparse_backend=b).retriever.search(asked, a.top_k).join(pages, "chunk_id"))) for b in ("memory", "fts5")]
+    first, second = (evaluation.report(evaluation.item_metrics(items, r)) for r in found)
+    evaluation.parity(*found).crossJoin(F.broadcast(evaluation.deltas(first, second))).show()
 
 
 def compare_verifiers(spark, a):

@@ -28,13 +28,16 @@ class EngineConfig:
     chunks_path: str = "data/chunks/structural_t512_o64.jsonl"
     sparse_backend: str = "memory"
     sparse_index_path: str = "data/index/bm25"
+    segmenter: str = "char-bigram"
+    rerank: bool = False
+    reranker_model: str | None = providers.RERANKER
     top_k: int = 5
     refusal_threshold: float = correction.REFUSAL_THRESHOLD
     allow_fallback: bool = False
     trace_path: str = "data/traces/quillon.jsonl"
 
     #: names of the variables, after the prefix
-    _VARIABLES = {"embedder_model": "EMBEDDER", "llm_provider": "LLM", "verifier_method": "VERIFIER", "decomposer_mode": "DECOMPOSER", "chunks_path": "CHUNKS"}
+    _VARIABLES = {"embedder_model": "EMBEDDER", "llm_provider": "LLM", "verifier_method": "VERIFIER", "decomposer_mode": "DECOMPOSER", "chunks_path": "CHUNKS", "reranker_model": "RERANKER"}
 
     @property
     def needs_embedder(self) -> bool:
@@ -48,9 +51,9 @@ class EngineConfig:
             raw = env.get(prefix + cls._VARIABLES.get(f.name, f.name.upper()))
             if raw is None:
                 continue
-            if f.name in ("embedder_model", "llm_provider"):
+            if f.name in ("embedder_model", "llm_provider", "reranker_model"):
                 got[f.name] = None if raw in _NONE else raw
-            elif f.name == "allow_fallback":
+            elif f.name in ("allow_fallback", "rerank"):
                 got[f.name] = raw.lower() in ("1", "true", "yes")
             else:
                 got[f.name] = type(f.default)(raw)
@@ -62,7 +65,7 @@ class SparseRetriever:
 
     def __init__(self, index: bm25.Bm25Index, backend: str = "memory"):
         self.index, self.backend = index, backend
-        self.name = f"{'fts5' if backend == 'fts5' else 'bm25'}:char-bigram"
+        self.name = f"{'fts5' if backend == 'fts5' else 'bm25'}:{index.segmenter}"
 
     def count(self) -> int:
         return self.index.count()
@@ -123,6 +126,8 @@ class Engine:
             raise ValueError(f"unknown retriever {config.retriever!r}; expected 'dense', 'sparse' or 'hybrid'")
         if config.sparse_backend not in ("memory", "fts5"):
             raise ValueError(f"unknown sparse backend {config.sparse_backend!r}; expected 'memory' or 'fts5'")
+        if config.segmenter not in ("char-bigram", "auto"):
+            raise ValueError(f"unknown segmenter {config.segmenter!r}; expected 'char-bigram' or 'auto'")
         chunks = tables.read_chunks(spark, config.chunks_path)
         embedder = providers.get_embedder(config.embedder_model, config.allow_fallback) if config.needs_embedder else None
         llm = providers.get_llm(config.llm_provider, config.allow_fallback)
@@ -133,9 +138,12 @@ class Engine:
             parts.append(DenseRetriever(vectors, embedder))
         if config.retriever in ("sparse", "hybrid"):
             stored = config.sparse_backend == "fts5"
-            index = tables.build_or_load(spark, config.chunks_path, config.sparse_index_path) if stored else bm25.build_index(chunks)
+            cutting = providers.get_cut() if config.segmenter == "auto" else {}
+            index = tables.build_or_load(spark, config.chunks_path, config.sparse_index_path, **cutting) if stored else bm25.build_index(chunks, **cutting)
             parts.append(SparseRetriever(index, config.sparse_backend))
         retriever = parts[0] if len(parts) == 1 else HybridRetriever(*parts)
+        if config.rerank:
+            retriever = RerankingRetriever(retriever, providers.get_reranker(config.reranker_model, config.allow_fallback), chunks)
         verify = providers.get_verifier(config.verifier_method, llm=llm, embedder=embedder, allow_fallback=config.allow_fallback)
         return cls(spark, config, chunks, retriever, llm, verify, providers.get_decomposer(config.decomposer_mode, llm), embedder.name if embedder else "none")
 

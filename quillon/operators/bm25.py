@@ -8,6 +8,7 @@ the whole index, language filters apply to the candidates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,10 +26,13 @@ class Bm25Index:
     doc_stats: DataFrame
     term_idf: DataFrame
     corpus_stats: DataFrame
+    #: (text, lang) -> terms, which queries are cut with too, and its name for Japanese
+    cut: Callable[[Column, Column], Column] = segments
+    segmenter: str = "char-bigram"
 
     @property
     def name(self) -> str:
-        return "bm25:char-bigram"
+        return f"bm25:{self.segmenter}"
 
     def count(self) -> int:
         return self.doc_stats.count()
@@ -47,13 +51,13 @@ def term_counts(terms: Column) -> Column:
     return F.transform(F.array(ordered), runs)[0]
 
 
-def counted(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def counted(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", lang_col: str = "lang", cut: Callable[[Column, Column], Column] = segments) -> DataFrame:
     """(chunk_id, lang, dl, counts): the terms of each text with their numbers; nothing is shuffled."""
-    terms = chunks.select(F.col(id_col).alias("chunk_id"), F.col(lang_col).alias("lang"), segments(F.col(text_col), F.col(lang_col)).alias("terms"))
+    terms = chunks.select(F.col(id_col).alias("chunk_id"), F.col(lang_col).alias("lang"), cut(F.col(text_col), F.col(lang_col)).alias("terms"))
     return terms.select("chunk_id", "lang", F.size("terms").cast("long").alias("dl"), term_counts(F.col("terms")).alias("counts"))
 
 
-def index_of(rows: DataFrame) -> Bm25Index:
+def index_of(rows: DataFrame, cut: Callable[[Column, Column], Column] = segments, segmenter: str = "char-bigram") -> Bm25Index:
     """The index of counted texts."""
     doc_stats = rows.select("chunk_id", "lang", "dl")
     postings = rows.select("chunk_id", F.explode("counts").alias("c")).select("chunk_id", "c.term", "c.tf")
@@ -65,16 +69,16 @@ def index_of(rows: DataFrame) -> Bm25Index:
     idf = raw.crossJoin(F.broadcast(mean)).select(
         "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
     )
-    return Bm25Index(postings, doc_stats, idf, stats)
+    return Bm25Index(postings, doc_stats, idf, stats, cut, segmenter)
 
 
-def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", lang_col: str = "lang") -> Bm25Index:
-    return index_of(counted(chunks, id_col, text_col, lang_col))
+def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", lang_col: str = "lang", cut: Callable[[Column, Column], Column] = segments, segmenter: str = "char-bigram") -> Bm25Index:
+    return index_of(counted(chunks, id_col, text_col, lang_col, cut), cut, segmenter)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, cut: Callable[[Column, Column], Column] = segments) -> DataFrame:
     """(query_id, term, qtf): terms with their multiplicity; queries are cut by their script."""
-    terms = segments(F.col("query"), query_lang(F.col("query")))
+    terms = cut(F.col("query"), query_lang(F.col("query")))
     return queries.select("query_id", F.explode(terms).alias("term")).where("trim(replace(term, '\"', '')) <> ''").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
@@ -105,7 +109,7 @@ def search(index: Bm25Index, queries: DataFrame, k: int = 5, lang_of: DataFrame
 
     With ``fill_zero_scores`` chunks without a query term fill up the k places, by id.
     """
-    scored = scores(index, query_terms(queries), lang_of)
+    scored = scores(index, query_terms(queries, index.cut), lang_of)
     if fill_zero_scores:
         # only queries with fewer than k hits need filling: of any 2 k chunks, k are no hits of theirs
         order = Window.partitionBy("lang").orderBy("chunk_id")

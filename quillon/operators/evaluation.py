@@ -52,6 +52,13 @@ def ablation(arms: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.select(F.lit(name).alias("arm"), "*") for name, r in arms.items()])
 
 
+def deltas(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: by how much recall and reciprocal rank over all queries differ between two reports."""
+    of = lambda r, x: r.where("lang is null").select(F.col("recall_at_5").alias(f"r{x}"), F.col("mrr").alias(f"m{x}"))
+    both = of(a, 1).crossJoin(F.broadcast(of(b, 2)))
+    return both.select(F.round(F.col("r2") - F.col("r1"), 9).alias("recall_at_5_delta"), F.round(F.col("m2") - F.col("m1"), 9).alias("mrr_delta"))
+
+
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: queries of either hit list, and those whose first page differs (a missing one counts)."""
     one = lambda h, c: h.where("pos = 1").select("query_id", F.col("page_id").alias(c))

@@ -265,6 +265,14 @@ def get_segmenter(lang: str, allow_fallback: bool = True) -> tuple[str, Callable
     return _load(analyser, lambda: ("char-bigram", lambda t: segments(t, F.lit("ja"))), "Japanese segmenter", allow_fallback)
 
 
+def get_cut(allow_fallback: bool = True) -> dict:
+    """The cut of an index and the segmenter's name: Japanese by ``get_segmenter``, other languages by words."""
+    name, japanese = get_segmenter("ja", allow_fallback)
+    if name == "char-bigram":
+        return {"cut": segments, "segmenter": name}
+    return {"cut": lambda text, lang: F.when(lang == "ja", japanese(text)).otherwise(segments(text, lang)), "segmenter": name}
+
+
 VERIFIERS = ("lexical", "embedding", "nli", "llm-judge")
 
 

@@ -341,9 +341,8 @@ def stored_backend_parity(spark, d):
     tables.save_index(index, path, {"source": d})
     asked, gold = _asked(spark, d), tables.kept(_gold(spark, d, index))
     ranked = [tables.kept(_ranked_docs(bm25.search(x, asked, TOP_K))) for x in (index, tables.load_index(spark, path))]
-    a, b = (evaluation.report(evaluation.item_metrics(gold, r)).where("lang is null") for r in ranked)
-    delta = a.crossJoin(F.broadcast(b.select(F.col("recall_at_5").alias("r"), F.col("mrr").alias("m"))))
-    return evaluation.parity(*ranked).crossJoin(F.broadcast(delta.select(F.round(F.col("r") - F.col("recall_at_5"), 9).alias("recall_at_5_delta"), F.round(F.col("m") - F.col("mrr"), 9).alias("mrr_delta"))))
+    a, b = (evaluation.report(evaluation.item_metrics(gold, r)) for r in ranked)
+    return evaluation.parity(*ranked).crossJoin(F.broadcast(evaluation.deltas(a, b)))
 
 
 @query

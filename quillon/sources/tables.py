@@ -106,16 +106,19 @@ def save_index(index: bm25.Bm25Index, path: str, state: dict) -> None:
     out.close()
 
 
-def load_index(spark: SparkSession, path: str) -> bm25.Bm25Index:
-    return bm25.Bm25Index(*(spark.read.parquet(f"{path}/{p}") for p in PARTS))
+def load_index(spark: SparkSession, path: str, **cutting) -> bm25.Bm25Index:
+    """A saved index; ``cutting``: the cut and segmenter it was made with, if not the usual ones."""
+    return bm25.Bm25Index(*(spark.read.parquet(f"{path}/{p}") for p in PARTS), **cutting)
 
 
-def build_or_load(spark: SparkSession, chunks_path: str, index_path: str) -> bm25.Bm25Index:
-    """The stored index if its source has the same place and size, else a new one."""
+def build_or_load(spark: SparkSession, chunks_path: str, index_path: str, **cutting) -> bm25.Bm25Index:
+    """The stored index if its source has the same place and size and the segmenter is the same, else a new one."""
     state = source_state(spark, chunks_path)
+    if "segmenter" in cutting:
+        state["segmenter"] = cutting["segmenter"]
     if not is_current(spark, index_path, state):
-        save_index(bm25.build_index(read_chunks(spark, chunks_path)), index_path, state)
-    return load_index(spark, index_path)
+        save_index(bm25.build_index(read_chunks(spark, chunks_path), **cutting), index_path, state)
+    return load_index(spark, index_path, **cutting)
 
 
 def upsert_vectors(chunks: DataFrame, embedder, path: str) -> DataFrame:

@@ -58,6 +58,32 @@ def test_ask(spark, corpus):
     assert engine.health()["index_size"] == 4
 
 
+def test_reranker_and_segmenter_of_a_configuration(spark, corpus):
+    root, _, chunks = corpus
+    q = spark.createDataFrame([("1", "network traffic address"), ("2", "ポッドはノードに")], "query_id string, query string")
+    plain = Engine.build(spark, config(root, chunks)).retriever
+    reranked = Engine.build(spark, config(root, chunks, rerank=True, reranker_model=None)).retriever
+    assert isinstance(reranked, RerankingRetriever) and reranked.name == "bm25:char-bigram+fake" and reranked.search(q, 2).count() > 0
+    with pytest.warns(RuntimeWarning):
+        fallen = Engine.build(spark, config(root, chunks, segmenter="auto")).retriever
+    assert sorted(map(tuple, fallen.search(q, 5).collect())) == sorted(map(tuple, plain.search(q, 5).collect()))
+    with pytest.raises(RuntimeError):
+        Engine.build(spark, config(root, chunks, rerank=True))
+    with pytest.raises(ValueError):
+        Engine.build(spark, config(root, chunks, segmenter="x"))
+    got = EngineConfig.from_env({"QUILLON_RERANK": "1", "QUILLON_RERANKER": "fake", "QUILLON_SEGMENTER": "auto"})
+    assert got.rerank and got.reranker_model is None and got.segmenter == "auto"
+
+
+def test_an_index_cut_by_another_segmenter(spark, corpus):
+    root, _, chunks = corpus
+    cutting = {"cut": lambda text, lang: F.when(lang == "ja", F.split(text, "は")).otherwise(F.split(F.lower(text), " ")), "segmenter": "other"}
+    first = tables.build_or_load(spark, chunks, f"{root}/cut")
+    other = tables.build_or_load(spark, chunks, f"{root}/cut", **cutting)
+    assert first.name == "bm25:char-bigram" and other.name == "bm25:other"
+    assert other.postings.where("term = 'ポッド'").count() > 0 and bm25.query_terms(spark.createDataFrame([("1", "ポッドは何")], "query_id string, query string"), other.cut).count() == 2
+
+
 def test_retrievers(spark, corpus):
     root, _, chunks = corpus
     q = spark.createDataFrame([("1", "network traffic address")], "query_id string, query string")
