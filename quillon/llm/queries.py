@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, embedding_dedup, language_id, licenses, lm_score, mixing, ngram_join, pii, quality, toxicity
+from . import (
+    decontaminate,
+    embedding_dedup,
+    filter_audit,
+    language_id,
+    licenses,
+    lm_score,
+    mixing,
+    ngram_join,
+    periodic_runs,
+    pii,
+    quality,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -21,10 +35,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality": quality.op10_quality,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_licenses": licenses.OP3_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
