@@ -1,15 +1,18 @@
 """Markdown pages to blocks of text under heading paths, as Column expressions.
 
-A page's lines are folded with ``aggregate``: the state is the open fence, the heading
-stack, the lines of the block in hand and the blocks so far.
+Each line becomes one number: a fence mark, a heading's level, or neither.  Only these
+numbers go to Python, where one pass finds the lines of each block and the headings above
+it; texts are cut, cleaned and joined in the JVM.  A page's cost is linear in its lines.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import replace_each, strip
+from .frontmatter import header_map
+from .text import let, replace_each, strip
 
 # fixed values: the patterns of the page format
 FRONT_MATTER = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n"
@@ -23,19 +26,20 @@ FENCE = r"\A\s*(```|~~~)"
 ANCHOR = r"\s*\{#[^}]*\}\s*\z"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
-_PATH, _BLOCKS = "array<struct<level:int,text:string>>", "array<struct<section_path:array<string>,text:string>>"
-
 
 def front_matter_body(raw: Column) -> Column:
     """The page after its front matter."""
     return F.regexp_replace(raw, FRONT_MATTER, "")
 
 
+def front_matter(raw: Column) -> Column:
+    """map<string,string> of the front matter; empty if there is none or it is malformed."""
+    return header_map(F.regexp_extract(raw, FRONT_MATTER, 1))
+
+
 def front_matter_title(raw: Column) -> Column:
-    """The flat ``title`` of the front matter, without quotes; null if there is none."""
-    line = F.regexp_extract(F.regexp_extract(raw, FRONT_MATTER, 1), r"(?m)^title:[ \t]*(.*?)[ \t\r]*$", 1)
-    bare = F.regexp_replace(line, r"""^(["'])(.*)\1$""", "$2")
-    return F.when(bare != "", bare)
+    """The ``title`` of the front matter; null if there is none."""
+    return F.nullif(F.try_element_at(front_matter(raw), F.lit("title")), F.lit(""))
 
 
 def _attribute(raw: Column, name: str) -> Column:
@@ -69,40 +73,80 @@ def clean_inline(text: Column) -> Column:
     return F.regexp_replace(text, TAG, "")
 
 
-def _flushed(state: Column) -> Column:
-    """The blocks, with the lines in hand as one more if they hold any text."""
-    text = strip(F.regexp_replace(clean_inline(F.array_join(state["lines"], "\n")), r"\n{3,}", "\n\n"))
-    block = F.struct(F.transform(state["stack"], lambda h: h["text"]).alias("section_path"), text.alias("text"))
-    return F.when((F.size(state["lines"]) > 0) & (text != ""), F.concat(state["blocks"], F.array(block))).otherwise(state["blocks"])
+#: what a line is: a fence mark, or a heading of a level whose title is some text or none
+_FENCES, _TITLED, _UNTITLED = {1, 2}, 10, 20
+
+
+def outline(kinds) -> list[dict]:
+    """Line ranges of the blocks between headings, each with the lines of the headings above it."""
+    out, above, first, fence = [], [], 0, 0
+    for i, kind in enumerate(kinds):
+        if kind in _FENCES:
+            fence = kind if not fence else 0 if fence == kind else fence
+        elif kind and not fence:
+            if i > first:
+                out.append({"first": first, "n": i - first, "path": [h for _, h in above]})
+            level = kind % 10
+            while above and above[-1][0] >= level:
+                above.pop()
+            if kind < _UNTITLED:
+                above.append((level, i))
+            first = i + 1
+    if len(kinds) > first:
+        out.append({"first": first, "n": len(kinds) - first, "path": [h for _, h in above]})
+    return out
+
+
+def _outline(kinds: Column) -> Column:
+    @F.pandas_udf("array<struct<first:int,n:int,path:array<int>>>")
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda k: outline(k.tolist()) if k is not None else None)
+
+    # else the optimiser would put it into the lambdas that read its result, where Python cannot run
+    return read.asNondeterministic()(kinds)
+
+
+def _kind(line: Column, title: Column) -> Column:
+    mark, level = F.regexp_extract(line, FENCE, 1), F.length(F.regexp_extract(line, HEADING, 1))
+    heading = F.when(level > 0, level + F.when(title == "", _UNTITLED).otherwise(_TITLED)).otherwise(0)
+    return F.when(mark == "```", 1).when(mark == "~~~", 2).otherwise(heading).cast("int")
+
+
+def _title(line: Column) -> Column:
+    title = F.regexp_extract(line, HEADING, 2)
+    return F.when(line.rlike(HEADING), strip(F.regexp_replace(clean_inline(title), ANCHOR, ""))).otherwise("")
+
+
+def _block_text(lines: Column) -> Column:
+    return let(F.array_join(lines, "\n"), lambda t: strip(F.regexp_replace(clean_inline(t), r"\n{3,}", "\n\n")))
 
 
 def blocks(body: Column) -> Column:
-    """array<struct<section_path, text>> of a page's body; empty blocks are left out."""
-    start = F.struct(
-        F.lit("").alias("fence"), F.array().cast(_PATH).alias("stack"), F.array().cast("array<string>").alias("lines"), F.array().cast(_BLOCKS).alias("blocks")
-    )
+    """array<struct<section_path, text>> of a page's body; empty blocks are left out; null of null."""
+    lines = F.split(F.regexp_replace(body, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK)
+    titles = F.transform(lines, _title)
+    kinds = F.zip_with(lines, titles, _kind)
+    page = F.struct(lines.alias("lines"), titles.alias("titles"), _outline(kinds).alias("ranges"))
+
+    def of(p):
+        def block(r):
+            path = F.transform(r["path"], lambda h: F.get(p["titles"], h))
+            return F.struct(path.alias("section_path"), _block_text(F.slice(p["lines"], r["first"] + 1, r["n"])).alias("text"))
 
-    def read(state, line):
-        mark = F.regexp_extract(line, FENCE, 1)
-        level = F.length(F.regexp_extract(line, HEADING, 1))
-        heading = (state["fence"] == "") & (mark == "") & (level > 0)
-        fence = F.when(mark == "", state["fence"]).when(state["fence"] == "", mark).when(state["fence"] == mark, "").otherwise(state["fence"])
-        title = strip(F.regexp_replace(clean_inline(F.regexp_extract(line, HEADING, 2)), ANCHOR, ""))
-        above = F.filter(state["stack"], lambda h: h["level"] < level)
-        entry = F.array(F.struct(level.cast("int").alias("level"), title.alias("text")))
-        stack = F.when(~heading, state["stack"]).when(title != "", F.concat(above, entry)).otherwise(above)
-        lines = F.when(heading, F.array().cast("array<string>")).otherwise(F.concat(state["lines"], F.array(line)))
-        done = F.when(heading, _flushed(state)).otherwise(state["blocks"])
-        return F.struct(fence.alias("fence"), stack.alias("stack"), lines.alias("lines"), done.alias("blocks"))
+        return F.filter(F.transform(p["ranges"], block), lambda b: b["text"] != "")
 
-    body = F.regexp_replace(body, rf"(?:{LINE_BREAK})\z", "")
-    return F.aggregate(F.split(body, LINE_BREAK), start, read, _flushed)
+    return let(page, of)
 
 
 def page_title(raw: Column, fallback: Column) -> Column:
     return strip(F.coalesce(front_matter_title(raw), fallback, F.lit("")))
 
 
+def parsed_page(raw: Column, fallback: Column) -> Column:
+    """struct<title, front_matter, blocks> of a page."""
+    return F.struct(page_title(raw, fallback).alias("title"), front_matter(raw).alias("front_matter"), blocks(front_matter_body(raw)).alias("blocks"))
+
+
 # web pages: the same block form from h1-h6 and paragraph-like elements
 
 _DROPPED = r"(?is)<(script|style|nav|footer|header|aside|form)\b.*?</\1\s*>|<!--.*?-->"

@@ -1,8 +1,9 @@
 """Chunking of parsed pages: fixed windows and heading-aware windows.
 
-Sentences, sizes, the carry of small sections and the joining of pieces are Column
-expressions; only arrays of sizes go to Python, where windows are cut over prefix sums.
-A page stays in its row, so nothing is shuffled.
+Sections, sentences and the joining of pieces are Column expressions; a counter measures
+texts, by default from two numbers for each; with that one only arrays of numbers go to Python,
+where small sections are carried and windows are cut over prefix sums.  Every step is linear in
+the page.  A page stays in its row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown
-from ..functions.text import common_prefix, make_chunk_id, sentences, token_count
+from ..functions.text import common_prefix, let, make_chunk_id, sentences
+from .counters import HEURISTIC
 
 # fixed values: tokens of a chunk, of an overlap, and of the smallest chunk
 TARGET, OVERLAP, LEAST = 512, 64, 32
@@ -42,8 +44,12 @@ def windows(sizes, target: int, overlap: int) -> list[tuple[int, int]]:
 
 def _window_column(target: int, overlap: int):
     @F.pandas_udf("array<array<struct<i:int,j:int>>>")
-    def cut(sizes: pd.Series) -> pd.Series:
-        return sizes.map(lambda rows: [[{"i": i, "j": j} for i, j in windows(s, target, overlap)] for s in rows])
+    def cut(sizes: pd.Series, counts: pd.Series) -> pd.Series:
+        def page(flat, lists):
+            ends = [*accumulate(int(n) for n in lists)]
+            return [[{"i": i, "j": j} for i, j in windows(flat[a:b], target, overlap)] for a, b in zip([0, *ends], ends, strict=False)]
+
+        return pd.Series([page(s, n) for s, n in zip(sizes, counts, strict=True)], dtype=object)
 
     # else the optimiser would put it into the lambdas that read its result, where Python cannot run
     return cut.asNondeterministic()
@@ -52,32 +58,29 @@ def _window_column(target: int, overlap: int):
 def grouped_sections(blocks: Column) -> Column:
     """Consecutive blocks of one path as one section, texts joined by a blank line."""
 
-    def add(done, b):
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(b["section_path"].alias("section_path"), F.concat(last["text"], F.lit("\n\n"), b["text"]).alias("text"))
-        kept = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when((F.size(done) > 0) & (last["section_path"] == b["section_path"]), F.concat(kept, F.array(joined))).otherwise(F.concat(done, F.array(b)))
+    def of(b):
+        at = lambda i: F.get(b, i)["section_path"]
+        every = F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0)))
+        starts = F.filter(every, lambda i: (F.size(b) > 0) & ((i == 0) | ~at(i).eqNullSafe(at(i - 1))))
+
+        def section(s):
+            def one(i, k):
+                mine = F.slice(b, i + 1, F.coalesce(F.get(s, k + 1), F.size(b)) - i)
+                return F.struct(at(i).alias("section_path"), F.array_join(F.transform(mine, lambda x: x["text"]), "\n\n").alias("text"))
 
-    return F.aggregate(blocks, F.array().cast(_SECTIONS), add)
+            return F.transform(s, one)
 
+        return let(starts, section)
 
-def carried_sections(sections: Column, least: int = LEAST) -> Column:
-    """struct<out, carry>: sections under ``least`` tokens go in front of the next one, under the path both share."""
-    none = F.array().cast(_SECTIONS)
+    return let(blocks, of)
 
-    def add(state, s):
-        c = F.try_element_at(state["carry"], F.lit(1))
-        some = F.size(state["carry"]) > 0
-        text = F.when(some, F.concat(c["text"], F.lit("\n\n"), s["text"])).otherwise(s["text"])
-        path = F.when(some, common_prefix(c["section_path"], s["section_path"])).otherwise(s["section_path"])
-        now = F.array(F.struct(path.alias("section_path"), text.alias("text")))
-        small = token_count(text) < least
-        return F.struct(
-            F.when(small, state["out"]).otherwise(F.concat(state["out"], now)).alias("out"),
-            F.when(small, now).otherwise(none).alias("carry"),
-        )
 
-    return F.aggregate(sections, F.struct(none.alias("out"), none.alias("carry")), add)
+def _joined(sections: Column, group: Column) -> Column:
+    """Sections ``group.first`` to ``group.last`` as one, under the path that all of them share."""
+    mine = F.slice(sections, group["first"] + 1, group["last"] - group["first"] + 1)
+    paths = F.transform(mine, lambda s: s["section_path"])
+    shared = F.aggregate(paths, F.get(paths, F.lit(0)), common_prefix)
+    return F.struct(shared.alias("section_path"), F.array_join(F.transform(mine, lambda s: s["text"]), "\n\n").alias("text"))
 
 
 def _pieces(units: str, cut: str, paths: Column) -> Column:
@@ -95,8 +98,16 @@ def _pieces(units: str, cut: str, paths: Column) -> Column:
     return F.when(F.size(units) > 0, pieces).otherwise(F.array().cast(_SECTIONS))
 
 
-def _sized(units: str) -> Column:
-    return F.transform(units, lambda u: F.transform(u, token_count))
+def _cut(pages: DataFrame, counter, target: int, overlap: int) -> DataFrame:
+    """``pages`` with the windows of each list in ``units``."""
+    sized = pages.withColumn("sizes", counter.sizes(F.flatten("units"))).withColumn("counts", F.transform("units", F.size))
+    return sized.withColumn("cut", _window_column(target, overlap)("sizes", "counts"))
+
+
+def _sized(pieces: str, counter) -> Column:
+    """The pieces with their sizes: array<struct<section_path, text, n>>."""
+    sizes = counter.sizes(F.transform(pieces, lambda p: p["text"]))
+    return F.zip_with(pieces, sizes, lambda p, n: F.struct(p["section_path"].alias("section_path"), p["text"].alias("text"), n.alias("n")))
 
 
 def _chunks(pages: DataFrame, strategy: str) -> DataFrame:
@@ -105,40 +116,40 @@ def _chunks(pages: DataFrame, strategy: str) -> DataFrame:
     doc_id = F.concat_ws(":", "lang", "parallel_id")
     return out.select(
         make_chunk_id(doc_id, F.lit(strategy), F.col("ordinal")).alias("chunk_id"), doc_id.alias("doc_id"), "parallel_id", "lang", "title",
-        F.col("piece.section_path").alias("section_path"), F.col("piece.text").alias("text"), token_count(F.col("piece.text")).alias("token_count"),
+        F.col("piece.section_path").alias("section_path"), F.col("piece.text").alias("text"), F.col("piece.n").alias("token_count"),
         F.length("piece.text").alias("char_count"), F.col("ordinal"), "url", F.lit(strategy).alias("strategy"), "commit_sha",
         F.create_map().cast("map<string,string>").alias("meta"),
     )
 
 
-def chunk_fixed(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+def chunk_fixed(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST, counter=HEURISTIC) -> DataFrame:
     """Windows over all sentences of a page (documents with a ``blocks`` column), under the path of the first sentence."""
     flat = F.flatten(F.transform("blocks", lambda b: F.transform(sentences(b["text"]), lambda s: F.struct(b["section_path"].alias("section_path"), s.alias("text")))))
     got = pages.withColumn("flat", flat).withColumn("units", F.array(F.transform("flat", lambda s: s["text"])))
-    got = got.withColumn("cut", _window_column(target, overlap)(_sized("units")))
-    pieces = _pieces("units", "cut", lambda i, w: F.element_at("flat", w["i"] + 1)["section_path"])
-    return _chunks(got.withColumn("pieces", F.filter(pieces, lambda p: token_count(p["text"]) >= least)), "fixed")
-
-
-def chunk_structural(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """Windows inside sections; small sections join the next, a small last one the last chunk."""
-    got = pages.withColumn("state", carried_sections(grouped_sections(F.col("blocks")), least))
-    got = got.withColumn("sections", F.col("state.out")).withColumn("scrap", F.try_element_at("state.carry", F.lit(1)))
-    got = got.withColumn("units", F.transform("sections", lambda s: sentences(s["text"])))
-    got = got.withColumn("cut", _window_column(target, overlap)(_sized("units")))
-    pieces = _pieces("units", "cut", lambda i, w: F.element_at("sections", i)["section_path"])
-    got = got.withColumn("pieces", F.filter(pieces, lambda p: token_count(p["text"]) >= least))
-    last = F.try_element_at("pieces", F.lit(-1))
-    merged = F.struct(
-        common_prefix(last["section_path"], F.col("scrap.section_path")).alias("section_path"),
-        F.concat(last["text"], F.lit("\n\n"), F.col("scrap.text")).alias("text"),
-    )
-    ended = (
-        F.when(F.col("scrap").isNull(), F.col("pieces"))
-        .when(F.size("pieces") > 0, F.concat(F.slice("pieces", F.lit(1), F.size("pieces") - 1), F.array(merged)))
-        .otherwise(F.array("scrap"))
-    )
-    return _chunks(got.withColumn("pieces", ended), "structural")
+    got = _cut(got, counter, target, overlap)
+    got = got.withColumn("pieces", _pieces("units", "cut", lambda i, w: F.element_at("flat", w["i"] + 1)["section_path"])).withColumn("pieces", _sized("pieces", counter))
+    return _chunks(got.withColumn("pieces", F.filter("pieces", lambda p: p["n"] >= least)), "fixed")
+
+
+def chunk_structural(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST, counter=HEURISTIC) -> DataFrame:
+    """Windows inside sections; small sections join the next, a small last one the last chunk.
+
+    ``counter`` measures texts (see ``counters``): sections, sentences and pieces once each.
+    """
+    got = pages.withColumn("parts", grouped_sections(F.col("blocks")))
+    got = got.withColumn("groups", counter.groups(F.transform("parts", lambda s: s["text"]), least))
+    got = got.withColumn("sections", F.transform(F.filter("groups", lambda g: ~g["small"]), lambda g: _joined(F.col("parts"), g)))
+    got = got.withColumn("scrap", F.transform(F.filter("groups", lambda g: g["small"]), lambda g: _joined(F.col("parts"), g)))
+    got = _cut(got.withColumn("units", F.transform("sections", lambda s: sentences(s["text"]))), counter, target, overlap)
+    got = got.withColumn("pieces", _pieces("units", "cut", lambda i, w: F.element_at("sections", i)["section_path"])).withColumn("pieces", _sized("pieces", counter))
+    got = got.withColumn("pieces", F.filter("pieces", lambda p: p["n"] >= least))
+    # a small last section, which at most one is, ends the last piece or is the only one
+    last, scrap = F.try_element_at("pieces", F.lit(-1)), F.element_at("scrap", 1)
+    merged = F.struct(common_prefix(last["section_path"], scrap["section_path"]).alias("section_path"), F.concat(last["text"], F.lit("\n\n"), scrap["text"]).alias("text"))
+    ending = F.when(F.size("scrap") == 0, F.array().cast(_SECTIONS)).when(F.size("pieces") > 0, F.array(merged)).otherwise(F.col("scrap"))
+    got = got.withColumn("ending", ending).withColumn("ending", _sized("ending", counter))
+    kept = F.when(F.size("ending") > 0, F.slice("pieces", F.lit(1), F.greatest(F.size("pieces") - 1, F.lit(0)))).otherwise(F.col("pieces"))
+    return _chunks(got.withColumn("pieces", F.concat(kept, "ending")), "structural")
 
 
 STRATEGIES = {"structural": chunk_structural, "fixed": chunk_fixed}

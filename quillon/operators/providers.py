@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import segments, token_count
+from ..functions.text import segments
 from . import prompts, verification
+from .counters import HeuristicCounter, ModelCounter
 
 # fixed values: model names and text prefixes
 EMBEDDER, QUERY_PREFIX, PASSAGE_PREFIX = "intfloat/multilingual-e5-large", "query: ", "passage: "
@@ -50,7 +51,9 @@ class LLMProvider(Protocol):
 class TokenCounter(Protocol):
     name: str
 
-    def count(self, text: Column) -> Column: ...
+    def sizes(self, texts: Column) -> Column: ...
+
+    def groups(self, texts: Column, least: int) -> Column: ...
 
 
 class Retriever(Protocol):
@@ -188,34 +191,6 @@ class ChatProvider:
         return ask(prompt)
 
 
-class HeuristicCounter:
-    name = "heuristic"
-
-    def count(self, text: Column) -> Column:
-        return token_count(text)
-
-
-class ModelCounter:
-    def __init__(self, model: str = EMBEDDER):
-        import transformers
-
-        transformers.AutoTokenizer.from_pretrained(model)
-        self.model, self.name = model, f"model:{model}"
-
-    def count(self, text: Column) -> Column:
-        model = self.model
-
-        @F.pandas_udf("int")
-        def tokens(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821, UP037
-            import transformers
-
-            loaded = transformers.AutoTokenizer.from_pretrained(model)
-            for texts in batches:
-                yield texts.map(lambda t: len(loaded.encode(t, add_special_tokens=False)))
-
-        return tokens(text)
-
-
 def _load(make: Callable, fallback: Callable, what: str, allow_fallback: bool):
     try:
         return make()

@@ -1,14 +1,16 @@
 """Text primitives against plain Python."""
 
 import hashlib
+import json
 import math
+import random
 import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import markdown, text
+from quillon.functions import frontmatter, markdown, text
 
 TEXTS = [
     "", " ", "Wow!! Next one. lower case. Next", "これはペンです。次の文！終わり", "Mixed 日本語 text with ペン and words. 123 Go", "a" * 41, "!!!", "É accent. Über alles. Next",
@@ -136,3 +138,54 @@ def test_html_blocks(spark):
 
 def test_log2_is_what_metrics_use(spark):
     assert spark.range(1).select(F.log2(F.lit(3.0))).first()[0] == pytest.approx(math.log2(3))
+
+
+HEADERS = {
+    "title: Pods\nweight: 20": {"title": "Pods", "weight": "20"},
+    "title: [unclosed": {},
+    "title: \"a \\\"b\\\" \\u00e9\"\nx: 'it''s'": {"title": 'a "b" é', "x": "it's"},
+    "tags: [a, 'b c', \"d\"]\nm: {a: 1, b: two}": {"tags": '["a", "b c", "d"]', "m.a": "1", "m.b": "two"},
+    "s: >-\n  one\n  two\n\n  three\nl: |\n  a\n   b\n  c\n": {"s": "one two\nthree", "l": "a\n b\nc\n"},
+    "o:\n  name: x\n  n: 3\nal:\n- /a\n- name: q\n  v: 1": {"o.name": "x", "o.n": "3", "al": '["/a", {"name": "q", "v": "1"}]'},
+    "a: # comment\nb: x # c\nu: http://x/y#z": {"a": None, "b": "x", "u": "http://x/y#z"},
+    "title: multi\n  line here\nq: \"x\n  y\"": {"title": "multi line here", "q": "x y"},
+    "x: ~\ny: null\nz: ''": {"x": None, "y": None, "z": ""},
+    "a: >\n\n  x\n\n\n  y\n   z\nb: 2": {"a": "\nx\n\ny\n z\n", "b": "2"},
+    "- a\n- b": {}, "just text": {}, "a: b: c": {}, "a:\n\tb: 1": {}, "# only a comment": {}, "a: @x": {}, "a: 'open": {}, "a: *ref": {}, 'a: "b" c': {}, "a: x\n b: y": {}, "d: - x": {},
+    "title: C++: the # thing": {}, "title: Using x -- y, [z]": {"title": "Using x -- y, [z]"},
+}
+
+
+@pytest.mark.parametrize("header", HEADERS)
+def test_front_matter_values(header):
+    assert frontmatter.parse(header) == HEADERS[header]
+
+
+def test_front_matter_against_a_library():
+    """Random headers of the supported forms; what the library refuses is empty here."""
+    yaml = pytest.importorskip("yaml")
+    rng = random.Random(12)
+    atoms = ["x", "two words", "'q''s'", '"d \\t e"', "~", "12", "a:b", "http://h/p#f", "", "# note", "[a, b]", "{k: v}", "[", "a: b", "- z", "|\n    l1\n\n    l2", ">-\n    f1\n    f2", "x # c", "!t y", "\n    nested: 1\n    other: '2'", "\n  - i\n  - j"]
+    for _ in range(1500):
+        text = "\n".join(f"{rng.choice(['title', 'k1', 'two words', '  deep', '- i'])}: {rng.choice(atoms)}" for _ in range(rng.randint(1, 4)))
+        try:
+            want = yaml.load(text, Loader=yaml.BaseLoader)
+        except yaml.YAMLError:
+            want = {}
+        if "!t" in text or text.startswith("  ") and "\n" in text:
+            continue
+        want = want if isinstance(want, dict) else {}
+        flat = {}
+        for k, v in want.items():
+            flat |= {f"{k}.{a}": b for a, b in v.items()} if isinstance(v, dict) else {k: v}
+        flat = {k: json.dumps(v, ensure_ascii=False) if isinstance(v, (list, dict)) else v for k, v in flat.items()}
+        got = frontmatter.parse(text)
+        plain = lambda m: {k: "" if v in ("~", None) else v.replace("null", '""').replace('"~"', '""') for k, v in m.items()}
+        assert plain(got) == plain(flat), text
+
+
+def test_parsed_page(spark):
+    df = spark.createDataFrame([(PAGE,), ("---\ntitle: [unclosed\n---\nBody\n",), ("Just text.\n",), ("---\r\ntitle: 'T'\r\nweight: 3\r\n---\r\nx",), (None,), ("",)], "raw string")
+    got = [r[0] for r in df.select(markdown.parsed_page(F.col("raw"), F.lit("fallback"))).collect()]
+    assert [(r.title, len(r.blocks or []), r.front_matter.get("weight")) for r in got] == [("My Page", 6, got[0].front_matter.get("weight")), ("fallback", 1, None), ("fallback", 1, None), ("T", 1, "3"), ("fallback", 0, None), ("fallback", 0, None)]
+    assert got[1].front_matter == {} and got[1].blocks[0].text == "Body"
