@@ -9,15 +9,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine, EngineConfig
-from .operators import chunking, evaluation, providers
-from .sources import tables
+from .operators import chunking, counters, evaluation, providers
+from .sources import reports, tables
 
 
 def build_corpus(spark, a):
     docs = tables.read_markdown(spark, a.root, commit_sha=a.sha, include_reference=a.include_reference)
-    chunks = chunking.chunk_documents(docs, a.strategy, target=a.target, overlap=a.overlap, least=a.least)
+    counter = counters.FileCounter(a.tokenizer) if a.tokenizer else counters.HEURISTIC
+    chunks = chunking.chunk_documents(docs, a.strategy, target=a.target, overlap=a.overlap, least=a.least, counter=counter)
     tables.write_lines(chunks, a.out)
-    settings = {"corpus_sha": a.sha, "strategy": a.strategy, "target_tokens": a.target, "overlap_tokens": a.overlap, "min_tokens": a.least, "tokenizer": "heuristic", "output": a.out}
+    settings = {"corpus_sha": a.sha, "strategy": a.strategy, "target_tokens": a.target, "overlap_tokens": a.overlap, "min_tokens": a.least, "tokenizer": counter.name, "output": a.out}
     made = chunking.manifest(docs, tables.read_chunks(spark, a.out), **settings)
     made.coalesce(1).write.mode("overwrite").json(a.out.rstrip("/") + ".manifest")
     made.show(truncate=False)
@@ -51,8 +52,8 @@ def run_eval(spark, a):
     got = _engine(spark, a).evaluate(tables.read_gold(spark, a.gold), a.top_k, a.lang_filter)
     got.show(truncate=False)
     if a.out:
-        now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        got.withColumn("generated_at", now).coalesce(1).write.mode("overwrite").json(a.out)
+        reports.append(got, a.out, a.name)
+        reports.deltas(reports.history(spark, a.out).where(F.col("name") == a.name)).show(truncate=False)
 
 
 def ablate(spark, a):
@@ -122,11 +123,11 @@ def main(argv: list[str] | None = None) -> int:
             kind = {"action": "store_true"} if default is False else {"nargs": "+", "default": default} if isinstance(default, list) else {"type": type(default) if default is not None else str, "default": default}
             c.add_argument(f"--{name.replace('_', '-')}", **kind)
 
-    command(build_corpus, "root", "out", sha="", strategy="structural", target=chunking.TARGET, overlap=chunking.OVERLAP, least=chunking.LEAST, include_reference=False)
+    command(build_corpus, "root", "out", sha="", strategy="structural", target=chunking.TARGET, overlap=chunking.OVERLAP, least=chunking.LEAST, include_reference=False, tokenizer=None)
     command(build_index, "chunks", "out", embedder=None, allow_fallback=False)
     command(build_sparse_index, "chunks", "out")
     command(ask, "chunks", question=[], top_k=5, retriever=None, verifier=None)
-    command(run_eval, "chunks", "gold", top_k=10, retriever=None, lang_filter=None, out=None)
+    command(run_eval, "chunks", "gold", top_k=10, retriever=None, lang_filter=None, out=None, name="eval")
     command(ablate, "chunks", "gold", top_k=10, arms=["sparse"])
     command(compare_sparse, "chunks", "gold", top_k=10)
     command(compare_verifiers, "chunks", "items", methods=["lexical"])

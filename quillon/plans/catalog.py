@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine, EngineConfig, SparseRetriever
 from ..functions import markdown, text
-from ..operators import bm25, chunking, correction, dense, evaluation, prompts, verification
-from ..sources import tables, traces
+from ..operators import blockmax, bm25, chunking, correction, counters, dense, evaluation, prompts, providers, verification
+from ..sources import reports, tables, traces
+from ..streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +25,9 @@ def query(f: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    """Columns of a table; long ones are spread over all cores where the file has few row groups."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return tables.spread(df) if {"text", "html", "embedding"} & set(columns) else df
 
 
 # ---- text primitives -------------------------------------------------------------------
@@ -148,6 +152,12 @@ def structural_chunks(spark, d):
     return _told(chunking.chunk_structural(_pages(spark, d), 128, 32, 16))
 
 
+@query
+def structural_chunks_by_words(spark, d):
+    """The same windows under a counter that reads the texts: one token a word."""
+    return _told(chunking.chunk_structural(_pages(spark, d), 90, 20, 12, counters.WORDS))
+
+
 @query
 def chunk_manifest(spark, d):
     pages = _pages(spark, d)
@@ -197,6 +207,18 @@ def bm25_topk(spark, d):
     return _hits(bm25.search(_index(spark, d), _asked(spark, d), TOP_K))
 
 
+@query
+def bm25_block_topk(spark, d):
+    """The same from postings in blocks, of which only those are read that can hold one of the best."""
+    return _hits(_block_search(spark, d).hits)
+
+
+def _block_search(spark, d) -> blockmax.BlockSearch:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    index = blockmax.block_index(tables.kept(blockmax.blocked(docs, id_col="doc_id")), tables.kept)
+    return blockmax.block_search(index, _asked(spark, d), tables.kept, TOP_K)
+
+
 @query
 def bm25_topk_lang_filtered(spark, d):
     asked = _asked(spark, d)
@@ -412,6 +434,20 @@ def front_matter(spark, d):
     return docs.select("doc_id", markdown.front_matter_title(raw).alias("title"), body)
 
 
+@query
+def front_matter_map(spark, d):
+    """Headers with quotes, lists, a folded text and nested keys; each fifth is malformed and gives no key."""
+    docs = table(spark, d, "documents", "doc_id", "lang", "source", "text")
+    raw = F.concat(
+        F.lit("---\n# a header\nweight: "), F.col("doc_id").cast("string"), F.lit("  # order\ntitle: 'it''s "), "source", F.lit(' "'), "lang", F.lit("\"'\ntags: ["), "lang", F.lit(', "a, b", '), "source",
+        F.lit("]\nsummary: >\n  about "), "source", F.lit("\n  and more\n\n  end\nowner:\n  name: "), "lang", F.lit(" team\naliases:\n- /"), F.col("doc_id").cast("string"), F.lit("\n- /"), "source",
+        F.when(F.col("doc_id") % 5 == 0, "\nbroken: [unclosed").otherwise(""), F.lit("\n---\n"), "text",
+    )
+    page = docs.select("doc_id", markdown.front_matter(raw).alias("m"), F.md5(markdown.front_matter_body(raw).cast("binary")).alias("body_md5"))
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    return page.select("doc_id", (F.size("m") > 0).alias("has_map"), *[at(k).alias(k) for k in ("weight", "title", "tags", "summary")], at("owner.name").alias("owner"), at("aliases").alias("aliases"), "body_md5")
+
+
 @query
 def markdown_blocks(spark, d):
     """Headings, fences and empty sections of a page made of a document's row."""
@@ -581,6 +617,44 @@ def grounded_prompts(spark, d):
     return p.select("query_id", F.length("prompt").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), prompts.echo(F.col("prompt")).alias("answer"))
 
 
+@query
+def asked_answers(spark, d):
+    """Questions to corrected answers in one go: retrieved, answered by the echo, cut into claims, verified, looked up again, corrected."""
+    docs = table(spark, d, "documents", "doc_id", "lang", "source", "text").select(
+        F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("parallel_id"), "lang", F.col("source").alias("title"), F.array("lang").alias("section_path"), "text"
+    )
+    config = EngineConfig(retriever="sparse", sparse_backend="fts5", llm_provider=None, embedder_model=None)
+    parts = providers.EchoProvider(), providers.get_verifier("lexical"), providers.get_decomposer("sentence", None)
+    asked = _asked(spark, d).withColumnRenamed("query", "question")
+    got = Engine(spark, config, docs, SparseRetriever(_index(spark, d), "fts5"), *parts).ask(asked, 3, write_trace=False)
+    kept = F.size(F.filter("claims", lambda c: c["action"] != "struck"))
+    return got.select("trace_id", "question", "answer_text", F.size("retrieved").alias("n_retrieved"), F.get("retrieved", F.lit(0))["chunk_id"].cast("string").alias("first_id"),
+                      F.size("claims").alias("n_claims"), kept.alias("n_kept"), "final_text", "refused", "refusal_reason")
+
+
+@query
+def refusal_windows(spark, d):
+    """Refusals in windows of ten minutes, from a log that a stream filled; half of the traces were sent twice."""
+    at = f"{tables.scratch_dir(spark)}/traces-{uuid.uuid4().hex}"
+    made = traces.from_turns(table(spark, d, "conversations", "conv_id", "turn", "role", "text"))
+    odd = F.length("trace_id") % 2 == 1
+    for part in (made.where(odd), made.where(~odd), made.where(odd)):
+        traces.append(part, f"{at}/in")
+        traces.sink(monitor.trace_stream(spark, f"{at}/in"), f"{at}/log").awaitTermination()
+    rates = monitor.refusal_rates(traces.read_log(spark, f"{at}/log"))
+    return rates.select(F.unix_timestamp("start").alias("start_s"), "n", "refused", F.round("refusal_rate", 6).alias("refusal_rate"))
+
+
+@query
+def report_deltas(spark, d):
+    """Two runs of an evaluation in an appended history, and what changed between them."""
+    index, path = _index(spark, d), f"{tables.scratch_dir(spark)}/reports-{uuid.uuid4().hex}"
+    cover = evaluation.item_metrics(_gold(spark, d, index), _ranked_docs(_coverage(index, _asked(spark, d), TOP_K)))
+    reports.append(evaluation.report(_bm25_items(spark, d, index)), path, "sparse", "2024-05-01T00:00:00Z")
+    reports.append(evaluation.report(cover), path, "sparse", "2024-05-02T00:00:00Z")
+    return _rounded(reports.deltas(reports.history(spark, path)).drop("name"))
+
+
 @query
 def trace_roundtrip(spark, d):
     return traces.parsed(traces.as_lines(traces.from_turns(table(spark, d, "conversations", "conv_id", "turn", "role", "text")))).select(

@@ -60,11 +60,15 @@ LINES = f"""ln AS (SELECT doc_id, lang, unnest(lines) AS line, generate_subscrip
   (SELECT doc_id, lang, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS lines FROM documents))"""
 
 
-def _cut(units: str, target: int, overlap: int) -> str:
+def _word_tokens(c: str) -> str:
+    return f"len(regexp_extract_all({c}, '[^{SPACE[1:]}+'))::INT"
+
+
+def _cut(units: str, target: int, overlap: int, tokens=_tokens) -> str:
     """CTEs of windows over units (doc_id, k, head, place, s), of each (doc_id, k) in the order of ``place``: win (doc_id, k, i, head, text)."""
     fits = f"greatest(w.i + 1, len(list_filter(upto, lambda x: x <= upto[w.i + 1] + {target})) - 1)"
     back = f"least(greatest(len(list_filter(upto, lambda x: x <= upto[w.j + 1] - {overlap})), w.i + 1), w.j + 1) - 1"
-    return f"""un AS (SELECT *, sum({_tokens('s')}) OVER (PARTITION BY doc_id, k ORDER BY place) AS upto FROM {units}),
+    return f"""un AS (SELECT *, sum({tokens('s')}) OVER (PARTITION BY doc_id, k ORDER BY place) AS upto FROM {units}),
 ul AS MATERIALIZED (SELECT doc_id, k, list(s ORDER BY place) AS s, list(head ORDER BY place) AS head, list_prepend(0, list(upto::BIGINT ORDER BY place)) AS upto, count(*) AS n FROM un GROUP BY ALL),
 wn AS (SELECT doc_id, k, 0::BIGINT AS i, {fits.replace('w.i', '0')}::BIGINT AS j FROM ul
   UNION ALL SELECT doc_id, k, i, {fits.replace('w.i', 'y.i')}::BIGINT FROM
@@ -78,7 +82,7 @@ def _fixed(target: int, overlap: int, least: int) -> str:
 pc AS (SELECT doc_id, 'page/' || head AS path, text, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal FROM win WHERE {_tokens('text')} >= {least})"""
 
 
-def _structural(target: int, overlap: int, least: int) -> str:
+def _structural(target: int, overlap: int, least: int, tokens=_tokens) -> str:
     units = f"(SELECT doc_id, k, path AS head, unnest(range(len(ss))) AS place, unnest(ss) AS s FROM (SELECT *, {_sentences('text')} AS ss FROM ca WHERE NOT small))"
     prefix = "CASE WHEN {a} = {b} THEN {a} ELSE 'page' END"
     text = "CASE WHEN c.small THEN c.text || chr(10) || chr(10) || s.text ELSE s.text END"
@@ -86,21 +90,21 @@ def _structural(target: int, overlap: int, least: int) -> str:
 sg AS (SELECT *, sum((head IS DISTINCT FROM before)::INT) OVER (PARTITION BY doc_id ORDER BY li) AS k FROM
   (SELECT *, substring(line, 1, 1) AS head, lag(substring(line, 1, 1)) OVER (PARTITION BY doc_id ORDER BY li) AS before FROM ln)),
 sc AS MATERIALIZED (SELECT doc_id, k::BIGINT AS k, 'page/' || any_value(head) AS path, string_agg(line, chr(10) || chr(10) ORDER BY li) AS text FROM sg GROUP BY doc_id, k),
-ca AS (SELECT doc_id, k, path, text, {_tokens('text')} < {least} AS small FROM sc WHERE k = 1
-  UNION ALL SELECT doc_id, k, path, text, {_tokens('text')} < {least} FROM
+ca AS (SELECT doc_id, k, path, text, {tokens('text')} < {least} AS small FROM sc WHERE k = 1
+  UNION ALL SELECT doc_id, k, path, text, {tokens('text')} < {least} FROM
     (SELECT s.doc_id, s.k, CASE WHEN c.small THEN {prefix.format(a='c.path', b='s.path')} ELSE s.path END AS path, {text} AS text FROM ca c JOIN sc s ON s.doc_id = c.doc_id AND s.k = c.k + 1)),
 sr AS (SELECT doc_id, path, text FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS last FROM ca) WHERE k = last AND small),
-{_cut(units, target, overlap)},
-wp AS (SELECT doc_id, head AS path, text, row_number() OVER w - 1 AS ordinal, count(*) OVER (PARTITION BY doc_id) AS n FROM win WHERE {_tokens('text')} >= {least} WINDOW w AS (PARTITION BY doc_id ORDER BY k, i)),
+{_cut(units, target, overlap, tokens)},
+wp AS (SELECT doc_id, head AS path, text, row_number() OVER w - 1 AS ordinal, count(*) OVER (PARTITION BY doc_id) AS n FROM win WHERE {tokens('text')} >= {least} WINDOW w AS (PARTITION BY doc_id ORDER BY k, i)),
 pc AS (SELECT wp.doc_id, CASE WHEN ordinal = n - 1 AND sr.doc_id IS NOT NULL THEN {prefix.format(a='wp.path', b='sr.path')} ELSE wp.path END AS path,
     CASE WHEN ordinal = n - 1 AND sr.doc_id IS NOT NULL THEN wp.text || chr(10) || chr(10) || sr.text ELSE wp.text END AS text, ordinal FROM wp LEFT JOIN sr ON sr.doc_id = wp.doc_id
   UNION ALL SELECT doc_id, path, text, 0 FROM sr WHERE doc_id NOT IN (SELECT doc_id FROM wp))"""
 
 
-def _told(pieces: str, strategy: str) -> str:
+def _told(pieces: str, strategy: str, tokens=_tokens) -> str:
     doc = "lang || ':' || doc_id"
     return f"""WITH RECURSIVE {pieces} SELECT substring(sha1({doc} || '|{strategy}|' || ordinal), 1, 16) AS chunk_id, {doc} AS doc_id, path, md5(pc.text) AS text_md5,
-  {_tokens('pc.text')} AS token_count, length(pc.text)::INT AS char_count, ordinal::INT AS ordinal FROM pc JOIN documents USING (doc_id)"""
+  {tokens('pc.text')} AS token_count, length(pc.text)::INT AS char_count, ordinal::INT AS ordinal FROM pc JOIN documents USING (doc_id)"""
 
 
 def _manifest(pieces: str) -> str:
@@ -166,26 +170,38 @@ def _lexical(name: str, claims: str, evidence: str) -> str:
   best AS best_evidence_index, 'lexical-overlap' AS method FROM {name}c c LEFT JOIN {name}b b ON b.answer_id = c.answer_id AND b.claim_index = c.claim_index)"""
 
 
-DECIDED = f"""{ANSWERS}, {_lexical('v', 'cl', 'ev')},
-{_index('r', "(SELECT item_id AS id, text, 'en' AS lang FROM benchmark)")},
-ask AS (SELECT answer_id || '#' || claim_index AS query_id, claim AS query FROM v WHERE label = 'unsupported'),
-{_search('rh', 'ask', 3, 'r')},
+def _decided(answers: str, index: str, x: str, held: str, asked: str = "text") -> str:
+    """CTEs dec and cor: claims of ``answers`` verified, looked up again in index ``x`` of the table ``held``, and corrected."""
+    return f"""{answers}, {_lexical('v', 'cl', 'ev')},
+{index}ask AS (SELECT answer_id || '#' || claim_index AS query_id, claim AS query FROM v WHERE label = 'unsupported'),
+{_search('rh', 'ask', 3, x)},
 rcl AS (SELECT query_id AS answer_id, 0 AS claim_index, query AS claim FROM ask),
-rev AS (SELECT query_id AS answer_id, rank - 1 AS evidence_index, text AS evidence FROM rh JOIN benchmark ON item_id = id),
+rev AS (SELECT query_id AS answer_id, rank - 1 AS evidence_index, text AS evidence FROM rh JOIN {held} ON held_id = id),
 {_lexical('rv', 'rcl', 'rev')},
 dec AS (SELECT v.*, CASE WHEN v.label = 'supported' THEN 'kept' WHEN rv.label = 'supported' THEN 'recovered' ELSE 'struck' END AS action,
   CASE WHEN v.label <> 'supported' AND rv.label = 'supported' THEN rv.label ELSE v.label END AS final_label,
   CASE WHEN v.label <> 'supported' AND rv.label = 'supported' THEN rv.score ELSE v.score END AS final_score,
   CASE WHEN v.label <> 'supported' AND rv.label = 'supported' THEN rv.best_evidence_index ELSE v.best_evidence_index END AS final_best_evidence_index
   FROM v LEFT JOIN rv ON rv.answer_id = v.answer_id || '#' || v.claim_index AND v.label = 'unsupported'),
-fin AS (SELECT a.answer_id, a.text, count(action) AS n, count(*) FILTER (action <> 'struck') AS k,
-  string_agg(claim, ' ' ORDER BY claim_index) FILTER (action <> 'struck') AS kept FROM a LEFT JOIN dec USING (answer_id) GROUP BY a.answer_id, a.text),
+fin AS (SELECT a.answer_id, a.text, a.{asked} AS asked, count(action) AS n, count(*) FILTER (action <> 'struck') AS k,
+  string_agg(claim, ' ' ORDER BY claim_index) FILTER (action <> 'struck') AS kept FROM a LEFT JOIN dec USING (answer_id) GROUP BY a.answer_id, a.text, a.{asked}),
 cor AS (SELECT answer_id, CASE WHEN n = 0 THEN text WHEN k = 0 OR k / n < 0.5 THEN
-    CASE WHEN {_script('text')} = 'cjk' THEN '{correction.REFUSAL_JA}' ELSE '{correction.REFUSAL_EN.replace("'", "''")}' END ELSE kept END AS final_text,
+    CASE WHEN {_script('asked')} = 'cjk' THEN '{correction.REFUSAL_JA}' ELSE '{correction.REFUSAL_EN.replace("'", "''")}' END ELSE kept END AS final_text,
   n > 0 AND (k = 0 OR k / n < 0.5) AS refused,
   CASE WHEN n > 0 AND (k = 0 OR k / n < 0.5) THEN 'only ' || k || '/' || n || ' claims verified against the retrieved sources (or a claim-targeted retry)' END AS refusal_reason,
   n AS n_claims, k AS n_kept FROM fin)"""
 
+
+DECIDED = _decided(ANSWERS, _index("r", "(SELECT item_id AS id, text, 'en' AS lang FROM benchmark)") + ",\n", "r", "(SELECT item_id AS held_id, text FROM benchmark)")
+PROMPTS = f"""b AS (SELECT h.query_id, string_agg('[' || rank || '] (' || source || ' › ' || d.lang || ')' || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank) AS sources
+  FROM h JOIN documents d ON d.doc_id = h.id GROUP BY h.query_id),
+pr AS (SELECT item_id AS query_id, text AS question, '{prompts.SYSTEM_PREAMBLE}' || chr(10) || chr(10) || CASE WHEN sources IS NULL THEN '{prompts.NO_SOURCES.replace("'", "''")}' ELSE 'Sources:' || chr(10) || sources END
+  || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM benchmark LEFT JOIN b ON query_id = item_id)"""
+ECHO = "'[ECHO — no model called. Prompt was ' || length(prompt) || ' chars.]'"
+ASK = f"""a AS (SELECT query_id::VARCHAR AS answer_id, question, {ECHO} AS text FROM pr),
+ev AS (SELECT h.query_id::VARCHAR AS answer_id, (rank - 1)::INT AS evidence_index, d.text AS evidence FROM h JOIN documents d ON d.doc_id = h.id),
+cl AS (SELECT answer_id, unnest(range(len(s)))::INT AS claim_index, unnest(s) AS claim FROM (SELECT answer_id, {_sentences('text')} AS s FROM a))"""
+
 NEAR = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, v.vec_id, list_cosine_similarity(q.e, v.embedding::DOUBLE[]) AS score FROM q, embeddings v WHERE {where}),
 h AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {tie}) AS rank, vec_id, round(score, 6) AS score FROM s)
@@ -221,6 +237,7 @@ SQL = {
     "idf_epsilon_floor": f"WITH {_index()} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_candidates": f"WITH {_index()}, {_search('h', ASKED, TOP_K)} SELECT query_id, count(DISTINCT id) AS n_candidates FROM hq JOIN p USING (term) GROUP BY query_id",
     "bm25_topk": f"WITH {_index()}, {_search('h', ASKED, TOP_K)} {HITS}",
+    "bm25_block_topk": f"WITH {_index()}, {_search('h', ASKED, TOP_K)} {HITS}",
     "bm25_topk_lang_filtered": f"WITH {_index()}, {_search('h', ASKED, TOP_K, where='lang = CASE WHEN query_id % 2 = 0 THEN ' + chr(39) + 'en' + chr(39) + ' ELSE ' + chr(39) + 'fr' + chr(39) + ' END')} {HITS}",
     "bm25_duplicate_query_terms": f"WITH {_index()}, {_search('h', '(SELECT item_id AS query_id, text || chr(32) || regexp_extract(text, ' + chr(39) + '^[^ \\t\\n\\r]+' + chr(39) + ') AS query FROM benchmark)', TOP_K)} {HITS}",
     "bm25_topk_filled": f"""WITH {_index()}, one AS (SELECT item_id AS query_id, regexp_extract(text, '([^ \\t\\n\\r]+)[ \\t\\n\\r]*$', 1) AS query FROM benchmark), {_search('g', 'one', TOP_K)}
@@ -271,11 +288,21 @@ SQL = {
     "corrected_answers": f"WITH {DECIDED} SELECT * FROM cor",
     "refusal_rates": f"""WITH {DECIDED} SELECT round(avg(refused::INT) FILTER (answer_id % 4 <> 0), 6) AS false_refusal_rate, round(avg((NOT refused)::INT) FILTER (answer_id % 4 = 0), 6) AS miss_rate,
         count(*) FILTER (answer_id % 4 <> 0) AS n_answerable, count(*) FILTER (answer_id % 4 = 0) AS n_unanswerable FROM cor""",
-    "grounded_prompts": f"""WITH {_index()}, {_search('h', ASKED, 3)}, b AS (SELECT h.query_id, string_agg('[' || rank || '] (' || source || ' › ' || d.lang || ')' || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank) AS sources
-        FROM h JOIN documents d ON d.doc_id = h.id GROUP BY h.query_id),
-        pr AS (SELECT item_id AS query_id, '{prompts.SYSTEM_PREAMBLE}' || chr(10) || chr(10) || CASE WHEN sources IS NULL THEN '{prompts.NO_SOURCES.replace("'", "''")}' ELSE 'Sources:' || chr(10) || sources END
-        || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM benchmark LEFT JOIN b ON query_id = item_id)
-        SELECT query_id, length(prompt)::INT AS n_chars, md5(prompt) AS prompt_md5, '[ECHO — no model called. Prompt was ' || length(prompt) || ' chars.]' AS answer FROM pr""",
+    "grounded_prompts": f"""WITH {_index()}, {_search('h', ASKED, 3)}, {PROMPTS}
+        SELECT query_id, length(prompt)::INT AS n_chars, md5(prompt) AS prompt_md5, {ECHO} AS answer FROM pr""",
+    "asked_answers": f"""WITH {_index()}, {_search('h', ASKED, 3)}, {PROMPTS}, {_decided(ASK, "", "", "(SELECT doc_id AS held_id, text FROM documents)", "question")},
+        top AS (SELECT query_id::VARCHAR AS answer_id, count(*)::INT AS n_retrieved, arg_min(id, rank)::VARCHAR AS first_id FROM h GROUP BY query_id)
+        SELECT cor.answer_id AS trace_id, question, a.text AS answer_text, coalesce(n_retrieved, 0) AS n_retrieved, first_id, n_claims::INT AS n_claims, n_kept::INT AS n_kept, final_text, refused, refusal_reason
+        FROM cor JOIN a USING (answer_id) LEFT JOIN top USING (answer_id)""",
+    "refusal_windows": """SELECT (floor((conv_id * 60 + turn + 0.25) / 600) * 600)::BIGINT AS start_s, count(*) AS n, count(*) FILTER (length(text) % 3 = 0) AS refused,
+        round(count(*) FILTER (length(text) % 3 = 0)::DOUBLE / count(*), 6) AS refusal_rate FROM conversations WHERE role = 'assistant' GROUP BY 1""",
+    "report_deltas": f"""WITH {_index()}, {_search('h', ASKED, TOP_K)}, {COVER.format(k=TOP_K)}, {GOLD}, {_items('it', 'h')}, {_items('ic', 'cv')},
+        x AS ({_report('it')}), y AS ({_report('ic')}) SELECT x.lang, '2024-05-01T00:00:00Z' AS previous_at, '2024-05-02T00:00:00Z' AS generated_at,
+        {', '.join(f"round(y.{m} - x.{m}, 6) AS {m}_delta" for m in MEANS)} FROM x JOIN y ON x.lang IS NOT DISTINCT FROM y.lang""",
+    "structural_chunks_by_words": _told(_structural(90, 20, 12, _word_tokens), "structural", _word_tokens),
+    "front_matter_map": """SELECT doc_id, doc_id % 5 <> 0 AS has_map, CASE WHEN doc_id % 5 <> 0 THEN doc_id::VARCHAR END AS weight, CASE WHEN doc_id % 5 <> 0 THEN 'it''s ' || source || ' "' || lang || '"' END AS title,
+        CASE WHEN doc_id % 5 <> 0 THEN '["' || lang || '", "a, b", "' || source || '"]' END AS tags, CASE WHEN doc_id % 5 <> 0 THEN 'about ' || source || ' and more' || chr(10) || 'end' || chr(10) END AS summary,
+        CASE WHEN doc_id % 5 <> 0 THEN lang || ' team' END AS owner, CASE WHEN doc_id % 5 <> 0 THEN '["/' || doc_id || '", "/' || source || '"]' END AS aliases, md5(text) AS body_md5 FROM documents""",
     "trace_roundtrip": """SELECT conv_id || '-' || turn AS trace_id, text AS question, length(text) % 3 = 0 AS refused, conv_id * 60 + turn + 0.25::DOUBLE AS timestamp, 1 AS n_claims,
         round(length(text) * 1.5::DOUBLE, 3) AS total_ms FROM conversations WHERE role = 'assistant'""",
     "fixed_chunks": _told(_fixed(128, 32, 16), "fixed"),

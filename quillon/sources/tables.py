@@ -74,6 +74,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a scan has fewer splits than that: a file of one row group is read by one task.
+
+    A scan of many splits, which large tables have, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(cores)
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -85,34 +94,112 @@ def source_state(spark: SparkSession, path: str) -> dict:
     return {"source": fs.resolvePath(p).toString(), "bytes": fs.getContentSummary(p).getLength()}
 
 
+class Versions:
+    """Numbered versions of a stored thing under one folder.
+
+    A version is a folder whose state file is written last: it is there for readers from then
+    on, and never changed.  Readers take the newest; who began with an older one goes on
+    reading it until ``forget`` removes it.  Two writers cannot finish the same version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.fs, self.root = _fs(spark, self.path)
+
+    def _numbers(self, finished: bool = True) -> list[int]:
+        if not self.fs.exists(self.root):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.root)]
+        found = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+        return [n for n in found if self.fs.exists(_fs(self.spark, self._state(n))[1])] if finished else found
+
+    def folder(self, n: int) -> str:
+        return f"{self.path}/v{n:08d}"
+
+    def _state(self, n: int) -> str:
+        return f"{self.folder(n)}/state.json"
+
+    def newest(self) -> tuple[int, dict] | None:
+        """The newest finished version and its state."""
+        numbers = self._numbers()
+        return (numbers[-1], self.state(numbers[-1])) if numbers else None
+
+    def state(self, n: int) -> dict:
+        return json.loads(self.spark.read.text(self._state(n), wholetext=True).first().value)
+
+    def begin(self) -> int:
+        """A number that no version has, finished or not; its folder is made at once."""
+        n = max(self._numbers(finished=False), default=0) + 1
+        while not self._claim(n):
+            n += 1
+        return n
+
+    def _claim(self, n: int) -> bool:
+        p = _fs(self.spark, f"{self.folder(n)}/.claim")[1]
+        try:
+            self.fs.create(p, False).close()
+        except Exception:
+            if self.fs.exists(p):
+                return False
+            raise
+        return True
+
+    def finish(self, n: int, state: dict) -> None:
+        out = self.fs.create(_fs(self.spark, self._state(n))[1], False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+
+    def forget(self, keep: int = 2) -> None:
+        """Removes all but the ``keep`` newest versions and those whose parts they name; nothing may read the others any more."""
+        numbers = self._numbers()
+        stay = set(numbers[-keep:] if keep else [])
+        stay |= {v for n in stay for v in self.state(n).get("written", {}).values()}
+        for n in numbers:
+            if n not in stay:
+                self.fs.delete(_fs(self.spark, self.folder(n))[1], True)
+
+
 PARTS = ("postings", "doc_stats", "term_idf", "corpus_stats")
+#: postings of one file of a stored index, about
+FILE_POSTINGS = 1 << 22
 
 
 def is_current(spark: SparkSession, path: str, state: dict) -> bool:
-    fs, p = _fs(spark, f"{path}/state.json")
-    return fs.exists(p) and json.loads(spark.read.text(f"{path}/state.json", wholetext=True).first().value) == state
+    """Whether the newest version of the index was made from that state."""
+    have = Versions(spark, path).newest()
+    return have is not None and have[1] == state
+
 
+def save_index(index: bm25.Bm25Index, path: str, state: dict) -> int:
+    """A new version of a stored index: four Parquet tables, which readers see once all are written.
 
-def save_index(index: bm25.Bm25Index, path: str, state: dict) -> None:
-    """Four Parquet tables; postings are clustered by term, so that a search skips row groups; the state comes last."""
+    Postings are ranges of (term, chunk), so that a search skips files and row groups, and those of
+    a term that most chunks hold are as many files as their number asks for.
+    """
     spark = index.postings.sparkSession
-    fs, marker = _fs(spark, f"{path}/state.json")
-    fs.delete(marker, False)
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    versions = Versions(spark, path)
+    n = versions.begin()
+    at = versions.folder(n)
+    files = max(spark.sparkContext.defaultParallelism, -(-index.postings.count() // FILE_POSTINGS))
+    index.postings.repartitionByRange(files, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{at}/postings")
     for part in PARTS[1:]:
-        getattr(index, part).write.mode("overwrite").parquet(f"{path}/{part}")
-    out = fs.create(marker, True)
-    out.write(bytearray(json.dumps(state).encode()))
-    out.close()
+        getattr(index, part).write.parquet(f"{at}/{part}")
+    versions.finish(n, state)
+    return n
 
 
-def load_index(spark: SparkSession, path: str, **cutting) -> bm25.Bm25Index:
-    """A saved index; ``cutting``: the cut and segmenter it was made with, if not the usual ones."""
-    return bm25.Bm25Index(*(spark.read.parquet(f"{path}/{p}") for p in PARTS), **cutting)
+def load_index(spark: SparkSession, path: str, version: int | None = None, **cutting) -> bm25.Bm25Index:
+    """A saved index, the newest version unless one is named; ``cutting``: its cut and segmenter, if not the usual ones."""
+    versions = Versions(spark, path)
+    have = versions.newest()
+    if version is None and have is None:
+        raise FileNotFoundError(f"no finished index at {path}")
+    at = versions.folder(version or have[0])
+    return bm25.Bm25Index(*(spark.read.parquet(f"{at}/{p}") for p in PARTS), **cutting)
 
 
 def build_or_load(spark: SparkSession, chunks_path: str, index_path: str, **cutting) -> bm25.Bm25Index:
-    """The stored index if its source has the same place and size and the segmenter is the same, else a new one."""
+    """The stored index if its source has the same place and size and the segmenter is the same, else a new version."""
     state = source_state(spark, chunks_path)
     if "segmenter" in cutting:
         state["segmenter"] = cutting["segmenter"]
@@ -121,39 +208,69 @@ def build_or_load(spark: SparkSession, chunks_path: str, index_path: str, **cutt
     return load_index(spark, index_path, **cutting)
 
 
-def upsert_vectors(chunks: DataFrame, embedder, path: str) -> DataFrame:
+#: buckets of a new vector collection
+BUCKETS = 64
+
+
+def upsert_vectors(chunks: DataFrame, embedder, path: str, buckets: int = BUCKETS) -> DataFrame:
     """Chunks with their points and vectors, one for each chunk id, in place of those of the same id.
 
-    An existing collection of another dimension or embedder is refused.
+    A collection is hash buckets of chunk ids; its state lists the version in which each bucket was
+    last written.  Only buckets that hold a changed id are read and written again, and the state
+    that names them comes last, so readers see the old collection until the new one is whole.  Of
+    rows with one id in ``chunks`` the one with the greatest text stays; rows without an id are
+    passed over.  An existing collection of another dimension or embedder is refused; ``buckets``
+    counts for a new one.
     """
     from ..functions.text import for_embedding, point_id
 
-    spark = chunks.sparkSession
-    fs, marker = _fs(spark, f"{path}/state.json")
-    have = collection_state(spark, path)
-    new = chunks.dropDuplicates(["chunk_id"]).withColumn("point_id", point_id(F.col("chunk_id")))
+    spark, versions = chunks.sparkSession, Versions(spark=chunks.sparkSession, path=path)
+    have = versions.newest()
+    state = have[1] if have else {"embedder": embedder.name, "dim": embedder.dim, "buckets": buckets, "written": {}}
+    if state["dim"] != embedder.dim:
+        raise ValueError(f"the collection holds vectors of {state['dim']} numbers, the embedder gives {embedder.dim}")
+    if state["embedder"] != embedder.name:
+        raise ValueError(f"the collection was made with {state['embedder']}, not {embedder.name}")
+    once = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in chunks.columns if c != "chunk_id"]), F.coalesce("text", F.lit(""))).alias("row"))
+    new = once.select("chunk_id", "row.*").select(*chunks.columns).withColumn("point_id", point_id(F.col("chunk_id")))
     new = new.withColumn("embedding", embedder.embed_passages(for_embedding(F.col("title"), F.col("section_path"), F.col("text"))))
-    version = 0
-    if have:
-        if have["dim"] != embedder.dim:
-            raise ValueError(f"the collection holds vectors of {have['dim']} numbers, the embedder gives {embedder.dim}")
-        if have["embedder"] != embedder.name:
-            raise ValueError(f"the collection was made with {have['embedder']}, not {embedder.name}")
-        version = have["version"] + 1
-        old = spark.read.parquet(f"{path}/v{have['version']}")
-        new = old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
-    # readers see the old version until the state names the new one
-    new.write.mode("overwrite").parquet(f"{path}/v{version}")
-    out = fs.create(marker, True)
-    out.write(bytearray(json.dumps({"embedder": embedder.name, "dim": embedder.dim, "version": version}).encode()))
-    out.close()
+    new = kept(new.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(state["buckets"])).cast("int")))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+    if not touched and have:
+        return read_vectors(spark, path)
+    old = [_bucket(versions, state, b) for b in touched if str(b) in state["written"]]
+    rows = new
+    if old:
+        before = spark.read.option("mergeSchema", True).parquet(*old).join(new.select("chunk_id"), "chunk_id", "left_anti")
+        rows = before.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(state["buckets"])).cast("int")).unionByName(new)
+    n = versions.begin()
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{versions.folder(n)}/data")
+    versions.finish(n, state | {"written": state["written"] | {str(b): n for b in touched}, "schema": new.drop("bucket").schema.json()})
     return read_vectors(spark, path)
 
 
+def _bucket(versions: Versions, state: dict, bucket: int) -> str:
+    return f"{versions.folder(state['written'][str(bucket)])}/data/bucket={bucket}"
+
+
 def collection_state(spark: SparkSession, path: str) -> dict | None:
-    fs, marker = _fs(spark, f"{path}/state.json")
-    return json.loads(spark.read.text(f"{path}/state.json", wholetext=True).first().value) if fs.exists(marker) else None
+    have = Versions(spark, path).newest()
+    return have[1] if have else None
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{collection_state(spark, path)['version']}")
+    """The newest state of a collection: the last version of each of its buckets."""
+    versions, state = Versions(spark, path), collection_state(spark, path)
+    schema = T.StructType.fromJson(json.loads(state["schema"]))
+    places = [_bucket(versions, state, b) for b in state["written"]]
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
+def compact_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """All buckets in one new version, after which older ones may be removed with ``Versions.forget``."""
+    versions, state = Versions(spark, path), collection_state(spark, path)
+    n = versions.begin()
+    rows = read_vectors(spark, path).withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(state["buckets"])).cast("int"))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{versions.folder(n)}/data")
+    versions.finish(n, state | {"written": {b: n for b in state["written"]}})
+    return read_vectors(spark, path)

@@ -1,6 +1,9 @@
 """The engine end to end, stored tables, traces and the stream."""
 
 import json
+import os
+import random
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ import __spark_entry__
 from quillon import __main__ as cli
 from quillon.engine import Engine, EngineConfig, HybridRetriever, RerankingRetriever
 from quillon.operators import bm25, chunking, providers
-from quillon.sources import tables, traces
+from quillon.sources import reports, tables, traces
 from quillon.streaming import monitor
 
 PAGES = {
@@ -169,3 +172,121 @@ def test_stream(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+# versions of stored things
+
+
+def terms_table(spark, n):
+    rng = random.Random(n)
+    rows = [(f"c{i}", "stop " * 3 + " ".join(f"w{rng.randrange(200)}" for _ in range(rng.randint(5, 20))), "en") for i in range(n)]
+    return spark.createDataFrame(rows, "chunk_id string, text string, lang string")
+
+
+def test_a_reader_goes_on_while_the_index_is_built_anew(spark, tmp_path):
+    at, q = str(tmp_path / "index"), spark.createDataFrame([("q", "stop w1")], "query_id string, query string")
+    with pytest.raises(FileNotFoundError):
+        tables.load_index(spark, at)
+    tables.save_index(bm25.build_index(terms_table(spark, 40)), at, {"n": 40})
+    reader = tables.load_index(spark, at)
+    before = bm25.search(reader, q, 40).collect()
+    begun = tables.Versions(spark, at).begin()
+    # an unfinished version is not seen, a finished one only by new readers
+    assert tables.load_index(spark, at).count() == 40
+    second = tables.save_index(bm25.build_index(terms_table(spark, 60)), at, {"n": 60})
+    assert second > begun and tables.is_current(spark, at, {"n": 60}) and not tables.is_current(spark, at, {"n": 40})
+    assert tables.load_index(spark, at).count() == 60 and reader.count() == 40 and bm25.search(reader, q, 40).collect() == before
+    assert tables.load_index(spark, at, version=1).count() == 40
+    with pytest.raises(Exception, match="lready exists"):
+        tables.Versions(spark, at).finish(second, {})
+    tables.Versions(spark, at).forget(keep=1)
+    assert tables.load_index(spark, at).count() == 60
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.load_index(spark, at, version=1)
+
+
+def test_postings_of_a_hot_term_are_many_files(spark, tmp_path):
+    at = str(tmp_path / "index")
+    tables.save_index(bm25.build_index(terms_table(spark, 3000)), at, {})
+    rows = [r[0] for r in tables.load_index(spark, at).postings.groupBy(F.input_file_name()).count().select("count").collect()]
+    hot = tables.load_index(spark, at).postings.where("term = 'stop'")
+    assert hot.count() == 3000 and len(rows) >= 4 and max(rows) <= 2 * median(rows)
+    assert hot.select(F.input_file_name()).distinct().count() >= 1
+
+
+def rows_written(path, version):
+    return sum(os.path.getsize(os.path.join(f, x)) for f, _, names in os.walk(f"{path}/v{version:08d}/data") for x in names if x.endswith(".parquet"))
+
+
+def vectors_of(spark, ids, mark=""):
+    return spark.createDataFrame([(f"{i:016x}", "T", ["S"], f"text {i}{mark}") for i in ids], "chunk_id string, title string, section_path array<string>, text string")
+
+
+def test_an_upsert_writes_only_the_buckets_it_changes(spark, tmp_path):
+    at, e = str(tmp_path / "vectors"), providers.FakeEmbedder()
+    tables.upsert_vectors(vectors_of(spark, range(2000)), e, at, buckets=32)
+    old = tables.read_vectors(spark, at)
+    got = tables.upsert_vectors(vectors_of(spark, [3, 5000], "!"), e, at)
+    assert got.count() == 2001 and {r.text for r in got.where("text like '%!'").collect()} == {"text 3!", "text 5000!"}
+    assert rows_written(at, 2) < rows_written(at, 1) / 10
+    assert old.count() == 2000 and old.where("text = 'text 3'").count() == 1
+    assert tables.upsert_vectors(vectors_of(spark, []), e, at).count() == 2001
+    twice = vectors_of(spark, [7, 7, 8]).withColumn("text", F.concat("text", F.monotonically_increasing_id().cast("string")))
+    assert tables.upsert_vectors(twice.union(twice.limit(1).withColumn("chunk_id", F.lit(None).cast("string"))), e, at).count() == 2001
+    whole = {tuple(r) for r in tables.read_vectors(spark, at).select("chunk_id", "text", "point_id").collect()}
+    tables.Versions(spark, at).forget(keep=1)
+    assert {tuple(r) for r in tables.read_vectors(spark, at).select("chunk_id", "text", "point_id").collect()} == whole
+    assert {tuple(r) for r in tables.compact_vectors(spark, at).select("chunk_id", "text", "point_id").collect()} == whole
+    tables.Versions(spark, at).forget(keep=1)
+    assert len([x for x in os.listdir(at) if x.startswith("v")]) == 1 and tables.read_vectors(spark, at).count() == 2001
+    with pytest.raises(ValueError):
+        tables.upsert_vectors(vectors_of(spark, [1]), providers.FakeEmbedder(32), at)
+
+
+# the trace log and the report history
+
+
+def made_traces(spark, ids):
+    turns = spark.createDataFrame([(i, 1, "assistant", "x" * (i % 5 + 1)) for i in ids], "conv_id long, turn int, role string, text string")
+    return traces.from_turns(turns)
+
+
+def test_a_replayed_stream_doubles_no_trace(spark, tmp_path):
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    assert traces.read_log(spark, log).count() == 0
+
+    def run():
+        traces.sink(monitor.trace_stream(spark, source), log).awaitTermination()
+        return sorted(r.trace_id for r in traces.read_log(spark, log).collect())
+
+    traces.append(made_traces(spark, range(0, 3000, 100)), source)
+    first = run()
+    assert len(first) == 30
+    # sent again with others, far older ones among them; and a trace twice in one batch
+    traces.append(made_traces(spark, [*range(0, 3000, 100), 50, 50, 2950]), source)
+    second = run()
+    assert second == sorted({*first, "50-1", "2950-1"})
+    assert run() == second
+    # the last batch fails after its rows are written and is run again
+    commits = tmp_path / "log" / "_checkpoint" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        (commits / name).unlink()
+    assert run() == second
+    whole = monitor.refusal_rates(made_traces(spark, [*range(0, 3000, 100), 50, 2950]))
+    assert sorted(map(tuple, monitor.refusal_rates(traces.read_log(spark, log)).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_reports_are_kept_and_compared(spark, tmp_path):
+    at = str(tmp_path / "history")
+    row = lambda lang, x: (lang, 10, 8, *[x] * 6)
+    schema = "lang string, n_items long, n_answerable long, " + ", ".join(f"{m} double" for m in reports.METRICS)
+    make = lambda *rows: spark.createDataFrame(rows, schema)
+    reports.append(make(row("en", 0.5), row(None, 0.25)), at, "a", "2024-01-02T00:00:00Z")
+    assert reports.deltas(reports.history(spark, at)).count() == 0
+    runs = [reports.append(make(row("en", 0.75), row(None, 0.5)), at, "a", "2024-01-03T00:00:00Z"), reports.append(make(row("en", 0.25)), at, "a", "2024-01-01T00:00:00Z")]
+    reports.append(make(row("en", 1.0), row("fr", None)), at, "b", "2024-01-03T00:00:00Z")
+    assert len(set(runs)) == 2 and reports.history(spark, at).count() == 7
+    got = {(r.name, r.lang, r.previous_at[:10], r.generated_at[:10]): r.mrr_delta for r in reports.deltas(reports.history(spark, at)).collect()}
+    assert got == {("a", "en", "2024-01-01", "2024-01-02"): 0.25, ("a", "en", "2024-01-02", "2024-01-03"): 0.25, ("a", None, "2024-01-02", "2024-01-03"): 0.25}
+    assert reports.stamp(0) == "1970-01-01T00:00:00Z"

@@ -1,12 +1,14 @@
 """BM25 against a plain implementation; dense search, fusion and reranking."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import bm25, dense
+from quillon.operators import blockmax, bm25, dense
 from quillon.operators.providers import FakeReranker
+from quillon.sources import tables
 
 DOCS = {"a": "Pod containers run in a pod", "b": "containers are isolated", "c": "a service routes traffic", "d": "nodes run pods and containers in the cluster"}
 
@@ -73,6 +75,43 @@ def test_dense(spark):
     assert got[2].score == pytest.approx(0.6)
 
 
+def nearest_by_hand(vectors, queries, k):
+    out = []
+    for qid in {q for q, v, _ in queries if q is not None and v is not None}:
+        best = {}
+        for cid, v, lang in vectors:
+            for q, w, want in queries:
+                if q != qid or w is None or v is None or cid is None or want not in (None, lang) or None in v or not all(map(math.isfinite, v)):
+                    continue
+                norm = math.hypot(*v) * math.hypot(*w)
+                best[cid] = max(best.get(cid, -2.0), sum(x * y for x, y in zip(v, w, strict=True)) / norm if norm else 0.0)
+        order = sorted(best, key=lambda c: (-round(best[c], 9), c))[:k]
+        out += [(qid, i + 1, c, round(best[c], 7)) for i, c in enumerate(order)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("query_bytes", [dense.QUERY_BYTES, 0])
+@pytest.mark.parametrize("k", [1, 7])
+def test_dense_equals_brute_force(spark, monkeypatch, query_bytes, k):
+    """Ties, repeated ids on both sides, nulls; queries sent to all tasks or dealt into blocks."""
+    rng = random.Random(4)
+    vec = lambda: [float(rng.randint(-2, 2)) for _ in range(3)]
+    vectors = [(f"c{rng.randrange(120)}", vec(), rng.choice(["en", "fr", None])) for _ in range(300)] + [(f"t{i:03}", [1.0, 1.0, 0.0], "en") for i in range(200)]
+    vectors += [(None, vec(), "en"), ("null", None, "en"), ("holes", [1.0, None, 0.0], "en"), ("nan", [math.nan, 1.0, 0.0], "en"), ("inf", [math.inf, 1.0, 0.0], "en")]
+    queries = [(f"q{i}", vec(), rng.choice([None, "en", "fr", "xx"])) for i in range(20)] + [("q1", vec(), None), ("q1", vec(), "en"), ("none", None, None), (None, vec(), None)]
+    queries += [queries[2], ("t", [1.0, 1.0, 0.0], None), ("zero", [0.0, 0.0, 0.0], "en")]
+    monkeypatch.setattr(dense, "GRID_QUERIES", 8)
+    monkeypatch.setattr(dense, "GRID_VECTORS", 100)
+    v = spark.createDataFrame(vectors, "chunk_id string, embedding array<double>, lang string")
+    q = spark.createDataFrame(queries, "query_id string, embedding array<double>, wanted string")
+    got = dense.dense_search(v, q, k, filter_col="lang", query_bytes=query_bytes)
+    assert sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 7)) for r in got.collect()) == nearest_by_hand(vectors, queries, k)
+    assert dense.dense_search(v.where("false"), q, k, query_bytes=query_bytes).collect() == []
+    assert dense.dense_search(v, q.where("false"), k, query_bytes=query_bytes).collect() == []
+    with pytest.raises(Exception, match="different lengths"):
+        dense.dense_search(v.union(v.limit(1).withColumn("embedding", F.array(F.lit(1.0)))), q, k, query_bytes=query_bytes).collect()
+
+
 def test_cosine_and_size_guard(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0]), ([1.0, 1.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(dense.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, pytest.approx(2**-0.5)]
@@ -99,3 +138,40 @@ def test_rerank_replaces_scores(spark):
     assert len(got) == 2 and all(0 <= x.score < 1 for x in got)
     again = dense.rerank(hits(spark, [("q", 1, "x", 3.0), ("q", 2, "y", 2.0), ("q", 3, "z", 1.0)]), q, chunks, r.score(F.col("query"), F.col("text")), 2).collect()
     assert got == again
+
+
+def block_corpus(spark, n=1500):
+    rng = random.Random(9)
+    vocab = {la: [f"{la}{i}" for i in range(300)] + ["the", "of"] for la in ("en", "fr")}
+    rows = []
+    for i in range(n):
+        la = rng.choice(["en", "fr"])
+        weights = [1 / (j + 2) for j in range(300)] + [3, 2]
+        rows.append((i, " ".join(rng.choices(vocab[la], weights, k=rng.randint(1, 120))), la))
+    rows += [(n, "", "en"), (n + 1, None, "en"), (n + 2, "en7 en9", None)]
+    return spark.createDataFrame(rows, "chunk_id long, text string, lang string"), [" ".join(rng.choices(vocab[la], k=rng.randint(1, 12))) for la in ("en", "fr") * 10] + ["the", "the of", "absent", ""]
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_block_search_equals_the_whole_search(spark, filtered):
+    chunks, texts = block_corpus(spark)
+    queries = asked(spark, *texts)
+    lang = queries.select("query_id", F.when(F.col("query").contains("en"), "en").otherwise("fr").alias("lang")) if filtered else None
+    whole = {(r.query_id, r.rank): (r.chunk_id, round(r.score, 7)) for r in bm25.search(bm25.build_index(chunks), queries, 7, lang).collect()}
+    index = blockmax.block_index(tables.kept(blockmax.blocked(chunks)), tables.kept)
+    assert index.blocks.agg(F.max("n")).first()[0] <= blockmax.BLOCK_CHUNKS
+    found = blockmax.block_search(index, queries, tables.kept, 7, lang)
+    assert {(r.query_id, r.rank): (r.chunk_id, round(r.score, 7)) for r in found.hits.collect()} == whole
+    held, read = found.places.agg(F.sum("n"), F.sum(F.when(F.col("read"), F.col("n")).otherwise(0))).first()
+    assert 0 < read < 0.8 * held
+
+
+def test_block_search_with_few_blocks_and_no_rows(spark):
+    chunks, texts = block_corpus(spark, 40)
+    index = blockmax.block_index(tables.kept(blockmax.blocked(chunks)), tables.kept)
+    queries = asked(spark, *texts)
+    want = sorted((r.query_id, r.chunk_id) for r in bm25.search(bm25.build_index(chunks), queries, 100).collect())
+    assert sorted((r.query_id, r.chunk_id) for r in blockmax.block_search(index, queries, tables.kept, 100, first_blocks=1).hits.collect()) == want
+    assert blockmax.block_search(index, queries.where("false"), tables.kept).hits.collect() == []
+    none = blockmax.block_index(tables.kept(blockmax.blocked(chunks.where("false"))), tables.kept)
+    assert blockmax.block_search(none, queries, tables.kept).hits.collect() == []
