@@ -4,8 +4,10 @@ Chunks of one language and about one length lie in one block.  For every term an
 index keeps the greatest share of a score that the term gives to one of the block's chunks,
 beside the postings themselves.  The sum of these maxima over a query's terms bounds the score
 of every chunk of a block.  A search reads the blocks with the greatest bounds first, takes the
-k-th best score found there, and then only those other blocks whose bounds reach it: what is
-left out cannot be among the k best, so the result is that of reading all.
+k-th best score found there as a floor, and leaves out what cannot reach it: blocks whose bounds stay
+below; terms so common that all of them together stay below, which then make no candidates of
+their own and are read only in the blocks where candidates are left.  The result is that of
+reading everything.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import segments
-from .bm25 import EPSILON, K1, B, counted, query_terms, top_k
+from .bm25 import EPSILON, K1, B, counted, query_terms, top_k, weighed
 
 #: chunks of a block
-BLOCK_CHUNKS = 16
+BLOCK_CHUNKS = 4
 #: blocks of each query that are read first
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 16
 #: bounds are compared with this much to spare, as sums of doubles depend on their order
 SLACK = 1e-6
 
@@ -68,41 +70,57 @@ def block_index(rows: DataFrame, kept: Callable[[DataFrame], DataFrame], cut: Ca
     return BlockIndex(blocks, idf, cut)
 
 
-def _scored(index: BlockIndex, wanted: DataFrame, places: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of the chunks of the places (query_id, block, wanted_lang)."""
-    at = places.join(wanted, "query_id").join(index.blocks.select("term", "block", "entries"), ["term", "block"])
-    hit = at.select("query_id", "wanted_lang", "weight", F.explode("entries").alias("e")).where("wanted_lang is null or e.lang = wanted_lang")
-    return hit.groupBy("query_id", "e.chunk_id").agg(F.sum(F.col("weight") * F.col("e.share")).alias("score"))
-
-
 @dataclass
 class BlockSearch:
     hits: DataFrame
-    #: (query_id, block, n, read): postings of the query's terms in each block, and whether they were read
+    #: (query_id, term, block, n, read): postings of each query's terms by block, and whether they were read
     places: DataFrame
 
 
+def _entries(index: BlockIndex, places: DataFrame) -> DataFrame:
+    """(query_id, block, chunk_id, part) of the postings at places (query_id, term, weight, block, wanted_lang)."""
+    at = places.join(index.blocks.select("term", "block", "entries"), ["term", "block"])
+    hit = at.select("query_id", "block", "wanted_lang", "weight", F.explode("entries").alias("e")).where("wanted_lang is null or e.lang = wanted_lang")
+    return hit.select("query_id", "block", "e.chunk_id", (F.col("weight") * F.col("e.share")).alias("part"))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("query_id", "block", "chunk_id").agg(F.sum("part").alias("score"))
+
+
 def block_search(
     index: BlockIndex, queries: DataFrame, kept: Callable[[DataFrame], DataFrame], k: int = 5, lang_of: DataFrame | None = None, first_blocks: int = FIRST_BLOCKS
 ) -> BlockSearch:
     """The k best chunks of each query (query_id, query), as ``bm25.search`` gives them, and what was read for them."""
-    wanted = kept(query_terms(queries, index.cut).join(index.term_idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    bound = F.sum(F.greatest(F.col("weight") * F.col("top"), F.lit(0.0)))
-    near = wanted.join(index.blocks.drop("entries"), "term").groupBy("query_id", "block").agg(
-        bound.alias("bound"), F.sum("n").alias("n"), F.min("low_lang").alias("low"), F.max("high_lang").alias("high")
-    )
+    wanted = weighed(query_terms(queries, index.cut), index.term_idf)
+    near = wanted.join(index.blocks.drop("entries"), "term").withColumn("weight", F.col("qtf") * F.col("idf")).withColumn("most", F.greatest(F.col("weight") * F.col("top"), F.lit(0.0)))
+    wanted_lang = F.lit(None).cast("string")
     if lang_of is not None:
-        near = near.join(lang_of.select("query_id", F.col("lang").alias("wanted_lang")), "query_id", "left").withColumn(
-            "may", F.expr("wanted_lang is null or (low <= wanted_lang and wanted_lang <= high)")
-        )
-    else:
-        near = near.withColumns({"wanted_lang": F.lit(None).cast("string"), "may": F.lit(True)})
-    near = kept(near)
+        near, wanted_lang = near.join(lang_of.select("query_id", F.col("lang").alias("wanted_lang")), "query_id", "left"), F.col("wanted_lang")
+    near = near.withColumn("wanted_lang", wanted_lang).where("wanted_lang is null or (low_lang <= wanted_lang and wanted_lang <= high_lang)")
+    near = kept(near.select("query_id", "term", "weight", "block", "most", "n", "wanted_lang"))
+
+    # the blocks with the greatest bounds are read whole, which gives a score that the k-th best reaches
     order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
-    first = kept(near.where("may").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= first_blocks).select("query_id", "block", "wanted_lang"))
-    begun = kept(_scored(index, wanted, first))
-    floor = top_k(begun, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    judged = near.join(floor, "query_id", "left").join(first.select("query_id", "block", F.lit(True).alias("first")), ["query_id", "block"], "left")
-    judged = judged.withColumn("read", F.col("may") & (F.col("first").isNotNull() | F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK)))
-    rest = _scored(index, wanted, judged.where("read and first is null").select("query_id", "block", "wanted_lang"))
-    return BlockSearch(top_k(begun.unionByName(rest), k), judged.select("query_id", "block", "n", "read"))
+    bounds = near.groupBy("query_id", "block").agg(F.sum("most").alias("bound"))
+    first = bounds.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= first_blocks).select("query_id", "block")
+    begun = top_k(_summed(_entries(index, near.join(first, ["query_id", "block"], "left_semi"))), k)
+    floor = kept(begun.where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("floor")))
+
+    # chunks that hold only a query's least terms cannot reach it: such terms make no candidates
+    caps = near.groupBy("query_id", "term").agg(F.max("most").alias("cap"))
+    upto = Window.partitionBy("query_id").orderBy("cap", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = caps.join(floor, "query_id").withColumn("upto", F.sum("cap").over(upto)).where("upto < floor").select("query_id", "term", F.lit(True).alias("least"))
+    # nor can the chunks of a block whose bound is under it
+    judged = near.join(least, ["query_id", "term"], "left").join(floor, "query_id", "left").join(bounds, ["query_id", "block"])
+    judged = kept(judged.where("floor is null or bound >= floor").withColumn("least", F.coalesce("least", F.lit(False))))
+    rest = judged.where("least").groupBy("query_id", "block").agg(F.sum("most").alias("rest"))
+    found = _summed(_entries(index, judged.where("not least"))).join(rest, ["query_id", "block"], "left").join(floor, "query_id", "left")
+    candidates = kept(found.where("floor is null or score + coalesce(rest, 0.0) >= floor").select("query_id", "block", "chunk_id", "score"))
+    # what the least terms add, for candidates alone
+    more = judged.where("least").join(candidates.select("query_id", "block").distinct(), ["query_id", "block"], "left_semi")
+    added = _entries(index, more).join(candidates.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    whole = candidates.select("query_id", "block", "chunk_id", F.col("score").alias("part")).unionByName(added)
+    read = judged.where("not least").select("query_id", "term", "block").unionByName(more.select("query_id", "term", "block")).withColumn("read", F.lit(True))
+    places = near.select("query_id", "term", "block", "n").join(read, ["query_id", "term", "block"], "left").withColumn("read", F.coalesce("read", F.lit(False)))
+    return BlockSearch(top_k(_summed(whole), k), places)

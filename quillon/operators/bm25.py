@@ -1,7 +1,7 @@
 """Inverted index and Okapi BM25 as joins.
 
-The index is four tables: postings (term, chunk, tf), doc_stats (chunk, dl), term_idf
-(term, df, idf) and corpus_stats (one row).  A search joins the query terms, the small side,
+The index is four tables: postings (term, chunk, tf, with the chunk's length and language),
+doc_stats (chunk, dl), term_idf (term, df, idf) and corpus_stats (one row).  A search joins the query terms, the small side,
 to idf and postings, so only postings of query terms move; statistics are always those of
 the whole index, language filters apply to the candidates.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_lang, segments
 
+#: query terms of at most this many rows go to the tasks that read postings; more of them are shuffled to their postings
+BROADCAST_TERMS = 1 << 20
 # fixed values: the constants of Okapi BM25
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -60,7 +62,7 @@ def counted(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
 def index_of(rows: DataFrame, cut: Callable[[Column, Column], Column] = segments, segmenter: str = "char-bigram") -> Bm25Index:
     """The index of counted texts."""
     doc_stats = rows.select("chunk_id", "lang", "dl")
-    postings = rows.select("chunk_id", F.explode("counts").alias("c")).select("chunk_id", "c.term", "c.tf")
+    postings = rows.select("chunk_id", "lang", "dl", F.explode("counts").alias("c")).select("chunk_id", "c.term", "c.tf", "dl", "lang")
     stats = doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -82,15 +84,33 @@ def query_terms(queries: DataFrame, cut: Callable[[Column, Column], Column] = se
     return queries.select("query_id", F.explode(terms).alias("term")).where("trim(replace(term, '\"', '')) <> ''").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def bounded(terms: DataFrame) -> DataFrame:
+    """``terms`` marked as what is broadcast, if they are few; postings, which may look small in their files, never are."""
+    return _marked(terms, _few(terms))
+
+
+def _few(terms: DataFrame) -> bool:
+    return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
+def _marked(terms: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(terms) if few else terms.hint("shuffle_hash")
+
+
+def weighed(terms: DataFrame, term_idf: DataFrame) -> DataFrame:
+    """Query terms with their idf, marked as ``bounded`` marks them."""
+    few = _few(terms)
+    return _marked(_marked(terms, few).join(term_idf.select("term", "idf"), "term"), few)
+
+
 def candidates(index: Bm25Index, terms: DataFrame) -> DataFrame:
     """(query_id, chunk_id) that share a term."""
-    return terms.join(index.postings.select("term", "chunk_id"), "term").select("query_id", "chunk_id").distinct()
+    return bounded(terms).join(index.postings.select("term", "chunk_id"), "term").select("query_id", "chunk_id").distinct()
 
 
 def scores(index: Bm25Index, terms: DataFrame, lang_of: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of all candidates; ``lang_of`` (query_id, lang) filters them."""
-    wanted = terms.join(index.term_idf.select("term", "idf"), "term")
-    hit = wanted.join(index.postings, "term").join(index.doc_stats, "chunk_id").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))
+    hit = weighed(terms, index.term_idf).join(index.postings, "term").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))
     if lang_of is not None:
         filters = lang_of.select("query_id", F.col("lang").alias("wanted_lang"))
         hit = hit.join(filters, "query_id", "left").where("wanted_lang is null or lang = wanted_lang")

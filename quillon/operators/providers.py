@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import warnings
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -70,6 +71,11 @@ def _hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
 
 
+@lru_cache(maxsize=1 << 18)
+def _place(gram: str, dim: int) -> int:
+    return _hash64(gram) % dim
+
+
 class FakeEmbedder:
     """Hashed character n-grams of unit length: the same text gives the same vector, meaning plays no part."""
 
@@ -85,7 +91,7 @@ class FakeEmbedder:
                 t, v = (t or "").strip().lower(), [0.0] * dim
                 for size in (3, 4, 5):
                     for i in range(len(t) - size + 1):
-                        v[_hash64(f"{salt}:{t[i : i + size]}") % dim] += 1.0
+                        v[_place(f"{salt}:{t[i : i + size]}", dim)] += 1.0
                 norm = sum(x * x for x in v) ** 0.5
                 return [x / norm for x in v] if norm else v
 

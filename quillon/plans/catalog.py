@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -169,7 +170,15 @@ def chunk_manifest(spark, d):
 
 
 def _index(spark, d) -> bm25.Bm25Index:
-    """The index over ``documents``: texts are cut and counted once, whatever then reads the index."""
+    """The application's stored index over ``documents``: made by the first query that reads it, and anew where the table has changed."""
+    source = f"{d}/documents.parquet"
+    state = tables.source_state(spark, source) | {"changed": tables.changed_at(spark, source)}
+    at = f"{tables.scratch_dir(spark)}/bm25-{spark.sparkContext.applicationId}-{hashlib.sha256(state['source'].encode()).hexdigest()[:16]}"
+    return tables.current_index(spark, at, state, lambda: _built(spark, d))
+
+
+def _built(spark, d) -> bm25.Bm25Index:
+    """The index over ``documents`` as it is made: texts are cut and counted once."""
     return bm25.index_of(tables.kept(bm25.counted(table(spark, d, "documents", "doc_id", "text", "lang"), id_col="doc_id")))
 
 
@@ -267,7 +276,7 @@ def dense_cosine_topk_filtered(spark, d):
 
 def _coverage(index: bm25.Bm25Index, asked: DataFrame, k: int) -> DataFrame:
     """Documents ranked by the number of distinct query terms they hold."""
-    hit = bm25.query_terms(asked).join(index.postings, "term")
+    hit = bm25.bounded(bm25.query_terms(asked)).join(index.postings, "term")
     return bm25.top_k(hit.groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score")), k)
 
 
@@ -303,7 +312,7 @@ def _gold(spark, d, index: bm25.Bm25Index | None = None) -> DataFrame:
     asked = _asked(spark, d)
     terms = bm25.query_terms(asked)
     n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    share = terms.join((index or _index(spark, d)).postings.select("term", "chunk_id"), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("m"))
+    share = bm25.bounded(terms).join((index or _index(spark, d)).postings.select("term", "chunk_id"), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("m"))
     full = share.join(n, "query_id").where("m = n").select("query_id", "chunk_id")
     docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("chunk_id"), "text")
     held = full.join(asked, "query_id").join(docs, "chunk_id").where(F.contains("text", "query"))
@@ -357,12 +366,13 @@ def backend_parity(spark, d):
 
 @query
 def stored_backend_parity(spark, d):
-    """The index in the plan against the one stored on disk: first pages, recall and reciprocal rank."""
-    index = _index(spark, d)
+    """The index in the plan, with places filled, against the one stored on disk: first pages, recall and reciprocal rank."""
+    index = _built(spark, d)
     path = f"{tables.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
     tables.save_index(index, path, {"source": d})
     asked, gold = _asked(spark, d), tables.kept(_gold(spark, d, index))
-    ranked = [tables.kept(_ranked_docs(bm25.search(x, asked, TOP_K))) for x in (index, tables.load_index(spark, path))]
+    sides = (index, True), (tables.load_index(spark, path), False)
+    ranked = [tables.kept(_ranked_docs(bm25.search(x, asked, TOP_K, fill_zero_scores=fill))) for x, fill in sides]
     a, b = (evaluation.report(evaluation.item_metrics(gold, r)) for r in ranked)
     return evaluation.parity(*ranked).crossJoin(F.broadcast(evaluation.deltas(a, b)))
 
@@ -371,7 +381,7 @@ def stored_backend_parity(spark, d):
 def stored_index_topk(spark, d):
     """A search of an index that was saved and loaded again."""
     path = f"{tables.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
-    tables.save_index(_index(spark, d), path, {"source": d})
+    tables.save_index(_built(spark, d), path, {"source": d})
     return _hits(bm25.search(tables.load_index(spark, path), _asked(spark, d), TOP_K))
 
 

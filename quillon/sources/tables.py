@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def changed_at(spark: SparkSession, path: str) -> int:
+    """When the newest file of a source was written, in milliseconds."""
+    fs, p = _fs(spark, path)
+    return max((f.getModificationTime() for f in [fs.getFileStatus(p), *fs.listStatus(p)]), default=0)
+
+
 def source_state(spark: SparkSession, path: str) -> dict:
     """The resolved place of a source and its bytes, which tell whether an index is current."""
     fs, p = _fs(spark, path)
@@ -188,6 +195,13 @@ def save_index(index: bm25.Bm25Index, path: str, state: dict) -> int:
     return n
 
 
+def current_index(spark: SparkSession, path: str, state: dict, build: Callable[[], bm25.Bm25Index], **cutting) -> bm25.Bm25Index:
+    """The stored index that was made from ``state``, which ``build`` makes and ``save_index`` stores where there is none."""
+    if not is_current(spark, path, state):
+        save_index(build(), path, state)
+    return load_index(spark, path, **cutting)
+
+
 def load_index(spark: SparkSession, path: str, version: int | None = None, **cutting) -> bm25.Bm25Index:
     """A saved index, the newest version unless one is named; ``cutting``: its cut and segmenter, if not the usual ones."""
     versions = Versions(spark, path)
@@ -203,9 +217,7 @@ def build_or_load(spark: SparkSession, chunks_path: str, index_path: str, **cutt
     state = source_state(spark, chunks_path)
     if "segmenter" in cutting:
         state["segmenter"] = cutting["segmenter"]
-    if not is_current(spark, index_path, state):
-        save_index(bm25.build_index(read_chunks(spark, chunks_path), **cutting), index_path, state)
-    return load_index(spark, index_path, **cutting)
+    return current_index(spark, index_path, state, lambda: bm25.build_index(read_chunks(spark, chunks_path), **cutting), **cutting)
 
 
 #: buckets of a new vector collection
