@@ -224,18 +224,18 @@ def mask_counts(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), i
     said = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic")
     )
-    known = rows.where("id is not null").join(said, "id", "left").select(
-        "id", "digest", "part", "mask", "n", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")
-    )
-    nameless = rows.where("id is null").select("id", "digest", "part", "mask", "n", F.lit(False).alias("good"), F.lit(False).alias("toxic"))
+    # rows without an id meet no label, and their texts tell them apart, so that they spread over the tasks
+    keys = F.col("id").isNull().alias("nameless"), F.coalesce(F.col("id").cast("string"), F.hex("digest")).alias("key")
+    said = said.select(F.lit(False).alias("nameless"), F.col("id").cast("string").alias("key"), "good", "toxic")
+    known = rows.select("*", *keys).join(said, ["nameless", "key"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
     # of each text in each part: its rows, its smallest id, and the rows that have that id
-    texts = known.groupBy("digest", "part", "mask", "good", "toxic").agg(F.sum("n").alias("n"), F.min(F.struct("id", "n")).alias("least"))
+    named = ~F.col("nameless")
+    texts = known.groupBy("digest", "part", "mask", "good", "toxic").agg(F.sum("n").alias("n"), F.sum(F.when(named, 0).otherwise(F.col("n"))).alias("n_nameless"), F.min(F.when(named, F.struct("id", "n"))).alias("least"))
     least = texts.groupBy("digest").agg(F.min("least.id").alias("least_id"))
-    first = F.when(F.col("least.id") == F.col("least_id"), F.col("least.n")).otherwise(0)
-    split = texts.join(least, "digest").select(
+    first = F.col("n_nameless") + F.when(F.col("least.id") == F.col("least_id"), F.col("least.n")).otherwise(0)
+    all_rows = texts.join(least, "digest").select(
         "part", "good", "toxic", F.explode(F.array(F.struct("mask", first.alias("n")), F.struct((F.col("mask") + 16).alias("mask"), (F.col("n") - first).alias("n")))).alias("x")
-    )
-    all_rows = split.select("part", "x.mask", "x.n", "good", "toxic").union(nameless.select("part", "mask", "n", "good", "toxic"))
+    ).select("part", "x.mask", "x.n", "good", "toxic")
     return all_rows.where("n > 0").groupBy("part", "mask").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("toxic")
     )
