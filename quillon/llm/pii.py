@@ -3,15 +3,18 @@
 Generators propose spans of four kinds: the base patterns, and wider ones (bracketed "at"
 and "dot", national phone formats, cards with other separators, defanged addresses), which
 may overlap.  A span has format features (separators, brackets, variety) and context features
-(the characters beside it, a cue word, a label or a number before it, other candidates
-nearby), all in a few bins.  Boosted trees of depth two are fitted on the counts of feature
-patterns over the whole input.  A candidate is positive if it passes its kind's check: a
-top-level domain of letters, octets up to 255, a Luhn sum, the digits of a phone number.  No
-feature states that check, so the trees learn in which forms and contexts valid candidates
-stand.  Half of the texts, by hash, fit the trees, the others calibrate: a kind's threshold is
-the lowest score at which its wider candidates there reach ``PRECISION``.  Base spans that pass
-always stay; a wider span is added if it passes its check, reaches its threshold and overlaps
-neither a base span nor a better added one.
+(the characters beside it, an identifier's word or sign or a number before it, other candidates
+nearby), all in a few bins.  Only spans that pass their kind's exact check (a top-level domain of
+letters, octets up to 255, a Luhn sum, the digits of a phone number) and that no base span
+covers are candidates.  Boosted trees of depth two are fitted on the counts of feature patterns
+over the whole input: positive are base spans, and wider ones with a cue word or a label before
+them, which no feature states; negative are spans that pass by chance inside something else,
+joined to letters or digits or behind the word or sign of an identifier, price, date or version;
+wider spans with neither are not learnt from.  Half of the texts, by hash, fit the trees, the
+others calibrate: a kind's threshold is the lowest score t from which its spans there, and
+``SHRINK`` more of precision t, have a precision of ``PRECISION``.  Base spans that pass always
+stay; a wider span is added if it passes, reaches its threshold and overlaps neither a base
+span nor a better added one.
 
 Places are running sums in blocks of ``BLOCK`` matches, and overlaps are looked up by place, so
 that texts of very many matches take nearly linear time.
@@ -47,12 +50,11 @@ WIDE = {
 NEEDS = {"email": r"@|[\[(] ?at ?[\])]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]|[0-9]{3}"}
 CUES = r"(?i)(?:mail|contact|write|phone|call|tel|fax|mobile|card|visa|credit|payment|ip|host|server|address)\W*$"
 CONTEXT = 24
-FEATURES = ("kind", "wide", "plus", "separators", "brackets", "before", "after", "cue", "labelled", "numeric", "line", "crowded", "variety")
-ROUNDS, RATE, PRECISION, LEAF_PRIOR = 24, 0.4, 0.9, 1.0
-#: threshold of a kind with too few candidates to calibrate by
-UNCALIBRATED = 0.3
-#: candidates of each half from which they are parted, and those of a kind by which a threshold is calibrated
-LEAST_PARTED, LEAST_HELD = 200, 20
+#: what stands before an identifier, a price, a date or a version
+OTHER = r"(?i)(?:(?<![\p{L}\p{N}])(?:v|ver|version|build|no|nr|id|ids|sku|isbn|order|invoice|ref|serial|date|price|cost|total)\W{0,3}|[$€£#=_/\\])$"
+LABEL = r"[A-Za-z]+ ?[:=#] ?$"
+FEATURES = ("kind", "plus", "separators", "brackets", "before", "after", "other", "numeric", "line", "crowded", "variety")
+ROUNDS, RATE, PRECISION, LEAF_PRIOR, SHRINK = 24, 0.4, 0.9, 1.0, 4.0
 #: matches whose places are summed together; characters of an index entry; spans of a text whose pieces are cut one by one
 BLOCK, STRIDE, FEW = 512, 256, 64
 
@@ -163,14 +165,12 @@ def span_features(s: Column) -> list[Column]:
     txt, before = s["txt"], s["before"]
     return [
         s["kind"],
-        (~s["base"]).cast("int"),
         txt.contains("+").cast("int"),
         F.least(F.lit(3), F.length(F.regexp_replace(txt, r"[^ ().\-_/]", ""))),
         txt.rlike(r"[\[(]").cast("int"),
         _side(F.substring(before, -1, 1)),
         _side(s["after"]),
-        before.rlike(CUES).cast("int"),
-        before.rlike(r"[A-Za-z]+ ?[:=#] ?$").cast("int"),
+        before.rlike(OTHER).cast("int"),
         before.rlike("[0-9][^0-9]{0,3}$").cast("int"),
         before.rlike(r"(?:^|\n)[ \t]*$").cast("int"),
         (F.length(before) < CONTEXT).cast("int"),
@@ -178,6 +178,13 @@ def span_features(s: Column) -> list[Column]:
     ]
 
 
+def evidence(s: Column) -> Column:
+    """1 for a span that is personal data by what stands before it, 0 for one inside something else, else null."""
+    before, joined = s["before"], r"[\p{L}\p{N}_]"
+    inside = before.rlike(joined + "$") | s["after"].rlike("^" + joined) | before.rlike(OTHER)
+    return F.when(inside, 0).when(s["base"] | before.rlike(CUES) | before.rlike(LABEL), 1)
+
+
 class Boosted:
     """An additive model of depth-two trees over binned features, and a threshold for each kind."""
 
@@ -210,10 +217,8 @@ class Boosted:
         return 1 / (1 + F.exp(-total))
 
 
-def boost(patterns: list[tuple[tuple[int, ...], float, float]], held: list | None = None) -> Boosted:
-    """Fit on (features, n, positives) and calibrate on those of ``held``; with nothing to learn from, nothing is added."""
-    if not patterns:
-        return Boosted(-9.0, [], [1.1] * len(KINDS))
+def boost(patterns: list[tuple[tuple[int, ...], float, float]], held: list) -> Boosted:
+    """Fit on (features, n, positives) and calibrate on those of ``held``; one rule for any number of them."""
     n, y = sum(p[1] for p in patterns), sum(p[2] for p in patterns)
     bias = math.log((y + 0.5) / (n - y + 0.5))
     margin = [bias] * len(patterns)
@@ -249,41 +254,40 @@ def boost(patterns: list[tuple[tuple[int, ...], float, float]], held: list | Non
         trees.append(tree)
         margin = [m + Boosted._leaf(tree, r[0]) for m, r in zip(margin, patterns, strict=True)]
     model = Boosted(bias, trees, [])
-    for k in range(len(KINDS)):
-        rows = [(model.score(x), count, good) for x, count, good in (patterns if held is None else held) if x[0] == k and x[1]]
-        cut, seen, right = 1.1, 0.0, 0.0
-        rows = sorted(rows, reverse=True)
-        for i, (s, count, good) in enumerate(rows):
-            seen, right = seen + count, right + good
-            if right >= PRECISION * seen and (i + 1 == len(rows) or rows[i + 1][0] < s):
-                cut = s - 1e-9  # sums of floats may differ in the last place where they are taken by columns
-        # too few to calibrate by
-        model.thresholds.append(max(0.5, cut) if seen >= LEAST_HELD else UNCALIBRATED)
+    model.thresholds = [_threshold([(model.score(x), n, good) for x, n, good in held if x[0] == k and n]) for k in range(len(KINDS))]
     return model
 
 
+def _threshold(scored: list[tuple[float, float, float]]) -> float:
+    """The lowest score t from which (score, n, positives), and ``SHRINK`` spans of precision t, reach ``PRECISION``."""
+    tops = sorted({s for s, _, _ in scored})
+    for t in sorted({PRECISION, *tops, *([tops[-1] + 1e-6] if tops else [])}):
+        seen, right = (sum(r[i] for r in scored if r[0] >= t) for i in (1, 2))
+        if right + SHRINK * t >= PRECISION * (seen + SHRINK):
+            # sums of floats may differ in the last place where they are taken by columns
+            return t - 1e-9
+    return 1.1
+
+
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Counts of all candidates by half of the texts and feature pattern: (half, f0, f1, ..., n, y), y positives."""
+    """Counts of candidates with evidence by half of the texts and feature pattern: (half, f0, f1, ..., n, y), y positives."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     half = F.pmod(F.crc32(text.cast("binary")), F.lit(2)).cast("int").alias("half")
+    scored = lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "base", "start", "end", "txt", "before", "after")], F.lit(0.0).alias("score"))
+    good = lambda s: F.when(s["base"], passes(s["kind"], s["txt"])).otherwise(valid(s["kind"], s["base"], s["txt"]))
     # the half comes first, as a column above the explosion would read the text again for each span
-    spans = docs.select(half, proposals(text).alias("p")).select("half", F.explode("p").alias("s"))
+    spans = docs.select(half, F.transform(F.filter(proposals(text), good), scored).alias("p"))
+    spans = spans.where(F.size("p") > 0).select("half", _settled(F.col("p")).alias("p")).select("half", F.explode("p").alias("s"))
     x = [c.cast("int").alias(f"f{i}") for i, c in enumerate(span_features(F.col("s")))]
-    good = valid(F.col("s.kind"), F.col("s.base"), F.col("s.txt")).cast("int").alias("good")
     names = ["half", *(f"f{i}" for i in range(len(FEATURES)))]
-    return spans.select("half", *x, good).groupBy(*names).agg(F.count("*").alias("n"), F.sum("good").alias("y")).orderBy(*names)
+    told = spans.select("half", *x, evidence(F.col("s")).alias("good")).where("good is not null")
+    return told.groupBy(*names).agg(F.count("*").alias("n"), F.sum("good").alias("y")).orderBy(*names)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Boosted:
     """Trees from the candidates of all texts; what reaches the driver is a row for each feature
     pattern, whose number the bins bound (some hundreds occur)."""
     rows = [(r[0], tuple(r[1 : 1 + len(FEATURES)]), float(r.n), float(r.y)) for r in candidates(docs, text_col).collect()]
-    if min(sum(r[2] for r in rows if r[0] == h) for h in (0, 1)) < LEAST_PARTED:
-        whole: dict[tuple, list[float]] = {}
-        for _, x, n, y in rows:
-            got = whole.setdefault(x, [0.0, 0.0])
-            got[0], got[1] = got[0] + n, got[1] + y
-        return boost([(x, n, y) for x, (n, y) in sorted(whole.items())])
     return boost([r[1:] for r in rows if r[0] == 0], [r[1:] for r in rows if r[0] == 1])
 
 

@@ -269,6 +269,39 @@ def test_pii(spark, tmp_path):
     assert pii.personal_data(docs(spark, [])).count() == 0 and pii.personal_data(docs(spark, [(1, None)])).first().spans == []
 
 
+def card_number(rng, ok=True):
+    digits = [rng.choice("3456"), *rng.choices("0123456789", k=14)]
+    for last in "0123456789":
+        total = sum((d if i % 2 else d * 2 - 9 * (d > 4)) for i, d in enumerate(map(int, [*digits, last])))
+        if (total % 10 == 0) == ok:
+            return "".join([*digits, last])
+
+
+@pytest.mark.parametrize("times", [1, 8])
+def test_pii_where_most_wide_candidates_fail(spark, times):
+    """What no base span covers is added in a table of any size; what passes its check by chance inside something else is not."""
+    rng = random.Random(21)
+    dotted = lambda n: ".".join(n[i : i + 4] for i in (0, 4, 8, 12))
+    plain = [f"please charge card {card_number(rng)} today" for _ in range(25 * times)] + [f"item {card_number(rng, False)} was shipped" for _ in range(25 * times)]
+    junk = [f"see {dotted(card_number(rng, False))} there" for _ in range(40 * times)]
+    inside = [f"order {dotted(card_number(rng))} is late" for _ in range(5 * times)] + [f"part X{card_number(rng)}Y broke" for _ in range(2 * times)]
+    beside = [f"on file are {card_number(rng)} {card_number(rng)} since may" for _ in range(3)] + ["ring +1 (826) 555-4081 190.137.44.12 soon"]
+    phones = [f"ring +1 ({rng.randint(200, 989)}) {rng.randint(200, 989)}-{rng.randint(1000, 9999)} soon" for _ in range(20 * times)]
+    rows = list(enumerate(beside + plain + junk + inside + phones))
+    got = {r.id: [(pii.KINDS[s.kind], t[s.start : s.end]) for s in r.spans if not s.base] for r in pii.personal_data(docs(spark, rows)).collect() for i, t in [rows[r.id]]}
+    for i, t in rows[:3]:
+        assert got[i] == [("card", n) for n in re.findall("[0-9]{16}", t)]
+    assert got[3] == [("phone", "(826) 555-4081")]
+    assert not any(got[i] for i, _ in rows[4:])
+
+
+def test_pii_thresholds_by_one_rule():
+    assert pii._threshold([]) == pytest.approx(pii.PRECISION)
+    assert pii._threshold([(0.95, 100, 100), (0.6, 100, 100), (0.3, 100, 10)]) == pytest.approx(0.6)
+    assert pii._threshold([(0.95, 100, 20)]) == pytest.approx(0.950001)
+    assert pii._threshold([(0.7, 2, 2)]) == pytest.approx(pii.PRECISION) and pii._threshold([(0.7, 20, 20)]) == pytest.approx(0.7)
+
+
 def test_pii_of_very_many_matches(spark):
     """Places, settled overlaps and redactions of texts with tens of thousands of matches."""
     rng = random.Random(4)
