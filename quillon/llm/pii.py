@@ -275,9 +275,11 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     half = F.pmod(F.crc32(text.cast("binary")), F.lit(2)).cast("int").alias("half")
     scored = lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "base", "start", "end", "txt", "before", "after")], F.lit(0.0).alias("score"))
     good = lambda s: F.when(s["base"], passes(s["kind"], s["txt"])).otherwise(valid(s["kind"], s["base"], s["txt"]))
-    # the half comes first, as a column above the explosion would read the text again for each span
-    spans = docs.select(half, F.transform(F.filter(proposals(text), good), scored).alias("p"))
-    spans = spans.where(F.size("p") > 0).select("half", _settled(F.col("p")).alias("p")).select("half", F.explode("p").alias("s"))
+    # the half comes first, as a column above the explosion would read the text again for each span; and what
+    # says that it may change from row to row is worked out once, not again in filters that are drawn from it
+    once = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+    spans = docs.select(half, once(F.transform(F.filter(proposals(text), good), scored)).alias("p"))
+    spans = spans.select("half", once(_settled(F.col("p"))).alias("p")).select("half", F.explode("p").alias("s"))
     x = [c.cast("int").alias(f"f{i}") for i, c in enumerate(span_features(F.col("s")))]
     names = ["half", *(f"f{i}" for i in range(len(FEATURES)))]
     told = spans.select("half", *x, evidence(F.col("s")).alias("good")).where("good is not null")
