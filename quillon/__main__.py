@@ -56,13 +56,24 @@ def run_eval(spark, a):
         reports.deltas(reports.history(spark, a.out).where(F.col("name") == a.name)).show(truncate=False)
 
 
+def _arm(name: str, a, config: EngineConfig) -> dict:
+    """Settings of an arm: a retriever, with '+rerank' reranked, and '@fixed' or '@second' over the other chunks or embedder."""
+    base, _, variant = name.partition("@")
+    retriever, _, more = base.partition("+")
+    other = {"": {}, "fixed": {"chunks_path": a.fixed_chunks}, "second": {"embedder_model": a.second_embedder}}.get(variant)
+    if more not in ("", "rerank") or other is None:
+        raise ValueError(f"unknown arm {name!r}; expected a retriever, '+rerank' behind it, then '@fixed' or '@second'")
+    if None in other.values():
+        raise ValueError(f"arm {name!r} needs --fixed-chunks or --second-embedder")
+    # another corpus or embedder has an index of its own
+    places = {k: f"{getattr(config, k)}-{variant}" for k in ("index_dir", "sparse_index_path")} if variant else {}
+    return {"retriever": retriever, "rerank": more == "rerank"} | other | places
+
+
 def ablate(spark, a):
     gold, arms = tables.read_gold(spark, a.gold), {}
     for name in a.arms:
-        retriever, _, more = name.partition("+")
-        if more not in ("", "rerank"):
-            raise ValueError(f"unknown arm {name!r}; expected a retriever, or one with '+rerank'")
-        engine = _engine(spark, a, retriever=retriever, rerank=more == "rerank")
+        engine = _engine(spark, a, **_arm(name, a, EngineConfig.from_env()))
         arms[name] = engine.evaluate(gold, a.top_k)
         arms[f"{name}_match_query"] = engine.evaluate(gold, a.top_k, "match_query")
     evaluation.ablation(arms).show(100, truncate=False)
@@ -128,7 +139,7 @@ def main(argv: list[str] | None = None) -> int:
     command(build_sparse_index, "chunks", "out")
     command(ask, "chunks", question=[], top_k=5, retriever=None, verifier=None)
     command(run_eval, "chunks", "gold", top_k=10, retriever=None, lang_filter=None, out=None, name="eval")
-    command(ablate, "chunks", "gold", top_k=10, arms=["sparse"])
+    command(ablate, "chunks", "gold", top_k=10, arms=["sparse"], fixed_chunks=None, second_embedder=None)
     command(compare_sparse, "chunks", "gold", top_k=10)
     command(compare_verifiers, "chunks", "items", methods=["lexical"])
     command(eval_refusal, "chunks", "gold", top_k=5, retriever=None, verifier=None)

@@ -64,10 +64,14 @@ def words(text: Column) -> Column:
 
 
 def char_bigrams(text: Column) -> Column:
+    """Neighbouring characters of a text without its spaces; a single one stands alone."""
+
+    def pairs(c):
+        n = F.greatest(F.size(c) - 1, F.lit(0))
+        return F.when(F.size(c) < 2, c).otherwise(F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda a, b: F.concat(a, b)))
+
     dense = F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", "")
-    n = F.length(dense)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(dense, i, F.lit(2)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(pairs)
+    return let(F.regexp_extract_all(dense, F.lit("(?s)."), F.lit(0)), pairs)
 
 
 def segments(text: Column, lang: Column) -> Column:

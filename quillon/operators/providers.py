@@ -8,6 +8,7 @@ back to a stand-in with a warning where that is allowed.
 from __future__ import annotations
 
 import hashlib
+import re
 import warnings
 from collections.abc import Callable
 from functools import lru_cache
@@ -208,6 +209,9 @@ def _load(make: Callable, fallback: Callable, what: str, allow_fallback: bool):
 
 
 def get_embedder(model: str | None = EMBEDDER, allow_fallback: bool = False) -> Embedder:
+    """The embedder of that name; none and ``fake:<dim>`` name the stand-in."""
+    if model and re.fullmatch("fake:[0-9]+", model):
+        return FakeEmbedder(int(model[5:]))
     return FakeEmbedder() if model is None else _load(lambda: ModelEmbedder(model), FakeEmbedder, "embedder", allow_fallback)
 
 

@@ -57,8 +57,8 @@ def word_terms(spark, d):
 
 @query
 def char_bigram_terms(spark, d):
-    terms = table(spark, d, "benchmark", "item_id", "text").select("item_id", F.explode(text.char_bigrams(F.col("text"))).alias("term"))
-    return terms.groupBy("item_id", "term").agg(F.count("*").alias("n"))
+    terms = table(spark, d, "documents", "doc_id", "text").select(F.explode(text.char_bigrams(F.col("text"))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query
@@ -385,6 +385,20 @@ def stored_index_topk(spark, d):
     return _hits(bm25.search(tables.load_index(spark, path), _asked(spark, d), TOP_K))
 
 
+@query
+def stored_index_versions(spark, d):
+    """An index built anew after its source has grown: what each version holds, which one is current, and what a reader of the first still sees."""
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    path = f"{tables.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    parts = docs.where("doc_id % 2 = 0"), docs
+    numbers = [tables.save_index(bm25.index_of(tables.kept(bm25.counted(x, id_col="doc_id"))), path, {"part": i}) for i, x in enumerate(parts)]
+    rows = [
+        tables.load_index(spark, path, version=n).corpus_stats.select(F.lit(n).cast("long").alias("version"), "n_docs", F.round("avgdl", 6).alias("avgdl"), F.lit(tables.is_current(spark, path, {"part": i})).alias("is_current"))
+        for i, n in enumerate(numbers)
+    ]
+    return rows[0].union(rows[1])
+
+
 @query
 def index_count_name(spark, d):
     index = _index(spark, d)
@@ -401,17 +415,28 @@ def query_operator_words(spark, d):
 @query
 def vector_upsert(spark, d):
     """Two upserts into one collection: later texts replace those of the same id, the others stay."""
-    from ..operators.providers import FakeEmbedder
-
     docs = table(spark, d, "documents", "doc_id", "lang", "source", "text")
     cid = text.make_chunk_id(F.concat_ws(":", "lang", F.col("doc_id").cast("string")), F.lit("fixed"), F.lit(0))
     chunks = docs.select(cid.alias("chunk_id"), F.col("source").alias("title"), F.array("lang").alias("section_path"), "text", "doc_id")
     path = f"{tables.scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
-    tables.upsert_vectors(chunks.where("doc_id % 2 = 0"), FakeEmbedder(), path)
-    got = tables.upsert_vectors(chunks.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))), FakeEmbedder(), path)
+    tables.upsert_vectors(chunks.where("doc_id % 2 = 0"), providers.FakeEmbedder(), path)
+    got = tables.upsert_vectors(chunks.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))), providers.FakeEmbedder(), path)
     return got.select("doc_id", "chunk_id", "point_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size("embedding").alias("dim"))
 
 
+@query
+def vector_collection_state(spark, d):
+    """A collection's marker and size after an upsert that changes some of it and one that changes nothing."""
+    v = table(spark, d, "documents", "doc_id", "lang", "source")
+    chunks = v.select(text.make_chunk_id(F.col("lang"), F.lit("fixed"), F.col("doc_id")).alias("chunk_id"), F.col("source").alias("title"), F.array("lang").alias("section_path"), F.col("source").alias("text"), "lang")
+    path, embedder = f"{tables.scratch_dir(spark)}/vectors-{uuid.uuid4().hex}", providers.FakeEmbedder(32)
+    tables.upsert_vectors(chunks, embedder, path, 16)
+    tables.upsert_vectors(chunks.where("lang = 'en'").withColumn("text", F.lit("new")), embedder, path)
+    got, state = tables.upsert_vectors(chunks.where("false"), embedder, path), tables.collection_state(spark, path)
+    dim = dense.require_dim(got, "embedding", embedder.dim).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("text") == "new").alias("n_new"), F.max(F.size("embedding")).alias("dim"))
+    return dim.withColumns({"embedder": F.lit(state["embedder"]), "buckets": F.lit(state["buckets"])})
+
+
 @query
 def chunk_roundtrip(spark, d):
     """Chunks written as JSON lines and read under the schema."""
@@ -677,17 +702,16 @@ def trace_roundtrip(spark, d):
 
 @query
 def fake_embedder_vectors(spark, d):
-    from ..operators.providers import FakeEmbedder
-
-    docs = table(spark, d, "benchmark", "item_id", "text")
-    return docs.select("item_id", FakeEmbedder().embed_passages(F.col("text")).alias("embedding"))
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return docs.select("doc_id", providers.FakeEmbedder().embed_passages(F.col("text")).alias("embedding"))
 
 
 @query
 def fake_reranker_scores(spark, d):
-    from ..operators.providers import FakeReranker
-
-    return _asked(spark, d).select("query_id", FakeReranker().score(F.col("query"), F.col("query")).alias("score"))
+    """The five best documents of each passage, ordered by the stand-in for a cross-encoder."""
+    docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("chunk_id"), "text")
+    hits, score = bm25.search(_index(spark, d), _asked(spark, d), 5), providers.FakeReranker().score(F.col("query"), F.col("text"))
+    return _hits(dense.rerank(hits, _asked(spark, d), docs, score, 5))
 
 
 @query

@@ -212,14 +212,43 @@ URL = r"'^[a-z]+://[^/]+/([^/]+)/([0-9]+)'"
 _KEEP = """starts_with(rel, 'docs/') AND ends_with(rel, '.md') AND NOT ends_with(rel, '/_index.md') AND NOT contains('/' || rel, '/includes/')
   AND NOT contains('/' || rel, '/_common-resources/') AND NOT contains('/' || rel, '/glossary/') AND NOT starts_with(rel, 'docs/contribute/') AND NOT starts_with(rel, 'docs/test/')"""
 
+def _replaced(c: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        c = f"regexp_replace({c}, '{pattern}', {by}, 'g')"
+    return c
+
+
+def _page_sections() -> str:
+    """Blocks of web pages: the lines between headings, under the headings that no later one of their level or above has ended."""
+    nl, heading = "chr(10)", r"^(#{1,6})\s+(.*?)\s*#*\s*$"
+    body = _replaced("html", *[(rf"(?is)<{t}\b.*?</{t}\s*>", "' '") for t in "script style nav footer header aside form".split()], ("(?s)<!--.*?-->", "' '"), (r"(?is)^.*?<body\b[^>]*>", "''"), (r"\s+", "' '"))
+    body = _replaced(body, *[(rf"(?i)<h{n}\b[^>]*>\s*(.*?)\s*</h{n}\s*>", rf"{nl} || '{'#' * n} \1' || {nl}") for n in range(1, 7)])
+    body = _replaced(body, (r"(?i)</?(?:p|div|li|ul|ol|tr|table|br|section|article|blockquote|pre)\b[^>]*>", f"{nl} || {nl}"), ("<[^>]+>", "''"))
+    for entity, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        body = f"replace({body}, '{entity}', {char})"
+    body = f"regexp_replace({_replaced(body, (r'(?m)^[ ' + chr(92) + 't]+|[ ' + chr(92) + 't]+$', chr(39) * 2))}, '\\n\\z', '')"
+    clean = lambda c: _replaced(c, ("(?s)<!--.*?-->", "''"), (r"!\[[^\]]*\]\([^)]*\)", "''"), (r"\[([^\]]+)\]\([^)]*\)", r"'\1'"), (r"(?i)</?(?:br|hr|img|div|span|p|a|b|i|em|strong)\b[^>]*/?>", "''"))
+    title = _strip(_replaced(clean(f"regexp_extract(line, '{heading}', 2)"), (r"\s*\{#[^}]*\}\s*$", "''")))
+    joined = _strip(_replaced(clean(f"string_agg(line, {nl} ORDER BY li)"), (r"\n{3,}", f"{nl} || {nl}")))
+    return f"""WITH ls AS (SELECT page_id, string_split({body}, {nl}) AS lines FROM pages),
+ln AS (SELECT page_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS li FROM ls),
+hd AS (SELECT *, length(regexp_extract(line, '{heading}', 1)) AS level, {title} AS title FROM ln),
+bk AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY page_id ORDER BY li) AS k FROM hd),
+hh AS (SELECT h.page_id, h.k, h.level, h.title, min(g.k) AS gone FROM (SELECT * FROM bk WHERE level > 0) h LEFT JOIN (SELECT * FROM bk WHERE level > 0) g ON g.page_id = h.page_id AND g.k > h.k AND g.level <= h.level GROUP BY ALL),
+tx AS (SELECT page_id, k, {joined} AS text FROM bk WHERE level = 0 GROUP BY page_id, k),
+st AS (SELECT tx.page_id, tx.k, string_agg(title, ' › ' ORDER BY hh.k) AS path FROM tx JOIN hh ON hh.page_id = tx.page_id AND hh.k <= tx.k AND (gone IS NULL OR gone > tx.k) WHERE title <> '' GROUP BY ALL)
+SELECT tx.page_id, (row_number() OVER (PARTITION BY tx.page_id ORDER BY tx.k) - 1)::INT AS idx, coalesce(path, '') AS path, text FROM tx LEFT JOIN st ON st.page_id = tx.page_id AND st.k = tx.k WHERE text <> ''"""
+
+
 SQL = {
+    "page_sections": _page_sections(),
     "script_of_documents": f"SELECT doc_id, {_script('text')} AS script FROM documents",
     "token_count_heuristic": f"""SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, round_even({_count('text', CJK)} / 1.1::DOUBLE
         + (length(text) - {_count('text', CJK)}) / 4.0::DOUBLE, 0))::INT END AS token_count FROM documents""",
     "sentence_split": f"SELECT doc_id, unnest(range(len(s)))::INT AS idx, unnest(s) AS sentence FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)",
     "word_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({_words('text')}) AS term FROM documents) GROUP BY term",
-    "char_bigram_terms": f"""SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest(list_transform(range(1, greatest(length(t) - 1, 1) + 1), lambda i: substring(t, i, 2))) AS term
-        FROM (SELECT item_id, regexp_replace(text, '{SPACE}+', '', 'g') AS t FROM benchmark) WHERE length(t) > 0) GROUP BY ALL""",
+    "char_bigram_terms": f"""SELECT term, count(*) AS n FROM (SELECT unnest(CASE WHEN len(c) < 2 THEN c ELSE list_transform(list_zip(c[:-2], c[2:]), lambda x: x[1] || x[2]) END) AS term
+        FROM (SELECT string_split(regexp_replace(text, '{SPACE}+', '', 'g'), '') AS c FROM documents)) WHERE term <> '' GROUP BY ALL""",
     "segment_dispatch": f"SELECT doc_id, CASE WHEN {_script('text')} = 'cjk' THEN 'ja' ELSE 'en' END AS segmenter, len({_words('text')})::INT AS n_terms FROM documents",
     "clean_inline_pages": f"""SELECT page_id, {_strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?i)</?(?:br|hr|img|div|span|p|a|b|i|em|strong)\b[^>]*/?>', '', 'g')")} AS cleaned FROM pages""",
     "page_titles": f"""SELECT page_id, {_strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {_strip("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading FROM pages""",
@@ -311,6 +340,9 @@ SQL = {
     "chunk_manifest": _manifest(_structural(512, 64, 32)),
     "stored_index_topk": f"WITH {_index()}, {_search('h', ASKED, TOP_K)} {HITS}",
     "stored_backend_parity": f"WITH {_index()}, {_search('h', ASKED, TOP_K)} SELECT count(DISTINCT query_id) AS queries, 0 AS top1_differs, 0.0::DOUBLE AS recall_at_5_delta, 0.0::DOUBLE AS mrr_delta FROM h",
+    "stored_index_versions": f"""WITH {_index()} SELECT v::BIGINT AS version, count(*) AS n_docs, round(sum(dl) / count(*), 6) AS avgdl, v = 2 AS is_current
+        FROM dl, (SELECT unnest([1, 2]) AS v) WHERE v = 2 OR id % 2 = 0 GROUP BY v""",
+    "vector_collection_state": """SELECT lang, count(*) AS n, count(*) FILTER (lang = 'en') AS n_new, 32 AS dim, 'fake:32' AS embedder, 16 AS buckets FROM documents GROUP BY lang""",
     "index_count_name": "SELECT lang, count(*) AS n_chunks, (SELECT count(*) FROM documents) AS n_index, 'bm25:char-bigram' AS name FROM documents GROUP BY lang",
     "query_operator_words": f"""SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_words("'NOT \"quoted\" OR * ( - ' || text || ' AND \"\" NEAR not'")}) AS term FROM benchmark) GROUP BY ALL""",
     "vector_upsert": """SELECT doc_id, c AS chunk_id, (('0x' || c)::UBIGINT & 9223372036854775807::UBIGINT)::BIGINT AS point_id, md5(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS text_md5, 64 AS dim

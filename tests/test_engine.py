@@ -151,6 +151,28 @@ def test_evaluate_and_gate(spark, corpus, tmp_path, capsys):
         tables.read_faithfulness(spark, str(f))
 
 
+def test_ablation_arms(spark, corpus, tmp_path, capsys, monkeypatch):
+    """Arms over fixed chunks and a second embedder, each with an index of its own, and a report history of runs."""
+    root, docs, chunks = corpus
+    fixed, g = f"{tmp_path}/fixed", tmp_path / "gold.jsonl"
+    tables.write_lines(chunking.chunk_documents(docs, "fixed", target=12, overlap=0, least=1), fixed)
+    g.write_text(json.dumps({"id": "g1", "query": "routes network traffic", "lang": "en", "topic": "t", "relevant_parallel_ids": ["docs/services.md"], "reference_answer": None, "answerable": True, "notes": ""}))
+    for name, value in {"EMBEDDER": "fake", "LLM": "echo", "INDEX_DIR": f"{tmp_path}/v", "SPARSE_INDEX_PATH": f"{tmp_path}/s", "SPARSE_BACKEND": "fts5"}.items():
+        monkeypatch.setenv(f"QUILLON_{name}", value)
+    run = ["ablate", "--chunks", chunks, "--gold", str(g), "--arms", "sparse", "sparse@fixed", "dense", "dense@fixed", "dense@second"]
+    assert cli.main([*run, "--fixed-chunks", fixed, "--second-embedder", "fake:16"]) == 0
+    shown = capsys.readouterr().out
+    assert all(f"|{arm}{more}" in shown.replace(" ", "") for arm in run[6:] for more in ("|", "_match_query|"))
+    assert {tables.collection_state(spark, f"{tmp_path}/v{x}")["dim"] for x in ("", "-fixed")} == {64} and tables.collection_state(spark, f"{tmp_path}/v-second")["dim"] == 16
+    assert tables.load_index(spark, f"{tmp_path}/s-fixed").count() > tables.load_index(spark, f"{tmp_path}/s").count()
+    for bad in (["--arms", "sparse@fixed"], ["--arms", "sparse@other"], ["--arms", "sparse+x"]):
+        with pytest.raises(ValueError):
+            cli.main([*run[:5], *bad])
+    for _ in range(2):
+        assert cli.main(["run_eval", "--chunks", chunks, "--gold", str(g), "--retriever", "sparse", "--out", f"{tmp_path}/history"]) == 0
+    assert reports.deltas(reports.history(spark, f"{tmp_path}/history")).where("lang is null").first().mrr_delta == 0
+
+
 def test_config_from_env():
     c = EngineConfig.from_env({"QUILLON_EMBEDDER": "none", "QUILLON_LLM": "echo", "QUILLON_TOP_K": "7", "QUILLON_REFUSAL_THRESHOLD": "0.25", "QUILLON_ALLOW_FALLBACK": "Yes", "QUILLON_RETRIEVER": "sparse"})
     assert (c.embedder_model, c.llm_provider, c.top_k, c.refusal_threshold, c.allow_fallback, c.needs_embedder) == (None, None, 7, 0.25, True, False)

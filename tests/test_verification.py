@@ -1,6 +1,7 @@
 """Claims, verification arms and the correction policy."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,31 @@ def test_fake_embedder_is_unit_and_asymmetric(spark):
     df = spark.createDataFrame([("Hello world",), ("",)], "t string")
     q, p = (df.select(f(F.col("t"))).collect() for f in (e.embed_query, e.embed_passages))
     assert sum(x * x for x in q[0][0]) == pytest.approx(1) and q[0][0] != p[0][0] and not any(q[1][0])
+
+
+def test_fakes_of_many_rows_are_their_hashes(spark):
+    """Embedder, reranker and verifier without meaning, every row against hashlib."""
+    rng = random.Random(8)
+    texts = ["", " ", "ab", "ÀB ç"] + ["".join(rng.choices("abc dé。", k=rng.randint(1, 60))) for _ in range(120)]
+    digest = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
+
+    def vector(t, salt, dim=64):
+        t, v = t.strip().lower(), [0.0] * dim
+        for size in (3, 4, 5):
+            for i in range(len(t) - size + 1):
+                v[digest(f"{salt}:{t[i : i + size]}") % dim] += 1.0
+        norm = sum(x * x for x in v) ** 0.5
+        return [x / norm for x in v] if norm else v
+
+    df = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts)], "i int, t string, a int")
+    e = FakeEmbedder()
+    got = df.select("i", e.embed_passages(F.col("t")).alias("p"), e.embed_query(F.col("t")).alias("q"), get_reranker(None).score(F.col("t"), F.concat("t", F.lit("x"))).alias("s")).collect()
+    for r in got:
+        t = texts[r.i]
+        assert r.p == pytest.approx(vector(t, "p")) and r.q == pytest.approx(vector(t, "q")) and r.s == pytest.approx(digest(f"{t}:{t}x") / 2**64)
+    claims = df.select(F.col("a").alias("answer_id"), F.col("i").alias("claim_index"), F.col("t").alias("claim"))
+    evidence = spark.createDataFrame([(0, 0, "x"), (1, 0, "y")], "answer_id int, evidence_index int, evidence string")
+    for r in verification.fake(claims, evidence).collect():
+        x = digest(r.claim) / 2**64
+        want = ("unsupported", 0.0, None) if r.answer_id == 2 else ("supported" if x < 0.34 else "contradicted" if x < 0.5 else "unsupported", x, 0)
+        assert (r.label, pytest.approx(r.score), r.best_evidence_index) == want
