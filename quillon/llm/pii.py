@@ -246,7 +246,7 @@ def boost(patterns: list[tuple[tuple[int, ...], float, float]], held: list) -> B
         _, f, b, yes, no = best
         return (f, b, grow(yes, g, h, depth - 1), grow(no, g, h, depth - 1))
 
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if patterns else 0):
         p = [1 / (1 + math.exp(-m)) for m in margin]
         g = [r[2] - r[1] * q for r, q in zip(patterns, p, strict=True)]
         h = [r[1] * q * (1 - q) for r, q in zip(patterns, p, strict=True)]
