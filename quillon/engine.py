@@ -148,7 +148,7 @@ class Engine:
         return cls(spark, config, chunks, retriever, llm, verify, providers.get_decomposer(config.decomposer_mode, llm), embedder.name if embedder else "none")
 
     def sources(self, queries: DataFrame, top_k: int, lang_of: DataFrame | None = None) -> DataFrame:
-        hits = self.retriever.search(queries, top_k, lang_of)
+        hits = tables.kept(self.retriever.search(queries, top_k, lang_of))
         return dense.with_payload(hits, self.chunks.select("chunk_id", "parallel_id", "lang", "title", "section_path", "text"))
 
     def ask(self, questions: DataFrame, top_k: int | None = None, write_trace: bool = True) -> DataFrame:
@@ -161,12 +161,11 @@ class Engine:
         k = top_k or self.config.top_k
         asked = questions.select(F.col("query_id").cast("string").alias("query_id"), F.col("question").alias("query"))
         lang_of = questions.select(F.col("query_id").cast("string").alias("query_id"), "lang") if "lang" in questions.columns else None
-        sources = self.sources(asked, k, lang_of)
+        sources = tables.kept(self.sources(asked, k, lang_of))
         replies = prompts.build_prompts(asked.withColumnRenamed("query", "question"), sources)
         folder = f"{tables.scratch_dir(self.spark)}/ask-{uuid.uuid4().hex}"
         replies.select(F.col("query_id").alias("answer_id"), "question", self.llm.generate(F.col("prompt")).alias("text")).write.parquet(f"{folder}/answers")
-        sources.write.parquet(f"{folder}/sources")
-        answers, sources = self.spark.read.parquet(f"{folder}/answers"), self.spark.read.parquet(f"{folder}/sources")
+        answers = self.spark.read.parquet(f"{folder}/answers")
         first = time.perf_counter()
         claims = self.decompose(answers)
         evidence = sources.select(F.col("query_id").alias("answer_id"), (F.col("rank") - 1).alias("evidence_index"), F.col("text").alias("evidence"))
@@ -174,7 +173,7 @@ class Engine:
         verdicts = self.spark.read.parquet(f"{folder}/verdicts")
         second = time.perf_counter()
         again = correction.retry(verdicts, lambda q: self.sources(q, correction.RETRY_TOP_K).select("query_id", "rank", "text"), self.verify)
-        decisions = correction.decide(verdicts, again)
+        decisions = tables.kept(correction.decide(verdicts, again))
         fixed = correction.corrected(answers, decisions, self.config.refusal_threshold)
         told = decisions.groupBy("answer_id").agg(
             F.array_sort(F.collect_list(F.struct("claim_index", F.col("claim").alias("text"), F.col("final_label").alias("label"), "action", F.col("final_method").alias("method")))).alias("claims")
