@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from quillon.operators import correction, prompts, verification
 from quillon.operators.providers import EchoProvider, FakeEmbedder, get_decomposer, get_embedder, get_llm, get_reranker, get_segmenter, get_token_counter, get_verifier
 
@@ -106,6 +108,29 @@ def test_no_claims_stay(spark):
     assert got.final_text == "as it was" and got.refused is False and got.refusal_reason is None
 
 
+def test_a_refusal_speaks_as_the_question_does(spark, tmp_path):
+    """The user's last words before an answer choose the text; not the answer, later words, a turn without words, or another conversation."""
+    ja, en, a = "なぜですか", "Why is that?", "Nothing known about."
+    turns = [
+        (1, 0, "user", ja), (1, 1, "assistant", a), (2, 0, "user", en), (2, 1, "assistant", "ポッドは単位です。"),
+        (3, 0, "user", ja), (3, 1, "assistant", a), (3, 2, "user", en), (3, 3, "assistant", a), (3, 4, "assistant", "Other words."), (3, 5, "user", ja),
+        (4, 0, "system", ja), (4, 1, "assistant", a), (4, 2, "user", ja), (5, 0, "user", ja), (5, 2, "user", en), (5, 2, "user", ja), (5, 2, "system", ja), (5, 10, "assistant", a),
+        (6, 0, "user", en), (6, 1, "user", ja), (6, 2, "user", None), (6, 3, "assistant", a), (7, 0, "user", ja), (7, 1, "user", "Pods run containers"), (7, 2, "assistant", "Pods run. Containers run!"),
+    ]
+    random.Random(4).shuffle(turns)
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, "unrelated passage"), (1, "of other things")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = __spark_entry__.queries()["corrected_answers"](spark, str(tmp_path))
+    rows = {r.answer_id: r for r in got.collect()}
+    said = {i: "ja" if r.final_text == correction.REFUSAL_JA else "en" if r.final_text == correction.REFUSAL_EN else r.final_text for i, r in rows.items()}
+    assert said == {1001: "ja", 2001: "en", 3001: "ja", 3003: "en", 3004: "en", 4001: "en", 5010: "en", 6003: "ja", 7002: "Pods run. Containers run!"}
+    db = duckdb.connect()
+    for name in ("conversations", "benchmark"):
+        db.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = db.execute(f"select {', '.join(got.columns)} from ({__spark_entry__.oracle_sql()['corrected_answers']})").fetchall()
+    assert len(want) == len(rows) and {tuple(r) for r in rows.values()} == set(want)
+
+
 def test_prompts(spark):
     hits = spark.createDataFrame([("q", 2, "T2", [], "b"), ("q", 1, "T1", ["S", "U"], "a")], "query_id string, rank int, title string, section_path array<string>, text string")
     q = spark.createDataFrame([("q", "what?"), ("r", "none?")], "query_id string, question string")
